@@ -107,6 +107,37 @@ def test_ngram_join_edges(spark, edge, nothing):
     assert ngram_join.ngram_join(nothing).count() == 0
 
 
+def test_components_and_merged(spark):
+    rng = random.Random(4)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(40)]
+    edges = chain + [(f"r{rng.randrange(60):02}", f"r{rng.randrange(60):02}") for _ in range(45)] + [("hub", f"leaf{i}") for i in range(30)]
+    rng.shuffle(edges)
+
+    def brute(pairs):
+        up = {x: x for p in pairs for x in p}
+        for _ in pairs:
+            for a, b in pairs:
+                up[a] = up[b] = min(up[a], up[b])
+        return {x: c for x, c in up.items()}
+
+    def told(df):
+        return {r["node"]: r["component"] for r in df.collect()}
+
+    frame = lambda pairs: spark.createDataFrame(pairs, "a string, b string")
+    real = [p for p in edges if p[0] != p[1]]
+    first = ngram_join.components(frame(real[:60]))
+    assert told(first) == brute(real[:60])
+    assert told(ngram_join.merged(first, frame(real[60:]))) == brute(real)
+    assert told(ngram_join.merged(first, frame([]))) == brute(real[:60])
+
+
+def test_ngram_join_links_rows_without_id(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text + " end"), (3, text), (4, "alone here")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {None: (3, 1), 3: (3, 1), 4: (4, 0)}
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.plan_bands(0.8, 0.9999, 256)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 256
