@@ -4,6 +4,7 @@ Documents with equal n-gram sets are one node. Every band bucket has a leader, a
 same nodes share, and each member is verified against the leader, so a bucket of k members costs k pairs. Members of a
 bucket that are still in different components are then held against its member of most links, and what stays apart is
 joined by prefix filtering over the rarest n-grams, which finds every remaining link without forming a bucket's pairs.
+The links of a class are then counted exactly: its n-gram sets meet block against block, and only sums per node leave a block.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablebridge.llm.common import bounded_broadcast, stored
@@ -25,6 +26,8 @@ TARGET_RECALL = 0.9999
 MAX_HASHES = 256
 #: Ids that may be broadcast: 8 MB.
 BROADCAST_IDS = 1_000_000
+#: Nodes, and n-grams, that a block of a class holds on average at most; columns of n-grams that are multiplied at once.
+BLOCK_NODES, BLOCK_GRAMS, COLUMNS = 256, 1 << 20, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,11 +204,106 @@ def _hub_pairs(mixed: DataFrame, links: DataFrame, threshold: float) -> DataFram
     return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
+def _shared_grams(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """[left, right]: how many n-grams each two sets share; without right those of left among themselves."""
+    both = left + (right or [])
+    row = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, at, often = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    some = often[at] > 1
+    row, at = row[some], (np.cumsum(often > 1) - 1)[at[some]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    out = np.zeros((len(left), len(both) - len(left) if right else len(left)))
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        own = slice(*np.searchsorted(at, [low, low + COLUMNS]))
+        ones = np.zeros((len(both), min(COLUMNS, int(at[-1]) + 1 - low)), np.float32)
+        ones[row[own], at[own] - low] = 1
+        out += ones[: len(left)] @ (ones[len(left) :] if right else ones).T
+    return out
+
+
+def _cell_degrees(sides: np.ndarray, copies: np.ndarray, grams: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each node of a cell the documents that it is linked to there: nodes of side 0 are held against those of side 1, those of side 2 (a block alone) against each other."""
+    out = np.zeros(len(grams), np.int64)
+    alone = sides[0] == 2
+    left = np.flatnonzero(sides != 1)
+    right = left if alone else np.flatnonzero(sides == 1)
+    if not len(left) or not len(right):
+        return out
+    size = np.fromiter(map(len, grams), np.int64, len(grams))
+    both = _shared_grams([grams[i] for i in left], None if alone else [grams[i] for i in right])
+    linked = both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9
+    if alone:
+        np.fill_diagonal(linked, False)
+    else:
+        out[right] = linked.T.astype(np.int64) @ copies[left]
+    out[left] = linked.astype(np.int64) @ copies[right]
+    return out
+
+
+def linked_copies(members: DataFrame, sets: DataFrame, threshold: float, block_nodes: int = BLOCK_NODES, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """node, links: the documents of other nodes of its component whose n-gram sets reach the threshold, for members (node, component, copies).
+
+    A class of more than a block is cut into size bands, of which only equal and neighbouring ones can hold links, and
+    these by hash into blocks. A cell is a pair of blocks, or a block alone, so a node is sent once for each block that it meets.
+    """
+    own = members.join(sets, "node").select("node", "component", "copies", F.size("grams").cast("long").alias("n"), "grams")
+    own = stored(own, "members")
+    whole = own.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("n").alias("total")).where("nodes > 1")
+    small = (F.col("nodes") <= block_nodes) & (F.col("total") <= block_grams)
+    band = F.when(small, 0).otherwise(F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9)).cast("int")
+    banded = own.drop("grams").join(whole, "component").select("node", "component", "n", band.alias("band"))
+    per = banded.groupBy("component", "band").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") / block_grams)).cast("int").alias("blocks"))
+    per = stored(per, "bands")
+    table = per.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))
+    placed = banded.join(table, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(17)), F.element_at("blocks", F.col("band"))).cast("int"))
+    same = F.transform(F.sequence(F.lit(0), F.element_at("blocks", F.col("band")) - 1), lambda j: F.struct(F.col("band").alias("la"), F.least("block", j).alias("i"), F.col("band").alias("lb"), F.greatest("block", j).alias("j"), F.when(F.col("block") == j, 2).otherwise((F.col("block") > j).cast("int")).alias("side")))
+
+    def across(step: int) -> Column:
+        other = F.coalesce(F.try_element_at("blocks", F.col("band") + step), F.lit(0))
+        mine, side = (F.col("band"), F.col("block")), 0 if step > 0 else 1
+
+        def cell(j: Column) -> Column:
+            a, b = (mine, (F.col("band") + step, j)) if step > 0 else ((F.col("band") + step, j), mine)
+            return F.struct(a[0].alias("la"), a[1].alias("i"), b[0].alias("lb"), b[1].alias("j"), F.lit(side).alias("side"))
+
+        return F.when(other > 0, F.transform(F.sequence(F.lit(0), F.greatest(other - 1, F.lit(0))), cell)).otherwise(F.filter(same, lambda x: F.lit(False)))
+
+    cells = placed.select("node", "component", F.explode(F.concat(same, *map(across, (-1, 1)))).alias("c"))
+    key = F.concat_ws(":", "component", "c.la", "c.i", "c.lb", "c.j")
+    sent = cells.select("node", key.alias("cell"), F.col("c.side").alias("side")).join(own.select("node", "copies", "grams"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sides, copies, grams = None, [], [], [], []
+
+        def told() -> pa.RecordBatch:
+            links = _cell_degrees(np.array(sides), np.array(copies, np.int64), grams, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.string()), pa.array(links)], ["node", "links"])
+
+        for batch in batches:
+            lists = batch.column("grams")
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            for i, (cell, node, side, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("cell", "node", "side", "copies")), strict=True)):
+                if cell != now:
+                    if len(nodes) > 1:
+                        yield told()
+                    now, nodes, sides, copies, grams = cell, [], [], [], []
+                nodes.append(node)
+                sides.append(side)
+                copies.append(n)
+                grams.append(values[ends[i] : ends[i + 1]])
+        if len(nodes) > 1:
+            yield told()
+
+    dealt = sent.select("cell", "node", "side", "copies", "grams").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "node string, links long").groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = TARGET_RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
     """Near-duplicate classes of documents (doc_id, text).
 
     One row per row of docs: doc_id; class_id, the least doc_id of the documents linked to it directly or through
-    others; n_links, the verified links kept for its text plus the other documents with the same n-gram set; n_grams.
+    others; n_links, the other documents of the class that it is linked to directly, those of the same n-gram set included; n_grams.
     A link is a Jaccard similarity of n-word shingle sets (lower-cased, split at white space) of at least threshold; a
     text of fewer than n words is one shingle. Null and empty texts have no shingles, equal each other and nothing
     else. Rows of null doc_id are linked like others; a class of such rows alone has a null class_id. Bands and rows are chosen for the recall at the threshold. Other columns of docs are ignored.
@@ -239,7 +337,7 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, re
         links = links.union(new)
         labels = merged(labels, new)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    degree = linked_copies(labels.join(nodes.select("node", "copies"), "node"), sets, threshold)
     told = nodes.select("node", "first_id", "copies").join(labels, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     told = stored(told, "told")
     least = told.groupBy("component").agg(F.min("first_id").alias("class_id"))

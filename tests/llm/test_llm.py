@@ -97,6 +97,27 @@ def test_ngram_join_finds_every_class(spark, seed):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == brute_classes(docs)
 
 
+def brute_links(docs, t=0.8):
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, text.lower().split()) for i, text in docs)}
+    return {i: sum(j != i and len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) for j in sets) for i in sets}
+
+
+def test_ngram_join_counts_every_link(spark):
+    docs = near_texts(90, 3)
+    docs += [(1000 + i, docs[i][1]) for i in range(0, 40, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = brute_links(docs)
+    assert max(want.values()) > 40
+    assert {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(df).collect()} == want
+    sets = ngram_join.gram_sets(df).dropDuplicates(["node"]).cache()
+    ids = ngram_join.signatures(df).select("doc_id", "node").cache()
+    members = ids.groupBy("node").agg(F.count("*").alias("copies")).withColumn("component", F.lit("all"))
+    for block_nodes, block_grams in ((7, 1 << 20), (1000, 500)):
+        told = ngram_join.linked_copies(members, sets, 0.8, block_nodes, block_grams)
+        rows = ids.join(told, "node", "left").join(members.select("node", "copies"), "node").collect()
+        assert {r["doc_id"]: (r["links"] or 0) + r["copies"] - 1 for r in rows} == want
+
+
 def test_ngram_join_edges(spark, edge, nothing):
     got = {}
     for r in ngram_join.ngram_join(edge).collect():
