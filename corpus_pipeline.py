@@ -14,9 +14,15 @@ REST = COLUMNS[1:]
 BROADCAST_IDS = 1_000_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    ids = bounded_broadcast(stored(ids.distinct().withColumnRenamed("doc_id", "gone"), "gone"), BROADCAST_IDS)
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+def _hashed(docs: DataFrame) -> DataFrame:
+    """docs with text_hash: ids may be null or repeated, so what is judged is a row's doc_id and text."""
+    return docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+
+
+def _same(rows: DataFrame, name: str):
+    """rows (doc_id, text_hash) of which each is there once, stored, and the condition that a row of docs is one of them."""
+    rows = stored(rows.select(F.col("doc_id").alias("judged_id"), F.col("text_hash").alias("judged_hash")).distinct(), name)
+    return bounded_broadcast(rows, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("judged_id")) & (F.col("text_hash") == F.col("judged_hash"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,23 +34,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id stays, once."""
+    """Of each class of near duplicates one row stays: of the least doc_id (null last), and among its rows of the least text hash."""
     text_batches(spark)
-    docs = docs.select(*COLUMNS)
-    classes = stored(ngram_join.ngram_join(docs), "classes")
-    kept = _without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id"))
-    again = stored(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    docs = _hashed(docs)
+    told = ngram_join.classes(docs).select("component", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    rows = stored(told.groupBy("component", "unnamed", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "classes")
+    best = rows.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "text_hash")).alias("best"))
+    judged = stored(rows.join(best, "component").select("doc_id", "text_hash", "copies", (F.struct("unnamed", "doc_id", "text_hash") == F.col("best")).alias("stays")), "judged")
+    gone, is_gone = _same(judged.where("NOT stays"), "gone")
+    kept = docs.join(gone, is_gone, "left_anti")
+    again = judged.where("stays AND copies > 1")
     if again.isEmpty():
-        return kept
-    once = kept.join(bounded_broadcast(again.withColumnRenamed("doc_id", "twice"), BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("twice")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return _without(kept, again).union(once)
+        return kept.select(*COLUMNS)
+    again, is_again = _same(again, "again")
+    once = kept.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, is_again, "left_anti").union(once).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least a twentieth of the words are benchmark passages go."""
-    docs = docs.select(*COLUMNS)
-    told = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return _without(docs, told.where("contaminated").select("doc_id"))
+    """Rows of which at least a twentieth of the words are benchmark passages go."""
+    docs = _hashed(docs)
+    told = decontaminate.contamination(docs.withColumnRenamed("text_hash", "row_hash"), read(spark, sf_dir, "benchmark"), keep=["row_hash"])
+    gone, is_gone = _same(told.where("contaminated").withColumnRenamed("row_hash", "text_hash"), "gone")
+    return docs.join(gone, is_gone, "left_anti").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def minhash(grams: np.ndarray, masks: np.ndarray, factors: np.ndarray) -> np.nda
 
 
 def signatures(docs: DataFrame, n: int = NGRAM, bands: int = 31, rows: int = 6, seed: int = 7) -> DataFrame:
-    """doc_id, node (digest of the shingle set), n_grams, keys (a 64-bit hash per band)."""
+    """doc_id, text_hash, node (digest of the shingle set), n_grams, keys (a 64-bit hash per band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -102,12 +102,12 @@ def signatures(docs: DataFrame, n: int = NGRAM, bands: int = 31, rows: int = 6,
                     key ^= key >> np.uint64(31)
                 keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "node", "n_grams", "keys"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(nodes, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_hash", "node", "n_grams", "keys"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, node string, n_grams long, keys array<long>")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return source.mapInArrow(run, "doc_id long, text_hash long, node string, n_grams long, keys array<long>")
 
 
 def gram_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
@@ -308,6 +308,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, re
     text of fewer than n words is one shingle. Null and empty texts have no shingles, equal each other and nothing
     else. Rows of null doc_id are linked like others; a class of such rows alone has a null class_id. Bands and rows are chosen for the recall at the threshold. Other columns of docs are ignored.
     """
+    return classes(docs, threshold, n, recall, max_hashes).select("doc_id", "class_id", "n_links", "n_grams")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = TARGET_RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
+    """ngram_join with component and text_hash: a component is one class, also where ids are null or repeated, and rows of equal doc_id and text_hash are copies."""
     bands, rows = plan_bands(threshold, recall, max_hashes)
     signed = stored(signatures(docs, n, bands, rows), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n"), F.first("keys").alias("keys"))
@@ -341,5 +346,5 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, re
     told = nodes.select("node", "first_id", "copies").join(labels, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     told = stored(told, "told")
     least = told.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    told = told.join(least, "component").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "node", "n_grams").join(told, "node").select("doc_id", "class_id", "n_links", "n_grams")
+    told = told.join(least, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return signed.select("doc_id", "text_hash", "node", "n_grams").join(told, "node").select("doc_id", "text_hash", "component", "class_id", "n_links", "n_grams")

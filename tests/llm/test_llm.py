@@ -444,3 +444,20 @@ def test_pipeline(spark, edge, nothing):
     docs = edge.drop("node")
     kept = [r["doc_id"] for r in stages["n-gram Jaccard join"](spark, docs, SF).collect()]
     assert sorted(kept, key=str) == [1, 10, 4, 5, 8, 9, None]
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda tag, n=100: " ".join(f"{tag}{i}" for i in range(n))
+    row = lambda i, t: (i, t, "en", "a", len(t))
+    rows = [row(None, text("a")), row(None, text("b")), row(None, text("b") + " end"), row(None, text("c")), row(3, text("c") + " end"), row(7, text("d")), row(7, text("d") + " end"), row(7, text("e")), row(8, text("e"))]
+    kept = stages["n-gram Jaccard join"](spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    found = Counter((r["doc_id"], r["text"].split()[0]) for r in kept)
+    assert found == Counter([(None, "a0"), (None, "b0"), (3, "c0"), (7, "d0"), (7, "e0")])
+
+    spark.createDataFrame([(1, text("p", 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [row(None, text("p", 20)), row(None, "clean and unique"), row(5, text("p", 20)), row(5, "clean too")]
+    kept = stages["benchmark decontamination"](spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert sorted(r["text"] for r in kept) == ["clean and unique", "clean too"]
