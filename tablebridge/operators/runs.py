@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -116,30 +120,81 @@ def fold_runs(tables: DataFrame) -> DataFrame:
     )
 
 
-def _smoothed(values: Column) -> Column:
-    """Exponential average of an array in order; the first value seeds it."""
-    return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(ALPHA * x + (1 - ALPHA) * a))
+def smoothed_rates(events: DataFrame, blocks: int | None = None) -> DataFrame:
+    """run_id, read_rate, write_rate: rows a second of batches (seq, batch_rows, read_seconds, write_seconds), smoothed in order; zero durations are skipped.
 
+    The log is dealt by ranges of (run, seq), into `blocks` of them if given, so a large run is folded by many tasks; each gives one affine step, and these are combined in order.
+    """
 
-def smoothed_rates(events: DataFrame) -> DataFrame:
-    """run_id, read_rate, write_rate: rows a second of batches (seq, batch_rows, read_seconds, write_seconds), smoothed in order; zero durations are skipped. A run's batches are one row's array."""
-    rate = lambda c: F.transform(F.filter(F.array_sort(F.collect_list(F.struct("seq", (F.col("batch_rows") / F.nullif(F.col(c), F.lit(0.0))).alias("x")))), lambda s: s["x"].isNotNull()), lambda s: s["x"])
-    return events.where("batch_rows IS NOT NULL").groupBy("run_id").agg(_smoothed(rate("read_seconds")).alias("read_rate"), _smoothed(rate("write_seconds")).alias("write_rate"))
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted rows (run_id, kind, x) the smoothing of each stretch of a run as one step: a becomes keep * a + add; seed is its first value."""
+        part, names = TaskContext.get().partitionId(), ["run_id", "kind", "part", "keep", "add", "seed"]
+        now, keep, add, seed, types = None, 1.0, 0.0, None, []
+
+        def told(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        for batch in batches:
+            types, done = [batch.schema.field("run_id").type, pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()], []
+            for run, kind, x in zip(*(batch.column(c).to_pylist() for c in ("run_id", "kind", "x")), strict=True):
+                if now != (run, kind):
+                    if now is not None:
+                        done.append((*now, part, keep, add, seed))
+                    now, keep, add, seed = (run, kind), 1.0, 0.0, None
+                if x is not None:
+                    seed = x if seed is None else seed
+                    keep, add = (1 - ALPHA) * keep, ALPHA * x + (1 - ALPHA) * add
+            if done:
+                yield told(done)
+        if now is not None:
+            yield told([(*now, part, keep, add, seed)])
+
+    rate = lambda c: F.col("batch_rows") / F.nullif(F.col(c).cast("double"), F.lit(0.0))
+    kinds = F.array(*(F.struct(F.lit(i).alias("kind"), rate(c).cast("double").alias("x")) for i, c in enumerate(("read_seconds", "write_seconds"))))
+    rows = events.where("batch_rows IS NOT NULL").select("run_id", "seq", F.explode(kinds).alias("r")).select("run_id", "r.kind", "seq", "r.x")
+    by = ["run_id", "kind", "seq"]
+    dealt = rows.repartitionByRange(blocks, *by) if blocks else rows.repartitionByRange(*by)
+    steps = dealt.sortWithinPartitions(*by, "x").mapInArrow(folded, f"run_id {dict(rows.dtypes)['run_id']}, kind int, part int, keep double, add double, seed double")
+
+    def combined(kind: int) -> Column:
+        ordered = F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("seed").isNotNull(), F.struct("part", "keep", "add", "seed"))))
+        return F.aggregate(ordered, F.lit(None).cast("double"), lambda a, s: s["keep"] * F.coalesce(a, s["seed"]) + s["add"])
+
+    return steps.groupBy("run_id").agg(combined(0).alias("read_rate"), combined(1).alias("write_rate"))
 
 
 def throughput(events: DataFrame, least_seconds: float = 1.0) -> DataFrame:
-    """run_id, rate: the rows since the last sample over its seconds, at most once in least_seconds, blended when rows came; the sample's clock always advances."""
-    log = F.array_sort(F.collect_list(F.struct("seq", F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("rows_done").cast("double").alias("rows"))))
-    start = F.struct(F.lit(None).cast("double").alias("t"), F.lit(0.0).alias("rows"), F.lit(0.0).alias("rate"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap, delta = x["t"] - a["t"], x["rows"] - a["rows"]
-        due = a["t"].isNull() | (gap >= least_seconds)
-        now = delta / gap
-        rate = F.when(a["t"].isNull() | (delta <= 0), a["rate"]).when(a["rate"] == 0, now).otherwise(ALPHA * now + (1 - ALPHA) * a["rate"])
-        return F.when(due, F.struct(x["t"].alias("t"), x["rows"].alias("rows"), rate.alias("rate"))).otherwise(a)
-
-    return events.groupBy("run_id").agg(F.aggregate(log, start, step, lambda a: a["rate"]).alias("rate"))
+    """run_id, rate: the rows since the last sample over its seconds, at most once in least_seconds, blended when rows came; the sample's clock always advances.
+
+    Whether an event is a sample depends on the one before, so a run's events pass one task in order, as a stream of which only the last sample is kept.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
+        now, at, done, rate, kind = none, None, 0.0, 0.0, None
+        for batch in batches:
+            kind = batch.schema.field("run_id").type
+            ends, rates = [], []
+            for run_id, t, rows in zip(*(batch.column(c).to_pylist() for c in ("run_id", "t", "rows")), strict=True):
+                if now is none or run_id != now:
+                    if now is not none:
+                        ends.append(now)
+                        rates.append(rate)
+                    now, at, done, rate = run_id, None, 0.0, 0.0
+                if at is not None and (t is None or t - at < least_seconds):
+                    continue
+                delta = None if rows is None or done is None else rows - done
+                if at is not None and (delta is None or delta > 0):
+                    new = None if delta is None else delta / (t - at)
+                    rate = new if rate == 0 else None if new is None or rate is None else ALPHA * new + (1 - ALPHA) * rate
+                at, done = t, rows
+            if ends:
+                yield pa.RecordBatch.from_arrays([pa.array(ends, kind), pa.array(rates, pa.float64())], ["run_id", "rate"])
+        if now is not none:
+            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([rate], pa.float64())], ["run_id", "rate"])
+
+    rows = events.select("run_id", "seq", F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("rows_done").cast("double").alias("rows"))
+    return rows.repartition("run_id").sortWithinPartitions("run_id", "seq", "t", "rows").mapInArrow(run, f"run_id {dict(rows.dtypes)['run_id']}, rate double")
 
 
 def eta(snapshot: DataFrame) -> DataFrame:

@@ -58,9 +58,9 @@ def plan_collections(plan: DataFrame) -> DataFrame:
 
 
 def freeze_plan(plan: DataFrame) -> DataFrame:
-    """project_id, schema_plan: the project's plan rows as one JSON text, so that later overrides do not change a run."""
+    """project_id, collection, schema_plan: a collection's plan rows as one JSON text, so that later overrides do not change a run."""
     row = F.struct("collection", "field_name", *VALUES, "overridden")
-    return plan.groupBy("project_id").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("schema_plan"))
+    return plan.groupBy("project_id", "collection").agg(F.to_json(F.array_sort(F.collect_list(row))).alias("schema_plan"))
 
 
 def frozen_plan(frozen: DataFrame) -> DataFrame:

@@ -146,3 +146,54 @@ def test_null_keys(spark):
 def test_redaction(spark):
     df = spark.createDataFrame([("mongodb://u:p@h/db", "s"), ("u:p@q@tcp(h)/d", "")], "dsn string, password string")
     assert rows(runs.redact_credentials(df, ["dsn"], ["password"])) == [("***@tcp(h)/d", ""), ("mongodb://***@h/db", "***")]
+
+
+def test_rates_hold_no_log_in_a_row(spark):
+    import random
+
+    rng = random.Random(6)
+    log = [(run, seq, rng.choice([5, 9, None]), rng.choice([0.0, 0.25, 1.5, None]), 0.5 + seq % 3, seq * 0.4, None if run == 5 and seq == 30 else float(seq * rng.randrange(1, 4))) for run, n in ((1, 900), (2, 3), (5, 50), (None, 40)) for seq in range(n)]
+    log.append((4, 0, 5, 0.0, 0.0, 0.0, 1.0))
+    rng.shuffle(log)
+    df = spark.createDataFrame(log, "run_id long, seq long, batch_rows long, read_seconds double, write_seconds double, t double, rows_done double").withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+
+    def smooth(xs):
+        a = None
+        for x in xs:
+            a = x if a is None else 0.3 * x + 0.7 * a
+        return a
+
+    got = {r["run_id"]: (r["read_rate"], r["write_rate"]) for r in runs.smoothed_rates(df, blocks=7).collect()}
+    assert set(got) == {1, 2, 4, 5, None} and got[4] == (None, None)
+    for run, told in got.items():
+        own = sorted(r[1:5] for r in log if r[0] == run and r[2] is not None)
+        for i, x in enumerate(told):
+            want = smooth(r[1] / r[2 + i] for r in sorted(own, key=lambda r: r[0]) if r[2 + i])
+            assert (x is None and want is None) or abs(x - want) < 1e-9 * want
+
+    old = F.array_sort(F.collect_list(F.struct("seq", F.col("ts").cast("double").alias("t"), F.col("rows_done").alias("rows"))))
+    logs = df.groupBy("run_id").agg(old.alias("log")).collect()
+    want = {}
+    for r in logs:
+        at, done, rate = None, 0.0, 0.0
+        for _, t, rows in r["log"]:
+            if at is None or t - at >= 1:
+                if at is not None and rows is not None and done is not None and rows - done > 0:
+                    rate = rate if rate is None else (rows - done) / (t - at) if rate == 0 else 0.3 * (rows - done) / (t - at) + 0.7 * rate
+                elif at is not None and (rows is None or done is None):
+                    rate = None
+                at, done = t, rows
+        want[r["run_id"]] = rate
+    told = runs.throughput(df)
+    rates = {r["run_id"]: r["rate"] for r in told.collect()}
+    assert rates.keys() == want.keys() and want[1] > 0 and want[5] is None
+    assert all(rates[k] == (x if x is None else pytest.approx(x, rel=1e-9)) for k, x in want.items())
+    assert "collect_list" not in told._jdf.queryExecution().toString()
+
+
+def test_plans_are_frozen_by_collection(spark):
+    kind = "project_id string, collection string, field_name string, pg_column string, pg_type string, strategy string, is_pk boolean, nullable boolean, overridden boolean"
+    rows_ = [(p, c, f"f{i}", f"f{i}", "text", "direct", False, True, False) for p in "pq" for c in "abc" for i in range(3)]
+    plan = spark.createDataFrame(rows_, kind)
+    frozen = store.freeze_plan(plan)
+    assert frozen.count() == 6 and set(map(tuple, store.frozen_plan(frozen).collect())) == set(rows_)
