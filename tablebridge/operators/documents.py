@@ -6,9 +6,13 @@ plain JSON loses. A tagged object is a scalar.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablebridge.sources.shared import stored
+
 # The tags of the JSON form and the types they stand for.
 TAGS = {
     "$oid": "ObjectId",
@@ -23,7 +27,12 @@ TAGS = {
     "$minKey": "MinKey",
     "$maxKey": "MaxKey",
     "$code": "JavaScript",
+    "$symbol": "Symbol",
+    "$undefined": "Undefined",
+    "$dbPointer": "DBPointer",
 }
+#: Digits after the point of a decimal column.
+SCALE = 18
 
 
 def read_documents(spark: SparkSession, path: str, id_field: str = "_id") -> DataFrame:
@@ -55,7 +64,8 @@ def document_type(v: Column) -> Column:
     """The document type of a VARIANT: a tag's, or String, Boolean, Int64, Double, Array, Document, null."""
     shape = F.schema_of_variant(v)
     keys = F.when(shape.startswith("OBJECT<"), F.regexp_extract(shape, r"^OBJECT<`?(\$[A-Za-z]+)", 1))
-    tagged = F.element_at(F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv)), F.when(keys != "", keys))
+    keys = F.when((keys == "$code") & shape.contains("$scope"), "$scope").otherwise(keys)
+    tagged = F.element_at(F.create_map(*(F.lit(x) for kv in [*TAGS.items(), ("$scope", "CodeWithScope")] for x in kv)), F.when(keys != "", keys))
     plain = (
         F.when(F.is_variant_null(v), "null")
         .when(shape.startswith("OBJECT<"), "Document")
@@ -68,22 +78,23 @@ def document_type(v: Column) -> Column:
     return F.coalesce(tagged, plain)
 
 
-def walk_documents(docs: DataFrame, max_depth: int = 16) -> DataFrame:
-    """doc_id, field_name, type_name for every field of docs (doc_id, doc): nested documents are listed and entered, arrays listed only.
+def walk_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, field_name, type_name for every field of docs (doc_id, doc), at any depth: nested documents are listed and entered, arrays listed only.
 
-    One lateral explode a level, until no document is left or max_depth is reached.
+    One lateral explode a level. A level is written to the shared folder with the documents that it holds, so that the
+    source is read once and each level works on the documents of the one before.
     """
     spark, level, out = docs.sparkSession, docs.select("doc_id", F.lit("").alias("path"), F.col("doc").alias("v")), None
-    for _ in range(max_depth):
+    while True:
         opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         name = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-        found = opened.select("doc_id", name.alias("field_name"), document_type(F.col("value")).alias("type_name"), F.col("value").alias("v"))
+        typed = opened.select("doc_id", name.alias("field_name"), document_type(F.col("value")).alias("type_name"), F.col("value").alias("v"))
+        found = stored(typed.withColumn("v", F.when(F.col("type_name") == "Document", F.col("v"))), "level")
         rows = found.select("doc_id", "field_name", "type_name")
         out = rows if out is None else out.union(rows)
         level = found.where("type_name = 'Document'").select("doc_id", F.col("field_name").alias("path"), "v")
         if level.isEmpty():
-            break
-    return out
+            return out
 
 
 def field_frequency(walked: DataFrame, total: Column | int) -> DataFrame:
@@ -105,42 +116,107 @@ def coverage(occurrences: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(occurrences / total * 100)
 
 
+def _rfc3339(millis: Column) -> Column:
+    """A point of time in UTC, with as many digits of the second as it needs."""
+    utc = F.to_utc_timestamp(F.timestamp_millis(millis), F.current_timezone())
+    part = F.regexp_replace(F.date_format(utc, ".SSS"), r"\.?0+$", "")
+    return F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("Z"))
+
+
 def canonical_json(v: Column) -> Column:
-    """JSON text with sorted keys and the tags resolved at any depth: object ids, dates and decimals as text, numbers bare, binary in base64.
+    """JSON text with sorted keys and the tags resolved at any depth: object ids, decimals and symbols as text, dates by RFC 3339 in UTC, numbers bare, binary in base64.
 
     In JSON text a tag inside a string has escaped quotes, so the patterns match only tagged objects.
     """
-    text = F.to_json(v)
-    text = F.regexp_replace(text, r'\{"\$(?:numberInt|numberLong|numberDouble)":"([^"\\]*)"\}', "$1")
-    text = F.regexp_replace(text, r'\{"\$(?:oid|numberDecimal|date)":("(?:[^"\\]|\\.)*")\}', "$1")
-    text = F.regexp_replace(text, r'\{"\$date":(-?[0-9]+)\}', "$1")
-    text = F.regexp_replace(text, r'\{"\$binary":\{"base64":("[^"\\]*"),"subType":"[^"\\]*"\}\}', "$1")
-    return F.regexp_replace(text, r'\{"\$regularExpression":\{"options":"[^"\\]*","pattern":("(?:[^"\\]|\\.)*")\}\}', "$1")
-
-
-def direct_value(doc: Column, path: list[str], pg_type: str) -> Column:
-    """The typed value at a path; null where it does not convert. Documents and arrays become JSON text under text."""
-    tag = lambda t: tag_text(doc, path, t)
-    number = F.coalesce(tag("$numberInt"), tag("$numberLong"), tag("$numberDouble"), tag("$numberDecimal"), field(doc, path, "string"))
-    if pg_type in ("integer", "bigint"):
+    return _resolved(F.to_json(v))
+
+
+def _resolved(text: Column) -> Column:
+    """JSON text without its tags."""
+    date = r'\{"\$date":(?:\{"\$numberLong":"(-?[0-9]+)"\}|(-?[0-9]+))\}'
+    millis = F.transform(F.regexp_extract_all(text, F.lit(date), 0), lambda m: F.regexp_extract(m, r"(-?[0-9]+)[^0-9]*$", 1).try_cast("bigint"))
+    pieces = F.transform(F.split(text, date), lambda p, i: F.concat(p, F.coalesce(F.concat(F.lit('"'), _rfc3339(F.get(millis, i)), F.lit('"')), F.lit(""))))
+    found = F.when(text.contains('{"$date":'), F.array_join(pieces, "")).otherwise(text)
+    found = F.regexp_replace(found, r'\{"\$(?:numberInt|numberLong|numberDouble)":"([^"\\]*)"\}', "$1")
+    found = F.regexp_replace(found, r'\{"\$(?:oid|numberDecimal|date|symbol|code)":("(?:[^"\\]|\\.)*")\}', "$1")
+    found = F.regexp_replace(found, r'\{"\$binary":\{"base64":("[^"\\]*"),"subType":"[^"\\]*"\}\}', "$1")
+    found = F.regexp_replace(found, r'\{"\$regularExpression":\{"options":"[^"\\]*","pattern":("(?:[^"\\]|\\.)*")\}\}', "$1")
+    return F.when(text.contains('{"$'), found).otherwise(text)
+
+
+def _decimal(text: Column) -> Column:
+    """The exact decimal; null where it needs more than SCALE digits after the point or does not fit."""
+    shape = r"^[-+]?[0-9]*(?:\.([0-9]*?)0*)?(?:[eE]([-+]?[0-9]+))?$"
+    digits = F.length(F.regexp_extract(text, shape, 1)) - F.coalesce(F.regexp_extract(text, shape, 2).try_cast("int"), F.lit(0))
+    return F.when(text.rlike(shape) & (digits <= SCALE), text.try_cast(f"decimal(38,{SCALE})"))
+
+
+def _converted(plain: Column, inside: Column, pg_type: str) -> Column:
+    """The typed value of a field, from its plain text and, of an object, its map; null where it does not convert."""
+    tag, value = F.get(F.map_keys(inside), F.lit(0)), F.get(F.map_values(inside), F.lit(0))
+    alone = F.when(inside.isNull(), plain)
+    number = F.when(tag.isin("$numberInt", "$numberLong", "$numberDouble", "$numberDecimal"), value).otherwise(alone)
+    if pg_type == "integer":
+        return number.try_cast("int").cast("bigint")
+    if pg_type == "bigint":
         return number.try_cast("bigint")
     if pg_type == "double precision":
         return number.try_cast("double")
     if pg_type == "numeric":
-        return number.try_cast("decimal(38,6)")
+        return _decimal(number)
     if pg_type == "boolean":
-        return field(doc, path, "boolean")
+        return alone.try_cast("boolean")
     if pg_type == "timestamptz":
-        millis = F.try_variant_get(doc, "$" + "".join(map(_step, [*path, "$date", "$numberLong"])), "string").try_cast("bigint")
-        return F.coalesce(F.timestamp_millis(millis), tag("$date").try_cast("timestamp"))
+        millis = F.coalesce(F.regexp_extract(value, r'^\{"\$numberLong":"(-?[0-9]+)"\}$', 1).try_cast("bigint"), value.try_cast("bigint"))
+        return F.when(tag == "$date", F.coalesce(F.timestamp_millis(millis), value.try_cast("timestamp"))).otherwise(alone.try_cast("timestamp"))
     if pg_type == "bytea":
-        return F.unbase64(F.try_variant_get(doc, "$" + "".join(map(_step, [*path, "$binary", "base64"])), "string"))
-    v = field(doc, path)
-    whole = F.when(F.is_variant_null(v), F.lit(None)).otherwise(canonical_json(v))
-    if pg_type == "jsonb":
-        return whole
-    plain = F.coalesce(tag("$oid"), F.try_variant_get(doc, "$" + "".join(map(_step, [*path, "$regularExpression", "pattern"])), "string"), number)
-    return F.coalesce(plain, whole)
+        return F.when(tag == "$binary", F.unbase64(F.get_json_object(value, "$.base64")))
+    # text: documents, arrays and the rare types stay JSON text
+    text = F.when(tag.isin("$oid", "$numberInt", "$numberLong", "$numberDouble", "$numberDecimal", "$symbol"), value)
+    return text.when(tag == "$regularExpression", F.get_json_object(value, "$.pattern")).when(inside.isNotNull() | plain.startswith("["), _resolved(plain)).otherwise(plain)
+
+
+def _shape(paths: list[tuple[list[str], str]]) -> str:
+    """The struct type that holds these paths (of one or two names) with their types."""
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    tops: dict[str, list[str] | str] = {}
+    for parts, kind in paths:
+        if len(parts) == 1:
+            tops[parts[0]] = kind
+        else:
+            tops.setdefault(parts[0], []).append(f"{quoted(parts[1])}: {kind}")
+    return "struct<" + ", ".join(f"{quoted(k)}: {v if isinstance(v, str) else 'struct<' + ', '.join(v) + '>'}" for k, v in tops.items()) + ">"
+
+
+def _conversion(docs: DataFrame, plan: list[dict]) -> tuple[DataFrame, list[tuple[dict, Column]], Column]:
+    """docs with what the plan needs, the plan's rows with their values, and which documents are bad.
+
+    A document is opened twice: once into the plain texts of its planned scalars and the values for JSON columns, once into
+    the maps of those that are objects. It is bad if it did not parse or if a direct value, planned itself or as the child
+    of a flattened parent, is there and does not convert.
+    """
+    flat = {r["field_name"] for r in plan if r["strategy"] == "flatten"}
+    live = [(r, r["field_name"].split("."), "jsonb" if r["strategy"] == "as_jsonb" else r["pg_type"]) for r in plan if r["strategy"] in ("direct", "as_jsonb")]
+    filled = lambda parts: len(parts) == 1 or (len(parts) == 2 and parts[0] in flat)
+    wanted = [(parts, kind) for _, parts, kind in live if filled(parts)]
+    scalars = [(parts, "map<string, string>") for parts, kind in wanted if kind != "jsonb"]
+
+    def opened(shape: list[tuple[list[str], str]]) -> Column:
+        return F.try_variant_get("doc", "$", _shape(shape)) if shape else F.lit(None)
+
+    docs = docs.withColumns({"_plain": opened([(parts, "variant" if kind == "jsonb" else "string") for parts, kind in wanted]), "_inside": opened(scalars)})
+    values, bad = [], F.col("doc").isNull()
+    for r, parts, kind in live:
+        at = lambda name: reduce(lambda c, part: c.getField(part), parts, F.col(name))  # noqa: B023, E731
+        if not filled(parts):
+            value = F.lit(None).cast("string")  # only a flattened parent fills its children, one level deep
+        elif kind == "jsonb":
+            value = F.when(~F.is_variant_null(at("_plain")), canonical_json(at("_plain")))
+        else:
+            value = _converted(at("_plain"), at("_inside"), kind)
+            bad = bad | (at("_plain").isNotNull() & value.isNull())
+        values.append((r, value))
+    return docs, values, F.coalesce(bad, F.lit(False))
 
 
 def apply_plan(docs: DataFrame, plan: list[dict], on_error: str = "abort", extra: str = "_extra") -> DataFrame:
@@ -148,36 +224,25 @@ def apply_plan(docs: DataFrame, plan: list[dict], on_error: str = "abort", extra
 
     direct gives a typed column, as_jsonb JSON text, flatten the planned children of a document (one level; its other children and
     values that are no document go to `extra`), skip nothing. Top-level fields without a plan row go to `extra`, null where there
-    are none. A direct value that does not convert stops the job (abort), drops the document (skip) or is null (null).
+    are none. A direct value that does not convert stops the job (abort), drops the document (skip) or is null (null); so does a
+    document that did not parse. A decimal that needs more than 18 digits after the point does not convert, nor an integer beyond 32 bits.
     """
     top = {r["field_name"] for r in plan if "." not in r["field_name"]}
     flat = {r["field_name"] for r in plan if r["strategy"] == "flatten"}
-    columns, bad = [], F.lit(False)
+    docs, values, bad = _conversion(docs, plan)
     doc = F.col("doc")
-    for r in plan:
-        parts = r["field_name"].split(".")
-        child = len(parts) > 1
-        if r["strategy"] in ("skip", "flatten"):
-            continue
-        if child and parts[0] not in flat:
-            columns.append(F.lit(None).cast("string").alias(r["pg_column"]))  # only a flattened parent fills its children
-            continue
-        kind = "jsonb" if r["strategy"] == "as_jsonb" else r["pg_type"]
-        value = direct_value(doc, parts, kind)
-        columns.append(value.alias(r["pg_column"]))
-        raw = field(doc, parts)
-        bad = bad | (raw.isNotNull() & ~F.coalesce(F.is_variant_null(raw), F.lit(True)) & value.isNull())
     fields = F.coalesce(F.try_variant_get(doc, "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
     rest = F.map_filter(fields, lambda k, v: ~F.array_contains(F.array(*map(F.lit, sorted(top))) if top else F.array().cast("array<string>"), k))
     for name in sorted(flat):
         rest = F.map_concat(rest, _unplanned_children(doc, fields, name, [r["field_name"].split(".", 1)[1] for r in plan if r["field_name"].startswith(name + ".")]))
     text = F.when(F.size(rest) > 0, canonical_json(F.to_variant_object(rest)))
-    if on_error == "skip":
-        docs = docs.where(~bad)
-    elif on_error == "abort":
-        # a filter, so that column pruning cannot drop the check
-        docs = docs.where(F.assert_true(~bad, F.lit("a value does not convert to its planned type")).isNull())
-    return docs.select(*columns, text.alias(extra))
+    columns = [*(value.alias(r["pg_column"]) for r, value in values), text.alias(extra)]
+    if on_error == "null":
+        return docs.select(*columns)
+    good = ~bad if on_error == "skip" else F.assert_true(~bad, F.lit("a value does not convert to its planned type")).isNull()
+    # row and check are made together and meet in the explode: neither can be pushed down or pruned away alone
+    checked = docs.select(F.struct(*columns).alias("row"), good.alias("good"))
+    return checked.select(F.explode(F.when(F.col("good"), F.array("row"))).alias("r")).select("r.*")
 
 
 def _unplanned_children(doc: Column, fields: Column, name: str, known: list[str]) -> Column:
@@ -191,11 +256,6 @@ def _unplanned_children(doc: Column, fields: Column, name: str, known: list[str]
 
 
 def rejected_documents(docs: DataFrame, plan: list[dict]) -> DataFrame:
-    """The documents that apply_plan would drop under skip."""
-    bad = F.lit(False)
-    for r in plan:
-        parts = r["field_name"].split(".")
-        if r["strategy"] == "direct" and len(parts) == 1:
-            raw = field(F.col("doc"), parts)
-            bad = bad | (raw.isNotNull() & ~F.coalesce(F.is_variant_null(raw), F.lit(True)) & direct_value(F.col("doc"), parts, r["pg_type"]).isNull())
-    return docs.where(bad | F.col("doc").isNull())
+    """The documents that apply_plan drops under skip."""
+    checked, _, bad = _conversion(docs, plan)
+    return checked.where(bad).drop("_plain", "_inside")

@@ -29,20 +29,23 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], order_by: str
     Columns that only the target has keep their value; those in keep_first keep a value that is not null. Of source rows
     with equal keys the last by order_by counts.
     """
-    s = last_by_key(source, keys, order_by).withColumn("_new", F.lit(True)).alias("s")
-    t = target.alias("t")
-    joined = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "full")
-    out = []
-    for c in target.columns:
-        if c not in source.columns:
-            out.append(F.col(f"t.{c}").alias(c))
-        elif c in keys:
-            out.append(F.coalesce(f"s.{c}", f"t.{c}").alias(c))
-        elif c in keep_first:
-            out.append(F.coalesce(f"t.{c}", f"s.{c}").alias(c))
-        else:
-            out.append(F.when(F.col("s._new"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c))
-    return joined.select(*out)
+    s = last_by_key(source, keys, order_by)
+    shared = [c for c in target.columns if c in source.columns]
+    if len(shared) == len(target.columns) and not keep_first:
+        # whole rows are overwritten: only the source's keys meet the target, and a small source needs no shuffle of it
+        return target.join(s.select(*keys), keys, "left_anti").select(*target.columns).unionByName(s.select(*target.columns))
+    on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
+    joined = target.alias("t").join(s.withColumn("_new", F.lit(True)).alias("s"), on, "left")
+
+    def value(c: str) -> Column:
+        if c not in shared or c in keys:
+            return F.col(f"t.{c}").alias(c)
+        if c in keep_first:
+            return F.coalesce(f"t.{c}", f"s.{c}").alias(c)
+        return F.when(F.col("s._new"), F.col(f"s.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
+
+    new = s.join(target.select(*keys), keys, "left_anti").select(*shared)
+    return joined.select(*map(value, target.columns)).unionByName(new, allowMissingColumns=True)
 
 
 def replace_rows(target: DataFrame, source: DataFrame, keys: list[str], order_by: str | None = None) -> DataFrame:
@@ -116,10 +119,15 @@ def export_bulk_text(df: DataFrame, path: str) -> None:
 
 
 def alter_columns(df: DataFrame, changes: list[dict]) -> DataFrame:
-    """One select for changes of kind add (name, type, default), drop (name) and alter (name, type)."""
+    """One select for changes of kind add (name, type, default, nullable), drop (name) and alter (name, type).
+
+    An added column that is not nullable needs a default, as the rows that are there already must have a value.
+    """
     columns = {c: F.col(c) for c in df.columns}
     for x in changes:
         if x["kind"] == "add":
+            if not x.get("nullable", True) and x.get("default") is None:
+                raise ValueError(f"column {x['name']} is not nullable and has no default")
             columns.setdefault(x["name"], F.lit(x.get("default")).cast(x["type"]))
         elif x["kind"] == "drop":
             columns.pop(x["name"], None)

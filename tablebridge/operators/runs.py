@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,6 +22,11 @@ def register_tables(registry: DataFrame, names: DataFrame) -> DataFrame:
     return insert_new(registry, names, ["project_id", "table_name"])
 
 
+def update_registry(registry: DataFrame, results: DataFrame) -> DataFrame:
+    """Upsert of a run's results by (project_id, table_name)."""
+    return upsert(registry, results, ["project_id", "table_name"])
+
+
 def update_progress(progress: DataFrame, updates: DataFrame) -> DataFrame:
     """Upsert by (migration_id, table_name); started_at keeps its first value."""
     return upsert(progress, updates, ["migration_id", "table_name"], keep_first=("started_at",))
@@ -75,9 +82,16 @@ def active_runs(runs: DataFrame, statuses: tuple[str, ...] = ("pending", "in_pro
 
 
 def run_history(runs: DataFrame, progress: DataFrame) -> DataFrame:
-    """id, status, started_at, n_tables, tables (name=rows, by name) of each run."""
+    """id, status, started_at, n_tables, tables (name=rows, by name) of each run, the newest first."""
     by = progress.groupBy(F.col("migration_id").alias("id")).agg(F.count("*").alias("n_tables"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "table_name", F.col("rows_transferred").cast("string")))), ",").alias("tables"))
-    return runs.join(by, "id", "left").select("id", "status", "started_at", F.coalesce("n_tables", F.lit(0).cast("long")).alias("n_tables"), F.coalesce("tables", F.lit("")).alias("tables"))
+    return runs.join(by, "id", "left").select("id", "status", "started_at", F.coalesce("n_tables", F.lit(0).cast("long")).alias("n_tables"), F.coalesce("tables", F.lit("")).alias("tables")).orderBy(F.desc("started_at"), F.desc("id"))
+
+
+def purge_project(stores: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:
+    """Each store without a project: its own rows, and those of its runs (the store `runs` has id and project_id) in stores that know only runs."""
+    gone = F.col("project_id").eqNullSafe(F.lit(project_id))
+    by_run = purge_runs({n: df for n, df in stores.items() if "project_id" not in df.columns}, stores["runs"].where(gone).select("id"))
+    return by_run | {n: df.where(~gone) for n, df in stores.items() if "project_id" in df.columns}
 
 
 def purge_runs(stores: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
@@ -92,13 +106,14 @@ def purge_runs(stores: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFr
 def fold_tables(events: DataFrame) -> DataFrame:
     """run_id, table_name, status, rows_total, rows_transferred, error: the last state of each table in the log (run_id, table_name, seq, kind, rows_total, rows_transferred, error).
 
-    A total is raised to what was transferred, and set to it when the table is done.
+    A total is raised to what was transferred, and set to it when the table is done. A table that was only registered is
+    pending, one that was only counted so far counting; counting never takes a later state back.
     """
     kind = F.col("kind")
-    status = F.when(kind == "table_done", "done").when(kind == "table_failed", "failed").when(kind == "table_cancelled", "cancelled").when(kind.isin("batch", "table_started", "counting"), "in_progress")
+    status = F.when(kind == "table_done", "done").when(kind == "table_failed", "failed").when(kind == "table_cancelled", "cancelled").when(kind.isin("batch", "table_started"), "in_progress")
     by = events.where("table_name IS NOT NULL").withColumn("status", status)
     last = by.groupBy("run_id", "table_name").agg(
-        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("status"),
+        F.coalesce(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))), F.when(F.bool_or(kind == "counting"), "counting").otherwise("pending")).alias("status"),
         F.max_by("rows_total", F.when(F.col("rows_total").isNotNull(), F.col("seq"))).alias("total"),
         F.max_by("rows_transferred", F.when(F.col("rows_transferred").isNotNull(), F.col("seq"))).alias("rows_transferred"),
         F.max_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("error"),
@@ -116,7 +131,36 @@ def fold_runs(tables: DataFrame) -> DataFrame:
         F.count("*").alias("tables_total"),
         count("done").alias("tables_done"),
         count("failed").alias("tables_failed"),
-        count("in_progress").alias("tables_in_progress"),
+        count("cancelled").alias("tables_cancelled"),
+        F.count_if(F.col("status").isin("in_progress", "counting")).alias("tables_in_progress"),
+        count("pending").alias("tables_pending"),
+    )
+
+
+# The phase that an event starts.
+PHASES = {
+    "counting": "in_progress",
+    "table_started": "in_progress",
+    "resumed": "in_progress",
+    "schema_phase": "schema",
+    "post_schema_phase": "post_schema",
+    "paused": "paused",
+    "complete": "complete",
+    "error": "failed",
+    "cancelled": "cancelled",
+}
+
+
+def run_phase(events: DataFrame) -> DataFrame:
+    """run_id, phase, current_table, error: the phase by the last event that sets one (pending before), the table last worked on ('' where the run ended), the last error of the run itself."""
+    kind, seq = F.col("kind"), F.col("seq")
+    phase = F.element_at(F.create_map(*(F.lit(x) for kv in PHASES.items() for x in kv)), kind)
+    table = F.when(kind.isin("counting", "table_started", "batch"), F.col("table_name")).when(kind.isin("complete", "cancelled"), "")
+    marked = events.select("run_id", "seq", "kind", "error", phase.alias("phase"), table.alias("current"))
+    return marked.groupBy("run_id").agg(
+        F.coalesce(F.max_by("phase", F.when(F.col("phase").isNotNull(), seq)), F.lit("pending")).alias("phase"),
+        F.coalesce(F.max_by("current", F.when(F.col("current").isNotNull(), seq)), F.lit("")).alias("current_table"),
+        F.max_by("error", F.when(kind == "error", seq)).alias("error"),
     )
 
 
@@ -205,16 +249,30 @@ def eta(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("eta_seconds", F.when(F.col("done") | (rate <= 0), 0.0).otherwise(left))
 
 
-def stats_history(events: DataFrame, every: str = "5 seconds") -> DataFrame:
-    """run_id, snapshot_at, rows_transferred: the rows moved until the end of each interval with events."""
-    by = events.groupBy("run_id", F.window("ts", every)["end"].alias("snapshot_at")).agg(F.sum("batch_rows").alias("moved"))
+def stats_history(events: DataFrame, totals: DataFrame | None = None, every: str = "5 seconds") -> DataFrame:
+    """run_id, snapshot_at, rows_transferred, rate, final: the rows moved until the end of each interval with events, and the rows a second of that interval.
+
+    A run that has ended (its log holds complete, error or cancelled) has one more snapshot, final, at its last event. With
+    totals (run_id, rows_total) each snapshot has rows_total and percent, cut to a whole number, 0 where nothing is to be moved.
+    """
+    seconds = F.unix_timestamp(F.window("ts", every)["end"]) - F.unix_timestamp(F.window("ts", every)["start"])
+    by = events.groupBy("run_id", F.window("ts", every)["end"].alias("snapshot_at"), seconds.alias("seconds")).agg(F.sum("batch_rows").alias("moved"))
     upto = Window.partitionBy("run_id").orderBy("snapshot_at").rowsBetween(Window.unboundedPreceding, 0)
-    return by.select("run_id", "snapshot_at", F.sum("moved").over(upto).alias("rows_transferred"))
+    regular = by.select("run_id", "snapshot_at", F.coalesce(F.sum("moved").over(upto), F.lit(0)).cast("long").alias("rows_transferred"), (F.coalesce("moved", F.lit(0)) / F.col("seconds")).alias("rate"), F.lit(False).alias("final"))
+    ended = F.bool_or(F.col("kind").isin("complete", "error", "cancelled"))
+    ends = events.groupBy("run_id").agg(F.max("ts").cast("timestamp").alias("snapshot_at"), F.coalesce(F.sum("batch_rows"), F.lit(0)).cast("long").alias("rows_transferred"), ended.alias("ended"))
+    last = ends.where("ended").select("run_id", F.col("snapshot_at").cast(dict(regular.dtypes)["snapshot_at"]).alias("snapshot_at"), "rows_transferred", F.lit(0.0).alias("rate"), F.lit(True).alias("final"))
+    history = regular.union(last)
+    if totals is None:
+        return history
+    percent = F.when(F.col("rows_total") > 0, F.floor(F.col("rows_transferred") * 100 / F.col("rows_total"))).otherwise(0).cast("int")
+    return history.join(totals.select("run_id", "rows_total"), "run_id", "left").withColumn("percent", percent)
 
 
 def history_summary(history: DataFrame) -> DataFrame:
-    """run_id, snapshots, first_at, last_at, seconds, final_rows."""
-    by = history.groupBy("run_id").agg(F.count("*").alias("snapshots"), F.min("snapshot_at").alias("first_at"), F.max("snapshot_at").alias("last_at"), F.max_by("rows_transferred", "snapshot_at").alias("final_rows"))
+    """run_id, snapshots, first_at, last_at, seconds, final_rows, peak_rate of stats_history."""
+    at = F.struct("final", "snapshot_at")
+    by = history.groupBy("run_id").agg(F.count("*").alias("snapshots"), F.min("snapshot_at").alias("first_at"), F.max("snapshot_at").alias("last_at"), F.max_by("rows_transferred", at).alias("final_rows"), F.max("rate").alias("peak_rate"))
     return by.withColumn("seconds", F.unix_timestamp("last_at") - F.unix_timestamp("first_at"))
 
 
@@ -227,24 +285,27 @@ def project_status(tables: DataFrame, registry: DataFrame, run_id) -> DataFrame:
     return own.unionByName(rest)
 
 
-# Class of an error by the first text that it holds.
+def project_totals(status: DataFrame) -> DataFrame:
+    """tables, rows_total, rows_transferred over all tables of project_status."""
+    zero = F.lit(0).cast("long")
+    return status.agg(F.count("*").alias("tables"), F.coalesce(F.sum("rows_total"), zero).alias("rows_total"), F.coalesce(F.sum("rows_transferred"), zero).alias("rows_transferred"))
+
+
+# Class of an error by the first rule of which it holds, as written, all texts of one group.
 FAILURES = [
-    ("missing_database", ["does not exist", "unknown database"]),
-    ("ssl", ["ssl", "tls"]),
-    ("auth", ["password authentication", "access denied", "authentication failed"]),
-    ("refused", ["connection refused"]),
-    ("hostname", ["no such host", "name resolution"]),
-    ("timeout", ["timeout", "timed out", "deadline exceeded"]),
+    ("missing_database", [["does not exist", "3D000"], ["does not exist", "database"]]),
+    ("ssl", [["pg_hba.conf"], ["SSL off"]]),
+    ("auth", [["authentication failed"], ["password authentication"]]),
+    ("refused", [["connection refused"]]),
+    ("hostname", [["no such host"], ["hostname"]]),
+    ("timeout", [["i/o timeout"], ["context deadline"]]),
 ]
 
 
 def failure_class(error: Column) -> Column:
-    low, out = F.lower(error), None
-    for name, parts in FAILURES:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | low.contains(p)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
+    out = F.when(F.lit(False), "")
+    for name, groups in FAILURES:
+        out = out.when(reduce(or_, (reduce(and_, (error.contains(p) for p in group)) for group in groups)), name)
     return out.otherwise("other")
 
 
@@ -254,9 +315,12 @@ def classify_failures(errors: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column) -> Column:
-    """A connection string without its user and password: up to the first @ of a URL, the last @ otherwise."""
-    url = F.regexp_replace(text, r"^([a-zA-Z][a-zA-Z0-9+.-]*://)[^@/]*@", "$1***@")
-    return F.when(text.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), url).otherwise(F.regexp_replace(text, r"^.*@", "***@"))
+    """A connection string without its user and password.
+
+    In document and Postgres URIs all between the scheme and the first @ goes, whatever it holds; in other texts all before the last @. Without an @ nothing changes.
+    """
+    uri = r"(?s)^((?:mongodb(?:\+srv)?|postgres(?:ql)?)://)"
+    return F.when(text.rlike(uri), F.regexp_replace(text, uri + "[^@]*@", "$1***:***@")).otherwise(F.regexp_replace(text, "(?s)^.*@", "***:***@"))
 
 
 def redact_credentials(df: DataFrame, columns: list[str], passwords: list[str] = ()) -> DataFrame:

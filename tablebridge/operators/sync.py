@@ -25,17 +25,30 @@ def sync_table(source: DataFrame, target: DataFrame | None, mode: str, keys: lis
 
 
 def sync_tables(
-    spark: SparkSession, tables: list[dict], write: Callable[[str, DataFrame], None], mode: str = "delta", constraints: list[dict] | None = None, workers: int = 4, data_only: bool = False, schema_only: bool = False
+    spark: SparkSession,
+    tables: list[dict],
+    write: Callable[[str, DataFrame], None],
+    mode: str = "delta",
+    constraints: list[dict] | None = None,
+    workers: int = 4,
+    data_only: bool = False,
+    schema_only: bool = False,
+    read: Callable[[str], DataFrame] | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """table_name, status, rows, violations, error per table of tables (name, source, target, keys); write stores a table's new rows.
 
     Tables load in parallel as independent jobs. schema_only writes empty tables, data_only skips the checks; truncate skips them too.
+    With read, which gives a stored table back, counts and checks read what was written instead of computing it again.
+    strict raises an error after all tables have ended if one of them failed.
     """
 
     def one(t: dict) -> tuple:
         try:
             new = sync_table(t["source"], t.get("target"), mode, t.get("keys", []))
             write(t["name"], new.limit(0) if schema_only else new)
+            if read:
+                new = read(t["name"])
             own = [c for c in constraints or [] if c["table"] == t["name"]]
             bad = 0
             if own and not (data_only or schema_only or mode == "truncate"):
@@ -46,4 +59,6 @@ def sync_tables(
 
     with ThreadPoolExecutor(workers) as pool:
         rows = list(pool.map(one, tables))
+    if strict and (failed := [f"{r[0]} ({r[4]})" for r in rows if r[1] == "failed"]):
+        raise RuntimeError("tables failed: " + ", ".join(failed))
     return spark.createDataFrame(rows, "table_name string, status string, rows long, violations long, error string")

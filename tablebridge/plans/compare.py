@@ -78,24 +78,42 @@ def compatibility(issues: DataFrame, tables: DataFrame) -> DataFrame:
     return tables.join(by, "table_name", "left").select("table_name", F.coalesce("issues", zero).alias("issues"), F.coalesce("errors", zero).alias("errors"), (F.coalesce("errors", zero) == 0).alias("compatible"))
 
 
-def side_by_side(source: DataFrame, target: DataFrame) -> DataFrame:
-    """table_name, column_name, source_type, target_type; either may be null."""
+def side_by_side(source: DataFrame, target: DataFrame, plan: DataFrame | None = None) -> DataFrame:
+    """table_name, column_name, source_type, target_type; either may be null. With a plan (collection, field_name, pg_type, strategy) also planned_type and strategy where it has the column."""
     s = source.select("table_name", "column_name", F.col("type").alias("source_type"))
     t = target.select("table_name", "column_name", F.col("type").alias("target_type"))
-    return s.join(t, ["table_name", "column_name"], "full")
+    both = s.join(t, ["table_name", "column_name"], "full")
+    if plan is None:
+        return both
+    p = plan.select(F.col("collection").alias("table_name"), F.col("field_name").alias("column_name"), F.nullif("pg_type", F.lit("")).alias("planned_type"), "strategy")
+    return both.join(p, ["table_name", "column_name"], "left")
 
 
-def render_ddl(columns: DataFrame, dialect: str = "postgres") -> DataFrame:
-    """table_name, ddl: CREATE TABLE text from columns with ordinal; MySQL types are mapped for Postgres, the key is a table clause."""
+def render_ddl(columns: DataFrame, dialect: str = "postgres", constraints: DataFrame | None = None) -> DataFrame:
+    """table_name, ddl: CREATE TABLE text from columns with ordinal and, if there is such a column, default (SQL text); MySQL types are mapped for Postgres, the key is a table clause.
+
+    constraints (table_name, name, kind, columns, ref_table, ref_columns, clause), column lists comma-joined, become clauses
+    of the sqlite text, where they cannot be added later; foreign keys first, then checks, by name.
+    """
     quote = "`" if dialect == "mysql" else '"'
     kind = map_type(F.col("type")) if dialect == "postgres" else F.col("type")
-    line = F.concat(F.lit(quote), "column_name", F.lit(quote + " "), kind, F.when(~F.col("nullable"), F.lit(" NOT NULL")).otherwise(F.lit("")))
+    default = F.coalesce(F.concat(F.lit(" DEFAULT "), "default"), F.lit("")) if "default" in columns.columns else F.lit("")
+    line = F.concat(F.lit(quote), "column_name", F.lit(quote + " "), kind, F.when(~F.col("nullable"), F.lit(" NOT NULL")).otherwise(F.lit("")), default)
     by = columns.groupBy("table_name").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))).alias("lines"),
         F.array_sort(F.collect_list(F.when(F.col("is_pk"), F.struct("ordinal", F.concat(F.lit(quote), "column_name", F.lit(quote)).alias("line"))))).alias("keys"),
     )
     key = F.when(F.size("keys") > 0, F.concat(F.lit(", PRIMARY KEY ("), F.array_join(F.transform("keys", lambda x: x["line"]), ", "), F.lit(")"))).otherwise(F.lit(""))
-    return by.select("table_name", F.concat(F.lit(f"CREATE TABLE IF NOT EXISTS {quote}"), "table_name", F.lit(f"{quote} ("), F.array_join(F.transform("lines", lambda x: x["line"]), ", "), key, F.lit(")")).alias("ddl"))
+    more = F.lit("")
+    if constraints is not None and dialect == "sqlite":
+        named = lambda c: F.concat(F.lit(quote), F.replace(F.col(c), F.lit(","), F.lit(f"{quote}, {quote}")), F.lit(quote))
+        foreign = F.concat(F.lit(", FOREIGN KEY ("), named("columns"), F.lit(f") REFERENCES {quote}"), "ref_table", F.lit(f"{quote} ("), named("ref_columns"), F.lit(")"))
+        clause = F.when(F.col("kind") == "foreign_key", foreign).when(F.col("kind") == "check", F.concat(F.lit(", CHECK ("), "clause", F.lit(")")))
+        own = constraints.withColumn("_clause", clause).where("_clause IS NOT NULL")
+        lists = own.groupBy("table_name").agg(F.array_sort(F.collect_list(F.struct((F.col("kind") == "check").alias("late"), "name", "_clause"))).alias("more"))
+        by = by.join(lists, "table_name", "left")
+        more = F.coalesce(F.array_join(F.transform("more", lambda x: x["_clause"]), ""), F.lit(""))
+    return by.select("table_name", F.concat(F.lit(f"CREATE TABLE IF NOT EXISTS {quote}"), "table_name", F.lit(f"{quote} ("), F.array_join(F.transform("lines", lambda x: x["line"]), ", "), key, more, F.lit(")")).alias("ddl"))
 
 
 def assemble_indexes(rows: DataFrame) -> DataFrame:
@@ -117,5 +135,5 @@ def list_checks(rows: DataFrame) -> DataFrame:
 
 
 def introspect_columns(name: str, df: DataFrame, keys: list[str] = ()) -> list[tuple]:
-    """Rows (table_name, column_name, type, nullable, is_pk, ordinal) of a DataFrame's schema."""
-    return [(name, f.name, f.dataType.simpleString(), f.nullable and f.name not in keys, f.name in keys, i) for i, f in enumerate(df.schema, 1)]
+    """Rows (table_name, column_name, type, nullable, is_pk, ordinal, default) of a DataFrame's schema; the default is the column's, where the catalog keeps one."""
+    return [(name, f.name, f.dataType.simpleString(), f.nullable and f.name not in keys, f.name in keys, i, f.metadata.get("CURRENT_DEFAULT")) for i, f in enumerate(df.schema, 1)]

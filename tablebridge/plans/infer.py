@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablebridge.sources.shared import stored
+
 # Document type to column type.
 SINGLE = {
     "String": "text",
@@ -23,6 +25,24 @@ SINGLE = {
 }
 # Type of the key by its most frequent document type; others are text with a warning.
 KEY_TYPES = {"ObjectId": "text", "String": "text", "Binary": "text", "Int32": "integer", "Int64": "bigint", "Document": "jsonb"}
+# Choices offered for a field by its only type, the recommended one first; a type alone is direct, a strategy alone has no type.
+CHOICES = {
+    "String": ["text", "jsonb"],
+    "Int32": ["integer", "bigint", "text"],
+    "Int64": ["bigint", "text"],
+    "Double": ["double precision", "numeric", "text"],
+    "Decimal128": ["numeric", "double precision", "text"],
+    "Boolean": ["boolean", "text"],
+    "Date": ["timestamptz", "text"],
+    "ObjectId": ["text"],
+    "Binary": ["bytea", "text"],
+    "Array": ["jsonb", "skip"],
+    "Document": ["jsonb", "flatten", "skip"],
+    "Regex": ["text", "skip"],
+}
+# Choices for the key by its most frequent type, and for a field of several types by the type that they widen to.
+KEY_CHOICES = {"Int32": ["integer", "bigint"], "Int64": ["bigint", "integer"], "Binary": ["text", "uuid"], "Document": ["jsonb"]}
+WIDE_CHOICES = {"bigint": ["bigint", "jsonb"], "double precision": ["double precision", "numeric", "jsonb"], "text": ["text", "jsonb"]}
 NUMBERS = ["Int32", "Int64", "Double", "Decimal128"]
 LONGEST = 63
 
@@ -32,7 +52,10 @@ def _map(values: dict[str, str]) -> Column:
 
 
 def infer_types(freq: DataFrame) -> DataFrame:
-    """freq (field_name, types, null_count, absent_count, …) with pg_type, strategy, is_pk, nullable, warnings."""
+    """freq (field_name, types, null_count, absent_count, …) with pg_type, strategy, is_pk, nullable, warnings, options.
+
+    options are the choices for the field, the recommended one first: a type that is stored directly (jsonb as JSON text), or flatten or skip.
+    """
     names = F.transform("types", lambda t: t["type_name"])
     within = lambda *xs: F.size(F.array_except(names, F.array(*map(F.lit, xs)))) == 0
     has = lambda *xs: F.arrays_overlap(names, F.array(*map(F.lit, xs)))
@@ -55,43 +78,55 @@ def infer_types(freq: DataFrame) -> DataFrame:
         .when(first == "Regex", "regex flags are dropped")
         .when(first.isNotNull() & F.element_at(_map(SINGLE), first).isNull(), F.concat(F.lit("unmapped type: "), first))
     )
+    lists = lambda d: F.create_map(*(x for k, v in d.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    decimals = F.when(within("Double", "Decimal128"), F.array(*map(F.lit, ("numeric", "double precision", "jsonb")))).otherwise(F.array(F.lit("numeric"), F.lit("jsonb")))
+    contained = F.when(nested, F.array(F.lit("jsonb"), F.lit("skip"))).otherwise(F.array(*map(F.lit, ("jsonb", "text", "skip"))))
+    widened = F.when(wide == "numeric", decimals).when(wide == "jsonb", contained).otherwise(F.element_at(lists(WIDE_CHOICES), wide))
+    alone = F.coalesce(F.element_at(lists(CHOICES), first), F.array(F.lit("jsonb"), F.lit("skip")))
+    none = F.size(names) == 0
+    options = F.when(key, F.coalesce(F.element_at(lists(KEY_CHOICES), first), F.array(F.lit("text")))).when(none, F.array(F.lit("text"))).when(F.size(names) > 1, widened).otherwise(alone)
     strategy = F.when(key, "direct").when(pg == "jsonb", "as_jsonb").otherwise("direct")
     nullable = ~key & ((F.col("null_count") > 0) | (F.col("absent_count") > 0) | F.col("field_name").contains("."))
-    return freq.withColumns({"pg_type": pg, "strategy": strategy, "is_pk": key, "nullable": nullable, "warnings": F.array_compact(F.array(warning))})
+    return freq.withColumns({"pg_type": pg, "strategy": strategy, "is_pk": key, "nullable": nullable, "warnings": F.array_compact(F.array(warning)), "options": options})
+
+
+def _cut(name: Column, most: Column) -> Column:
+    """The longest beginning of the name that has at most so many bytes and ends with a whole code point."""
+    ends = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(name), F.lit(LONGEST))))
+    whole = F.aggregate(ends, F.lit(""), lambda acc, i: F.when(F.octet_length(F.substring(name, F.lit(1), i)) <= most, F.substring(name, F.lit(1), i)).otherwise(acc))
+    return F.when(F.octet_length(name) <= most, name).otherwise(whole)
 
 
 def base_name(field: Column) -> Column:
     """Dots and invalid characters to underscores, an underscore before a leading digit, at most 63 bytes."""
     name = F.regexp_replace(field, r"[^\p{L}\p{Nd}_]", "_")
     name = F.when(name == "", "_field").when(name.rlike(r"^\p{Nd}"), F.concat(F.lit("_"), name)).otherwise(name)
-    whole = F.octet_length(name) <= LONGEST
-    # cut at the last code point that still ends within the bytes
-    cut = F.aggregate(F.sequence(F.lit(1), F.least(F.length(name), F.lit(LONGEST))), F.lit(""), lambda acc, i: F.when(F.octet_length(F.substring(name, F.lit(1), i)) <= LONGEST, F.substring(name, F.lit(1), i)).otherwise(acc))
-    return F.when(whole, name).otherwise(cut)
+    return _cut(name, F.lit(LONGEST))
 
 
 def column_names(plan: DataFrame, group: list[str] = ()) -> DataFrame:
     """plan (field_name, …) with pg_column, unique in each group: later fields (`_id` first, then by name) get _2, _3 and so on.
 
-    Suffixed names can collide again, so the numbering repeats until none does; a plan is of the size of a schema.
+    A base is cut to 60 bytes, or further where its suffix needs the room, so that no name exceeds 63. Suffixed names can
+    collide again; then the later ones count on. Every round settles at least one more name, and rounds end when none collides.
     """
     first = F.when(F.col("field_name") == "_id", 0).otherwise(1)
-    rows = plan.withColumn("_base", base_name(F.col("field_name"))).withColumn("pg_column", F.col("_base")).withColumn("_try", F.lit(1))
-    for _ in range(20):
+    rows = stored(plan.withColumn("_base", base_name(F.col("field_name"))).withColumn("pg_column", F.col("_base")).withColumn("_try", F.lit(1)), "names")
+    while True:
         rank = F.row_number().over(Window.partitionBy(*group, "pg_column").orderBy(F.col("_try"), first, "field_name"))
         numbered = rows.withColumn("_rank", rank)
         if numbered.where("_rank > 1").isEmpty():
-            break
+            return rows.drop("_base", "_try")
         taken = F.when(F.col("_rank") > 1, F.greatest(F.col("_rank"), F.col("_try") + 1)).otherwise(F.col("_try"))
-        rows = numbered.withColumn("_try", taken)
-        suffixed = F.concat(F.substring("_base", 1, 60), F.lit("_"), F.col("_try").cast("string"))
-        rows = rows.withColumn("pg_column", F.when(F.col("_try") > 1, suffixed).otherwise(F.col("_base"))).drop("_rank")
-    return rows.drop("_base", "_try", "_rank")
+        counted = numbered.withColumn("_try", taken)
+        suffix = F.concat(F.lit("_"), F.col("_try").cast("string"))
+        suffixed = F.concat(_cut(F.col("_base"), F.least(F.lit(LONGEST - 3), LONGEST - F.length(suffix))), suffix)
+        rows = stored(counted.withColumn("pg_column", F.when(F.col("_try") > 1, suffixed).otherwise(F.col("_base"))).drop("_rank"), "names")
 
 
 def infer_schema(freq: DataFrame) -> DataFrame:
-    """field_name, pg_column, pg_type, strategy, is_pk, nullable of each field."""
-    return column_names(infer_types(freq)).select("field_name", "pg_column", "pg_type", "strategy", "is_pk", "nullable")
+    """field_name, pg_column, pg_type, strategy, is_pk, nullable, options of each field."""
+    return column_names(infer_types(freq)).select("field_name", "pg_column", "pg_type", "strategy", "is_pk", "nullable", "options")
 
 
 def plan_columns(plan: DataFrame, extra: str = "_extra") -> DataFrame:

@@ -9,6 +9,7 @@ from tablebridge.operators import documents as docs
 from tablebridge.plans import infer
 from tablebridge.queries import query
 from tablebridge.sources.scan import scan_table as table
+from tablebridge.sources.scan import spread
 from tablebridge.sources.shared import shared_path
 from tablebridge.streaming import sync as streaming
 
@@ -41,9 +42,14 @@ def order_json(orders: DataFrame) -> DataFrame:
     return orders.select(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")).alias("json"))
 
 
+def order_lines(spark: SparkSession, d: str) -> DataFrame:
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"))
+    named = orders.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
+    return order_json(named)
+
+
 def order_documents(spark: SparkSession, d: str) -> DataFrame:
-    named = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation").select("n_nationkey", "n_name")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return docs.parse_documents(order_json(named), "json")
+    return docs.parse_documents(order_lines(spark, d), "json")
 
 
 FIELDS = [
@@ -91,17 +97,38 @@ PLAN = [
     ("metadata", "metadata", "jsonb", "as_jsonb", False, True), ("metadata.a", "metadata_a", "text", "direct", False, True), ("metadata.z", "metadata_z", "integer", "direct", False, True),
     ("blank", "blank", "text", "direct", False, True), ("1st-ref", "_1st_ref", "text", "direct", False, False),
 ]
-PLAN_SQL = "SELECT * FROM (VALUES " + ", ".join(str(r).replace("True", "true").replace("False", "false") for r in PLAN) + ") t(field_name, pg_column, pg_type, strategy, is_pk, nullable)"
+# The rules of inference over the types that the orders' documents really have.
+PLAN_SQL = f"""WITH f AS ({FREQ_SQL}), k AS (
+    SELECT field_name, types, field_name = '_id' AS is_pk, null_count > 0 OR absent_count > 0 OR contains(field_name, '.') AS loose, polymorphic AS many, contains(types, 'String=') AS str,
+        contains(types, 'Int32=') AS i32, contains(types, 'Int64=') AS i64, contains(types, 'Double=') AS dbl, contains(types, 'Decimal128=') AS dec, contains(types, 'Document=') OR contains(types, 'Array=') AS nested, split_part(types, '=', 1) AS one FROM f
+), t AS (
+    SELECT *, CASE WHEN types = '' THEN 'text' WHEN many AND nested THEN 'jsonb' WHEN many AND str THEN 'text' WHEN many AND dec THEN 'numeric' WHEN many AND dbl THEN 'double precision' WHEN many THEN 'bigint'
+        WHEN one IN ('String', 'ObjectId') THEN 'text' WHEN one = 'Int32' THEN 'integer' WHEN one = 'Int64' THEN 'bigint' WHEN one = 'Double' THEN 'double precision' WHEN one = 'Decimal128' THEN 'numeric'
+        WHEN one = 'Boolean' THEN 'boolean' WHEN one = 'Date' THEN 'timestamptz' ELSE 'jsonb' END AS pg_type FROM k
+), n AS (
+    SELECT *, CASE WHEN regexp_matches(field_name, '^[0-9]') THEN '_' ELSE '' END || regexp_replace(field_name, '[^A-Za-z0-9_]', '_', 'g') AS base FROM t
+)
+SELECT field_name, CASE WHEN row_number() OVER (PARTITION BY base ORDER BY field_name) = 1 THEN base ELSE base || '_' || CAST(row_number() OVER (PARTITION BY base ORDER BY field_name) AS VARCHAR) END AS pg_column,
+    pg_type, CASE WHEN pg_type = 'jsonb' THEN 'as_jsonb' ELSE 'direct' END AS strategy, is_pk, loose AND NOT is_pk AS nullable,
+    CASE WHEN is_pk OR types = '' THEN 'text' WHEN many AND pg_type = 'numeric' AND NOT i32 AND NOT i64 THEN 'numeric,double precision,jsonb' WHEN many AND pg_type = 'numeric' THEN 'numeric,jsonb' WHEN many AND pg_type = 'jsonb' AND nested THEN 'jsonb,skip'
+        WHEN many AND pg_type = 'double precision' THEN 'double precision,numeric,jsonb' WHEN many THEN pg_type || ',jsonb'
+        WHEN one = 'String' THEN 'text,jsonb' WHEN one = 'Int32' THEN 'integer,bigint,text' WHEN one = 'Double' THEN 'double precision,numeric,text' WHEN one = 'Decimal128' THEN 'numeric,double precision,text'
+        WHEN one = 'Array' THEN 'jsonb,skip' WHEN one = 'Document' THEN 'jsonb,flatten,skip' ELSE pg_type || ',text' END AS options
+FROM n"""
+
 
+def _joined_options(plan: DataFrame) -> DataFrame:
+    return plan.withColumn("options", F.array_join("options", ","))
 
-@query("infer_types", f"SELECT field_name, pg_type, strategy, is_pk, nullable FROM ({PLAN_SQL}) WHERE EXISTS (SELECT 1 FROM orders)")
+
+@query("infer_types", f"SELECT field_name, pg_type, strategy, is_pk, nullable, options FROM ({PLAN_SQL})")
 def _(spark, d):
-    return infer.infer_types(frequencies(spark, d)).select("field_name", "pg_type", "strategy", "is_pk", "nullable")
+    return _joined_options(infer.infer_types(frequencies(spark, d))).select("field_name", "pg_type", "strategy", "is_pk", "nullable", "options")
 
 
-@query("infer_schema", f"SELECT * FROM ({PLAN_SQL}) WHERE EXISTS (SELECT 1 FROM orders)")
+@query("infer_schema", PLAN_SQL)
 def _(spark, d):
-    return infer.infer_schema(frequencies(spark, d))
+    return _joined_options(infer.infer_schema(frequencies(spark, d)))
 
 
 @query("plan_columns", f"SELECT pg_column AS column_name, pg_type AS type, nullable, is_pk FROM ({PLAN_SQL}) UNION ALL SELECT '_extra', 'jsonb', true, false")
@@ -109,6 +136,13 @@ def _(spark, d):
     return infer.plan_columns(infer.infer_schema(frequencies(spark, d)))
 
 
+@query("read_documents", "SELECT lpad(lower(to_hex(o_orderkey)), 24, '0') AS doc_id, o_custkey AS customer_id FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    path = shared_path(spark, "collection")
+    order_lines(spark, d).write.text(path)
+    return docs.read_documents(spark, path).select("doc_id", docs.tag_text(F.col("doc"), "customer_id", "$numberLong").cast("long").alias("customer_id"))
+
+
 def _rows(*names: str, strategy: dict[str, str] | None = None) -> list[dict]:
     rows = [dict(zip(("field_name", "pg_column", "pg_type", "strategy"), r, strict=False)) for r in PLAN if not names or r[0] in names]
     return [r | {"strategy": (strategy or {}).get(r["field_name"], r["strategy"])} for r in rows]
@@ -145,10 +179,10 @@ def _(spark, d):
     return docs.apply_plan(order_documents(spark, d), plan + skipped)
 
 
-@query("apply_plan_skip", f"SELECT o_custkey AS customer_id {NAMED_SQL}")
+@query("apply_plan_skip", f"SELECT o_custkey AS customer_id, CAST(NULL AS VARCHAR) AS _extra {NAMED_SQL}")
 def _(spark, d):
     plan = [r | {"strategy": "direct" if r["field_name"] == "customer_id" else "skip"} for r in _rows() if "." not in r["field_name"]]
-    return docs.apply_plan(order_documents(spark, d), plan).select("customer_id").where(F.lit(True))
+    return docs.apply_plan(order_documents(spark, d), plan)
 
 
 @query("apply_plan_extra", f"""SELECT lpad(lower(to_hex(o_orderkey)), 24, '0') AS _id, '{{"1st-ref":"r' || CAST(o_orderkey AS VARCHAR) || '","blank":null' || CASE WHEN o_orderkey % 5 < 2 THEN ',"metadata":{{"a":"x","z":1}}' ELSE '' END || ',"qty":' || CAST(o_orderkey % 50 AS VARCHAR) || '}}' AS _extra {NAMED_SQL}""")

@@ -82,6 +82,11 @@ def _(spark, d):
     return store.plan_collections(current_plan(spark, d))
 
 
+@query("plan_for", f"SELECT * FROM ({CURRENT_SQL}) WHERE project_id = 'p1' AND collection = (SELECT min(p_brand) FROM part)")
+def _(spark, d):
+    return store.plan_for(current_plan(spark, d), "p1", table(spark, d, "part").agg(F.min("p_brand")).first()[0])
+
+
 @query("override_columns", "SELECT p_brand AS table_name, 'f' || CAST(p_partkey AS VARCHAR) AS column_name, CASE WHEN p_partkey % 3 <> 0 THEN 'bigint' ELSE 'varchar' END AS type, p_partkey % 3 = 0 AS nullable, false AS is_pk FROM part")
 def _(spark, d):
     columns = _keys(spark, d).select(F.col("collection").alias("table_name"), F.col("field_name").alias("column_name"), F.lit("varchar").alias("type"), F.lit(True).alias("nullable"), F.lit(False).alias("is_pk"))
@@ -145,20 +150,30 @@ def _(spark, d):
     return source_columns(spark, d).select("column_name", compare.map_type(F.col("type")).alias("type"))
 
 
-@query("side_by_side", f"SELECT table_name, column_name, s.type AS source_type, t.type AS target_type FROM ({SOURCE_SQL}) s FULL JOIN ({TARGET_SQL}) t USING (table_name, column_name)")
+@query("spark_types", "SELECT 'c' || CAST(p_partkey AS VARCHAR) AS column_name, CASE p_partkey % 10 WHEN 0 THEN 'int' WHEN 1 THEN 'string' WHEN 2 THEN 'boolean' WHEN 3 THEN 'timestamp' WHEN 4 THEN 'double' WHEN 5 THEN 'string' WHEN 6 THEN 'int' WHEN 7 THEN 'string' WHEN 8 THEN 'string' ELSE 'decimal(10,2)' END AS type FROM part")
+def _(spark, d):
+    # the types of a catalog are few; a map of the different ones is made on the driver
+    columns = source_columns(spark, d)
+    known = {r[0]: compare.to_spark_type(r[0]).simpleString() for r in columns.select("type").distinct().collect()}
+    return columns.select("column_name", F.element_at(F.create_map(*(F.lit(x) for kv in known.items() for x in kv)), F.col("type")).alias("type"))
+
+
+@query("side_by_side", f"SELECT table_name, column_name, s.type AS source_type, t.type AS target_type, CASE WHEN k % 5 = 0 THEN 'numeric' END AS planned_type, CASE WHEN k % 5 = 0 THEN 'direct' END AS strategy FROM ({SOURCE_SQL}) s FULL JOIN ({TARGET_SQL}) t USING (table_name, column_name) LEFT JOIN (SELECT 'c' || CAST(p_partkey AS VARCHAR) AS column_name, p_partkey AS k FROM part) USING (column_name)")
 def _(spark, d):
-    return compare.side_by_side(source_columns(spark, d), target_columns(spark, d))
+    columns = source_columns(spark, d)
+    plan = columns.where("_k % 5 = 0").select(F.col("table_name").alias("collection"), F.col("column_name").alias("field_name"), F.lit("numeric").alias("pg_type"), F.lit("direct").alias("strategy"))
+    return compare.side_by_side(columns, target_columns(spark, d), plan)
 
 
 @query(
     "create_table",
-    f"""SELECT table_name, 'CREATE TABLE IF NOT EXISTS "' || table_name || '" (' || string_agg('"' || c || '" ' || t || CASE WHEN k % 2 = 0 THEN ' NOT NULL' ELSE '' END, ', ' ORDER BY k)
+    f"""SELECT table_name, 'CREATE TABLE IF NOT EXISTS "' || table_name || '" (' || string_agg('"' || c || '" ' || t || CASE WHEN k % 2 = 0 THEN ' NOT NULL' ELSE '' END || CASE WHEN k % 3 = 0 THEN ' DEFAULT ' || CAST(k AS VARCHAR) ELSE '' END, ', ' ORDER BY k)
         || coalesce(', PRIMARY KEY (' || string_agg('"' || c || '"', ', ' ORDER BY k) FILTER (k % 8 = 0) || ')', '') || ')' AS ddl
         FROM (SELECT p_brand || CAST(p_size AS VARCHAR) AS table_name, 'c' || CAST(p_partkey AS VARCHAR) AS c, p_partkey AS k, {MAPPED_SQL} AS t FROM part) GROUP BY 1""",
 )
 def _(spark, d):
     c = source_columns(spark, d)
-    return compare.render_ddl(c.select("table_name", "column_name", "type", (F.col("_k") % 2 == 1).alias("nullable"), (F.col("_k") % 8 == 0).alias("is_pk"), F.col("_k").alias("ordinal")))
+    return compare.render_ddl(c.select("table_name", "column_name", "type", (F.col("_k") % 2 == 1).alias("nullable"), (F.col("_k") % 8 == 0).alias("is_pk"), F.col("_k").alias("ordinal"), F.when(F.col("_k") % 3 == 0, F.col("_k").cast("string")).alias("default")))
 
 
 @query("assemble_indexes", "SELECT t AS table_name, CASE WHEN auto THEN 'uq_' || t || '_' || string_agg(c, '_' ORDER BY k) ELSE i END AS index_name, u AS is_unique, string_agg(c, ',' ORDER BY k) AS columns FROM (SELECT p_brand AS t, CASE WHEN p_size % 2 = 0 THEN 'sqlite_autoindex_' ELSE 'ix_' END || CAST(p_size AS VARCHAR) AS i, p_size % 2 = 0 AS auto, p_size % 3 = 0 AS u, 'c' || CAST(p_partkey AS VARCHAR) AS c, p_partkey AS k FROM part WHERE p_partkey % 5 <> 0) GROUP BY t, i, auto, u")

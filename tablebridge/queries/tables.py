@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +12,7 @@ from tablebridge.operators import integrity, merge, sync
 from tablebridge.plans import compare
 from tablebridge.queries import query
 from tablebridge.sources import scan
-from tablebridge.sources.shared import shared_path
+from tablebridge.sources.shared import shared_path, stored
 from tablebridge.streaming import sync as streaming
 
 table = scan.scan_table
@@ -196,9 +198,24 @@ def _(spark, d):
     return scan.missing_tables(_counts(spark, d), asked)
 
 
-@query("table_inventory")
+@query("list_tables", "SELECT 'part_' || lower(p_brand) AS table_name FROM (SELECT DISTINCT replace(p_brand, '#', '_') AS p_brand FROM part)")
+def _(spark, d):
+    # a catalog database of one table a brand, made of the part table
+    name = "listed_" + uuid.uuid4().hex
+    spark.sql(f"CREATE DATABASE {name}")
+    try:
+        for (brand,) in table(spark, d, "part").select(F.regexp_replace("p_brand", "#", "_")).distinct().collect():
+            spark.sql(f"CREATE TABLE {name}.part_{brand} (p_partkey BIGINT) USING parquet")
+        return stored(scan.list_tables(spark, name), "listed")
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
+
+
+@query("table_inventory", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows, true AS stored, true AS sized FROM {n}" for n in NAMES))
 def _(spark, d):
-    return scan.table_inventory(spark, {n: f"{d}/{n}.parquet" for n in NAMES})
+    found = scan.table_inventory(spark, {n: f"{d}/{n}.parquet" for n in NAMES}).join(_counts(spark, d), "table_name")
+    fits = F.col("size_human").endswith("B") & (F.regexp_extract("size_human", r"^([0-9.]+) ", 1).cast("double") * F.element_at(F.create_map(*(F.lit(x) for kv in (("B", 1.0), ("KB", 1024.0), ("MB", 1048576.0), ("GB", 1073741824.0)) for x in kv)), F.substring_index("size_human", " ", -1)) >= F.col("size_bytes") * 0.5)
+    return found.select("table_name", "rows", (F.col("files") > 0).alias("stored"), fits.alias("sized"))
 
 
 @query("estimated_counts", COUNTS_SQL)
@@ -295,7 +312,7 @@ def _(spark, d):
         {"name": "orders", "source": source_orders(spark, d), "target": target_orders(spark, d), "keys": ["o_orderkey"]},
         {"name": "broken", "source": table(spark, d, "part"), "target": table(spark, d, "part"), "keys": ["no_such_column"]},
     ]
-    told = sync.sync_tables(spark, tables, lambda n, df: df.write.parquet(f"{root}/{n}"), constraints=[{"table": "orders", "name": "pk", "kind": "primary_key", "columns": ["o_orderkey"]}])
+    told = sync.sync_tables(spark, tables, lambda n, df: df.write.parquet(f"{root}/{n}"), read=lambda n: spark.read.parquet(f"{root}/{n}"), constraints=[{"table": "orders", "name": "pk", "kind": "primary_key", "columns": ["o_orderkey"]}])
     return told.select("table_name", "status", "rows", "violations", F.col("error").isNull().alias("clean"))
 
 
@@ -306,11 +323,17 @@ def _(spark, d):
     return streaming.stream_sync(stream, target_orders(spark, d), shared_path(spark, "target"), ["o_orderkey"], shared_path(spark, "checkpoint"))
 
 
-@query("introspect_columns")
+INTROSPECTED = [
+    ("region", "r_regionkey", "int", False, True, 1), ("region", "r_name", "string", True, False, 2),
+    ("nation", "n_nationkey", "int", False, True, 1), ("nation", "n_name", "string", True, False, 2), ("nation", "n_regionkey", "int", True, False, 3),
+]
+
+
+@query("introspect_columns", f"SELECT t.*, rows FROM (VALUES {', '.join(map(str, INTROSPECTED))}) t(table_name, column_name, type, nullable, is_pk, ordinal) JOIN (SELECT 'region' AS table_name, count(*) AS rows FROM region UNION ALL SELECT 'nation', count(*) FROM nation) USING (table_name)")
 def _(spark, d):
-    rows = [r for n, k in (("orders", "o_orderkey"), ("customer", "c_custkey"), ("lineitem", "")) for r in compare.introspect_columns(n, table(spark, d, n), [k])]
-    columns = spark.createDataFrame(rows, "table_name string, column_name string, type string, nullable boolean, is_pk boolean, ordinal int")
-    return columns.join(scan.row_counts({n: table(spark, d, n) for n in ("orders", "customer", "lineitem")}), "table_name")
+    rows = [r for n, k in (("region", "r_regionkey"), ("nation", "n_nationkey")) for r in compare.introspect_columns(n, table(spark, d, n), [k])]
+    columns = spark.createDataFrame(rows, "table_name string, column_name string, type string, nullable boolean, is_pk boolean, ordinal int, default string").drop("default")
+    return columns.join(scan.row_counts({n: table(spark, d, n) for n in ("region", "nation")}), "table_name")
 
 
 @query(

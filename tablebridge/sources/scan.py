@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from tablebridge.sources.shared import stored
 
 #: Rows of a batch where none or a non-positive size is given.
 BATCH_SIZE = 1000
@@ -18,6 +21,12 @@ def scan_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores: a table of few files would otherwise give heavy row work few tasks. A larger one is left as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def scan_pk_range(df: DataFrame, pk: str, low, high, inclusive: bool = True, limit: int | None = None) -> DataFrame:
     """Rows with low <= pk <= high (or < high), by pk; the range reaches the source's own filter."""
     upper = F.col(pk) <= high if inclusive else F.col(pk) < high
@@ -53,25 +62,27 @@ def assign_pk_segment(df: DataFrame, pk: str, n: int) -> DataFrame:
 def with_position(df: DataFrame, order_by: list[str], parts: int | None = None) -> DataFrame:
     """df with `position`, the row's place from 0 in the order, without a window over all rows in one task.
 
-    Rows are dealt by range and sorted; the counts of the ranges, one number each, give every range its offset, and
-    monotonically_increasing_id the place inside it. The sorted rows are computed twice.
+    Rows are dealt into a fixed number of ranges (spark.sql.shuffle.partitions unless given), sorted, and written to the
+    shared folder with their range and their place in it, so that both are settled before anything is counted. The
+    ranges' counts, one number each, give every range its offset. Ties are placed in any order, but in one for all uses.
     """
-    ordered = (df.repartitionByRange(parts, *order_by) if parts else df.repartitionByRange(*order_by)).sortWithinPartitions(*order_by)
-    marked = ordered.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33).cast("int")
-    counts = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    offsets, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        offsets.append(total)
-        total += counts.get(p, 0)
-    base = F.get(F.array(*map(F.lit, offsets or [0])).cast("array<long>"), part)
-    return marked.withColumn("position", base + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.monotonically_increasing_id()
+    dealt = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("_at", at)
+    part = F.shiftright("_at", 33).cast("int")
+    placed = stored(dealt.withColumns({"_part": part, "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}), "placed")
+    before = F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = placed.groupBy("_part").agg(F.count("*").alias("n"))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).cast("long").alias("_offset"))
+    # one row a range, so at most n rows are broadcast
+    return placed.join(F.broadcast(offsets), "_part").withColumn("position", F.col("_offset") + F.col("_at")).drop("_part", "_at", "_offset")
 
 
 def offset_segments(df: DataFrame, order_by: list[str], n: int) -> DataFrame:
     """df with position and seg_id: segment i owns the positions [i * s, (i + 1) * s), s = ceil(rows / n)."""
-    size = max(1, math.ceil(df.count() / n))
-    return with_position(df, order_by).withColumn("seg_id", F.floor(F.col("position") / size).cast("int"))
+    placed = with_position(df, order_by)
+    size = max(1, math.ceil(placed.count() / n))
+    return placed.withColumn("seg_id", F.floor(F.col("position") / size).cast("int"))
 
 
 def is_integer_type(text: Column) -> Column:

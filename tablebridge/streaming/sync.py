@@ -1,14 +1,21 @@
-"""Streaming forms: resumable copies, plans over streams, live progress, windowed snapshots, replay removal."""
+"""Streaming forms: resumable copies, plans over streams, live progress and rates, windowed snapshots, replay removal."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tablebridge.operators.merge import upsert
+from tablebridge.operators.merge import last_by_key, upsert
+from tablebridge.operators.runs import ALPHA
+from tablebridge.sources.shared import drop, versions
+
+#: Batches that stay beside the base before they are merged into a new one.
+DELTAS = 16
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files: int = 1) -> DataFrame:
@@ -21,19 +28,45 @@ def _run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def stream_sync(stream: DataFrame, start: DataFrame, target: str, keys: list[str], checkpoint: str) -> DataFrame:
-    """Each micro-batch is upserted into the next version of the target; a replayed batch writes the same version again, so a restart is safe."""
+def stream_sync(stream: DataFrame, start: DataFrame, target: str, keys: list[str], checkpoint: str, deltas: int = DELTAS) -> DataFrame:
+    """The target after the stream: each micro-batch is stored beside the base, under its number, and merged on reading, the newest row of a key first.
+
+    A micro-batch costs its own size, not the target's. A replayed batch writes its own number again and a restart finds
+    base and batches in the folder, so both are safe. More than `deltas` batches are merged into a new base.
+    """
     spark = start.sparkSession
-    start.write.mode("ignore").parquet(f"{target}/v=-1")
-    done = {"last": -1}
+    if not versions(spark, f"{target}/base"):
+        start.write.mode("overwrite").parquet(f"{target}/base/stream_version=-1")
 
     def step(batch: DataFrame, i: int) -> None:
-        before = batch.sparkSession.read.parquet(f"{target}/v={i - 1}")
-        upsert(before, batch, keys).write.mode("overwrite").parquet(f"{target}/v={i}")
-        done["last"] = i
+        last_by_key(batch, keys).write.mode("overwrite").parquet(f"{target}/delta/stream_version={i}")
 
     _run(stream, step, checkpoint, "append")
-    return spark.read.parquet(f"{target}/v={done['last']}")
+    if len(versions(spark, f"{target}/delta")) > deltas:
+        compact(spark, target, keys)
+    return merged(spark, target, keys)
+
+
+def merged(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
+    """The rows of a stream_sync folder: its newest base and the batches after it."""
+    at = versions(spark, f"{target}/base")[-1]
+    base = spark.read.parquet(f"{target}/base/stream_version={at}")
+    newer = [i for i in versions(spark, f"{target}/delta") if i > at]
+    if not newer:
+        return base
+    rows = spark.read.option("basePath", f"{target}/delta").parquet(*(f"{target}/delta/stream_version={i}" for i in newer))
+    return upsert(base, last_by_key(rows, keys, "stream_version").drop("stream_version"), keys)
+
+
+def compact(spark: SparkSession, target: str, keys: list[str]) -> None:
+    """Batches become part of a new base. Base and batches are dropped only when the new base is finished."""
+    bases, newer = versions(spark, f"{target}/base"), versions(spark, f"{target}/delta")
+    if newer and newer[-1] > bases[-1]:
+        merged(spark, target, keys).write.mode("overwrite").parquet(f"{target}/base/stream_version={newer[-1]}")
+        for i in bases:
+            drop(spark, f"{target}/base/stream_version={i}")
+    for i in newer:
+        drop(spark, f"{target}/delta/stream_version={i}")
 
 
 def stream_append(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
@@ -43,15 +76,18 @@ def stream_append(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
 
 
 def stream_state(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
-    """The complete state of a streaming aggregate, rewritten after each micro-batch."""
-    last: dict[str, int] = {}
+    """The complete state of a streaming aggregate, rewritten after each micro-batch; a restart without new rows gives the state of before, no rows at all an empty one."""
+    spark = stream.sparkSession
 
     def step(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/v={i}")
-        last["v"] = i
+        batch.write.mode("overwrite").parquet(f"{target}/stream_version={i}")
+        for old in versions(spark, target):
+            if old < i:
+                drop(spark, f"{target}/stream_version={old}")
 
     _run(stream, step, checkpoint, "complete")
-    return stream.sparkSession.read.parquet(f"{target}/v={last['v']}")
+    found = versions(spark, target)
+    return spark.read.parquet(f"{target}/stream_version={found[-1]}") if found else spark.createDataFrame([], stream.schema)
 
 
 def progress(events: DataFrame) -> DataFrame:
@@ -59,6 +95,36 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id", "table_name").agg(F.sum("batch_rows").alias("rows_transferred"), F.max("seq").alias("last_seq"))
 
 
+def stream_rates(events: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """run_id, read_rate, write_rate of a stream of batches, smoothed in the order of seq inside each micro-batch; a run's state is its two rates.
+
+    Micro-batches are taken to come in order, as a log written in order gives them. Each writes the new rates of its runs, and the newest count.
+    """
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rates = list(state.get) if state.exists else [None, None]
+        rows = pd.concat(batches).sort_values("seq")
+        for i, column in enumerate(("read_seconds", "write_seconds")):
+            for n, seconds in zip(rows["batch_rows"], rows[column], strict=True):
+                if pd.notna(n) and pd.notna(seconds) and seconds:
+                    rates[i] = n / seconds if rates[i] is None else ALPHA * n / seconds + (1 - ALPHA) * rates[i]
+        state.update(tuple(rates))
+        yield pd.DataFrame({"run_id": [key[0]], "read_rate": [rates[0]], "write_rate": [rates[1]]}, dtype=None)
+
+    kind = f"run_id {dict(events.dtypes)['run_id']}, read_rate double, write_rate double"
+    rows = events.select("run_id", "seq", F.col("batch_rows").cast("double").alias("batch_rows"), F.col("read_seconds").cast("double").alias("read_seconds"), F.col("write_seconds").cast("double").alias("write_seconds"))
+    found = rows.groupBy("run_id").applyInPandasWithState(fold, kind, "read_rate double, write_rate double", "update", GroupStateTimeout.NoTimeout)
+
+    def step(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/stream_version={i}")
+
+    _run(found, step, checkpoint, "update")
+    spark = events.sparkSession
+    if not versions(spark, target):
+        return spark.createDataFrame([], kind)
+    return last_by_key(spark.read.parquet(target), ["run_id"], "stream_version").drop("stream_version")
+
+
 def stats_windows(events: DataFrame, every: str = "5 seconds", delay: str = "1 minute") -> DataFrame:
     """window_end, rows: tumbling windows; later events than the watermark are dropped in append mode."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", every)).agg(F.sum("batch_rows").alias("rows")).select(F.col("window.end").alias("window_end"), "rows")

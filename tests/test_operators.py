@@ -69,6 +69,64 @@ def test_walk_and_frequency(spark):
     assert freq["address.city"]["polymorphic"] and freq["tags"]["coverage"] == 50.0
 
 
+def test_walk_enters_every_level(spark):
+    deep = "1"
+    for i in range(25):
+        deep = '{"k%d":%s}' % (i, deep)
+    df = documents.parse_documents(spark.createDataFrame([(deep,)], "t string"), "t")
+    got = [r["field_name"] for r in documents.walk_documents(df).collect()]
+    assert len(got) == 25 and max(x.count(".") for x in got) == 24
+
+
+def test_rare_types(spark):
+    text = '{"a":{"$code":"f"},"b":{"$code":"f","$scope":{}},"c":{"$symbol":"s"},"d":{"$undefined":true},"e":{"$dbPointer":{"$ref":"r","$id":{"$oid":"0a"}}},"f":{"$minKey":1},"g":{"x":1}}'
+    df = documents.parse_documents(spark.createDataFrame([(text,)], "t string"), "t")
+    got = {r["field_name"]: r["type_name"] for r in documents.walk_documents(df).collect()}
+    assert got == {"a": "JavaScript", "b": "CodeWithScope", "c": "Symbol", "d": "Undefined", "e": "DBPointer", "f": "MinKey", "g": "Document", "g.x": "Int64"}
+
+
+def test_dates_inside_json(spark):
+    text = '{"v":{"at":{"$date":{"$numberLong":"1700000000120"}},"old":{"$date":{"$numberLong":"-1000"}},"iso":{"$date":"2024-01-02T03:04:05Z"},"n":[{"$date":{"$numberLong":"0"}}],"s":"{\\"$date\\":{}}"}}'
+    df = documents.parse_documents(spark.createDataFrame([(text,)], "t string"), "t")
+    plan = [{"field_name": "v", "pg_column": "v", "pg_type": "jsonb", "strategy": "as_jsonb"}]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = json.loads(documents.apply_plan(df, plan).first()["v"])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {"at": "2023-11-14T22:13:20.12Z", "old": "1969-12-31T23:59:59Z", "iso": "2024-01-02T03:04:05Z", "n": ["1970-01-01T00:00:00Z"], "s": '{"$date":{}}'}
+
+
+def test_values_convert_exactly_or_not(spark):
+    texts = ['{"n":{"$numberDecimal":"2.123456789"},"i":7}', '{"n":1,"i":{"$numberLong":"9000000000"}}', '{"n":{"$numberDecimal":"1E-30"},"i":1}', '{"n":{"$numberDecimal":"12.50"},"i":null}', '{"n":"x"}', "broken", '{"n":{"$numberDecimal":"1E+3"}}']
+    df = documents.parse_documents(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "n")
+    plan = [{"field_name": f, "pg_column": f, "pg_type": k, "strategy": "direct"} for f, k in (("n", "numeric"), ("i", "integer"))]
+    got = documents.apply_plan(df, plan, on_error="skip").collect()
+    assert sorted((float(r["n"]), r["i"]) for r in got if r["i"]) == [(2.123456789, 7)] and str(got[0]["n"]).startswith("2.123456789")
+    assert len(got) == 3 and documents.rejected_documents(df, plan).count() == 4
+    assert documents.apply_plan(df, plan, on_error="null").count() == 7
+
+
+def test_flattened_children_are_checked_alike(spark):
+    texts = ['{"p":{"x":"no"}}', '{"p":{"x":1,"y":{"z":2}}}', '{"p":3}', "broken", '{"p":{"x":null}}']
+    df = documents.parse_documents(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "p")
+    plan = [
+        {"field_name": "p", "pg_column": "p", "pg_type": "", "strategy": "flatten"}, {"field_name": "p.x", "pg_column": "p_x", "pg_type": "integer", "strategy": "direct"},
+        {"field_name": "p.y.z", "pg_column": "p_y_z", "pg_type": "integer", "strategy": "direct"},
+    ]
+    kept, gone = documents.apply_plan(df, plan, on_error="skip").collect(), documents.rejected_documents(df, plan)
+    assert len(kept) == 3 and gone.count() == 2 and gone.columns == df.columns
+    assert {(r["p_x"], r["p_y_z"], r["_extra"]) for r in kept} == {(1, None, '{"p.y":{"z":2}}'), (None, None, '{"p":3}'), (None, None, None)}
+
+
+def test_plan_compiles_in_one_scan(spark):
+    from tablebridge.queries.documents import _rows, order_documents
+
+    out = documents.apply_plan(order_documents(spark, "/root/testdata/sf0.001"), _rows())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 1
+
+
 def test_plan_conserves_fields(spark):
     doc = {"a": {"$numberLong": "5"}, "b": {"x": 1, "y": "z"}, "c": [1, {"$oid": "ff"}], "d": "left"}
     df = documents.parse_documents(spark.createDataFrame([(json.dumps(doc),)], "t string"), "t", "a")
@@ -108,6 +166,12 @@ def test_names(spark):
     assert len(set(got.values())) == len(got)
 
 
+def test_names_fit_and_never_clash(spark):
+    fields = [("é" * 40 + x,) for x in (".", "-", " ")] + [(f"{'x' * 70}{i}",) for i in range(130)] + [("a.b",), ("a_b",), ("a_b_2",), ("a-b",), ("a b",), ("a_b_2_2",), ("a.b.2",)]
+    got = [r["pg_column"] for r in infer.column_names(spark.createDataFrame(fields, "field_name string")).collect()]
+    assert len(set(got)) == len(fields) and max(len(x.encode()) for x in got) <= 63
+
+
 def test_override_survives_and_is_partial(spark):
     kind = "project_id string, collection string, field_name string, pg_column string, pg_type string, strategy string, is_pk boolean, nullable boolean"
     inferred = spark.createDataFrame([("p", "c", "f", "f", "double precision", "direct", False, True)], kind)
@@ -138,6 +202,94 @@ def test_one_failing_table_does_not_stop_the_others(spark):
     assert {r["table_name"]: r["status"] for r in told.collect()} == {"a": "completed", "b": "failed"} and set(kept) == {"a"}
 
 
+def test_strict_runs_fail_after_all_tables(spark):
+    good, kept = spark.createDataFrame([(1,)], "id int"), {}
+    with pytest.raises(RuntimeError, match="b "):
+        sync.sync_tables(spark, [{"name": "b", "source": good, "target": good, "keys": ["x"]}, {"name": "a", "source": good, "keys": ["id"]}], kept.__setitem__, strict=True)
+    assert set(kept) == {"a"}
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_positions_hold_under_uneven_payload(spark, tmp_path, adaptive):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100000")
+    try:
+        wide = spark.range(60_000).withColumn("pad", F.when(F.col("id") < 6_000, F.repeat(F.sha2(F.col("id").cast("string"), 256), 12)).otherwise(""))
+        scan.offset_segments(wide, ["id"], 7).write.parquet(f"{tmp_path}/out")
+        told = spark.read.parquet(f"{tmp_path}/out")
+        assert told.count() == 60_000 and told.where("position IS NULL OR position <> id OR seg_id <> floor(id / 8572)").count() == 0
+        assert scan.batch_manifest(wide, "id", 1000).where("rows_in_batch <> 1000 OR first_key <> (batch_id - 1) * 1000").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    from tablebridge.streaming import sync as streaming
+
+    kind = "id long, v string"
+    start = spark.createDataFrame([(i, "old") for i in range(5)], kind)
+
+    def add(n, rows_):
+        spark.createDataFrame(rows_, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def run(deltas=16):
+        stream = streaming.read_stream(spark, f"{tmp_path}/in", "*.parquet", start.schema)
+        return rows(streaming.stream_sync(stream, start, f"{tmp_path}/target", ["id"], f"{tmp_path}/cp", deltas))
+
+    def counts():
+        stream = streaming.read_stream(spark, f"{tmp_path}/in", "*.parquet", start.schema)
+        return rows(streaming.stream_state(stream.groupBy("v").count(), f"{tmp_path}/state", f"{tmp_path}/cp2"))
+
+    add(0, [(1, "a"), (7, "a")])
+    first = run()
+    assert first == [(0, "old"), (1, "a"), (2, "old"), (3, "old"), (4, "old"), (7, "a")] and counts() == [("a", 2)]
+    assert run() == first and counts() == [("a", 2)]  # nothing new
+    add(1, [(1, "b")])
+    add(2, [(9, "c")])
+    second = run(deltas=1)  # merged into a new base
+    assert dict(second) == {0: "old", 1: "b", 2: "old", 3: "old", 4: "old", 7: "a", 9: "c"} and counts() == [("a", 2), ("b", 1), ("c", 1)]
+    assert run() == second
+    add(3, [(9, "d"), (0, "d")])
+    assert dict(run()) == dict(second) | {9: "d", 0: "d"}
+
+
+def test_upsert_of_some_columns_keeps_the_others(spark):
+    t = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (None, "n", "z")], "id int, v string, own string")
+    s = spark.createDataFrame([(2, "c"), (3, "d"), (None, "m")], "id int, v string")
+    assert rows(merge.upsert(t, s, ["id"])) == sorted([(1, "a", "x"), (2, "c", "y"), (3, "d", None), (None, "n", "z"), (None, "m", None)], key=repr)
+    plan = merge.upsert(t, t, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and "LeftAnti" in plan
+
+
+def test_done_constraints_are_not_computed(spark):
+    df = spark.createDataFrame([(1,)], "id int")
+    checks = [{"table": "t", "name": "a", "kind": "check", "sql": "no_such_column > 0"}, {"table": "t", "name": "b", "kind": "not_null", "columns": ["id"]}]
+    done = spark.createDataFrame([("t", "a"), ("u", "b")], "table_name string, name string")
+    assert rows(integrity.check_constraints({"t": df}, checks, done)) == [("t", "b", "not_null", 0)]
+    assert integrity.check_constraints({"t": df}, checks[:1], done).count() == 0
+
+
+def test_choices(spark):
+    def options(*types):
+        df = spark.createDataFrame([("f", [(t, 1) for t in types], 0, 0)], "field_name string, types array<struct<type_name:string,count:int>>, null_count int, absent_count int")
+        return infer.infer_types(df).first()["options"]
+
+    assert options("Document") == ["jsonb", "flatten", "skip"] and options("Int32") == ["integer", "bigint", "text"] and options("MinKey") == ["jsonb", "skip"]
+    assert options("Double", "Decimal128") == ["numeric", "double precision", "jsonb"] and options("Boolean", "Date") == ["jsonb", "text", "skip"] and options() == ["text"]
+
+
+def test_sqlite_ddl_holds_its_constraints(spark):
+    columns = spark.createDataFrame([("t", "a", "integer", False, True, 1, None), ("t", "b", "text", True, False, 2, "'x'")], "table_name string, column_name string, type string, nullable boolean, is_pk boolean, ordinal int, default string")
+    more = spark.createDataFrame([("t", "c1", "check", None, None, None, "b <> ''"), ("t", "f1", "foreign_key", "a,b", "u", "x,y", None)], "table_name string, name string, kind string, columns string, ref_table string, ref_columns string, clause string")
+    want = """CREATE TABLE IF NOT EXISTS "t" ("a" integer NOT NULL, "b" text DEFAULT 'x', PRIMARY KEY ("a"), FOREIGN KEY ("a", "b") REFERENCES "u" ("x", "y"), CHECK (b <> ''))"""
+    assert compare.render_ddl(columns, "sqlite", more).first()["ddl"] == want
+    with pytest.raises(ValueError):
+        merge.alter_columns(columns, [{"kind": "add", "name": "z", "type": "int", "nullable": False}])
+
+
 def test_null_keys(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (1, 4)], "k int, v int")
     assert integrity.check_unique(df, ["k"]).count() == 1 and integrity.check_primary_key(df, ["k"]).count() == 2
@@ -145,7 +297,10 @@ def test_null_keys(spark):
 
 def test_redaction(spark):
     df = spark.createDataFrame([("mongodb://u:p@h/db", "s"), ("u:p@q@tcp(h)/d", "")], "dsn string, password string")
-    assert rows(runs.redact_credentials(df, ["dsn"], ["password"])) == [("***@tcp(h)/d", ""), ("mongodb://***@h/db", "***")]
+    assert rows(runs.redact_credentials(df, ["dsn"], ["password"])) == [("***:***@tcp(h)/d", ""), ("mongodb://***:***@h/db", "***")]
+    hidden = {"postgres://u:pa/ss@h/db": "postgres://***:***@h/db", "mysql://u:p@ss@h/db": "***:***@h/db", "u:p\nq@h": "***:***@h", "postgres://h/db": "postgres://h/db", "": ""}
+    got = spark.createDataFrame([(k,) for k in hidden], "t string").select("t", runs.redacted(F.col("t")))
+    assert dict(map(tuple, got.collect())) == hidden
 
 
 def test_rates_hold_no_log_in_a_row(spark):
