@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablebridge.sources.shared import stored  # noqa: F401
+
 #: A text row is about 4 KB and may be far longer: small Arrow batches keep a Python worker's memory bounded.
 BATCH_ROWS = 256
 
@@ -27,38 +26,11 @@ def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: the lineage ends there and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
-    except Exception:  # the session has ended already; the folder's owner clears what is left
-        return
-
-
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if `df` has at most `rows` rows (counted), else `df` as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def fold(column: str, n: int):
-    """crc32 of the column as text, modulo n."""
+    """crc32 of the column as text, modulo n; null for a null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

@@ -1,37 +1,45 @@
 """Main text of HTML pages by two-pass block rules.
 
-A page is cut into blocks. The first pass decides blocks by container cues, stop-word density, length and link density;
-the second lets the ambiguous rest, mostly short blocks, inherit the label of the nearest decided neighbours.
+A page is cut into blocks. The first pass adds up evidence on each block: its link density, its stop-word density and
+length, and a smaller shift from its container (article or main against menus, notices and the like). Clear sums decide a
+block; the second pass lets the ambiguous rest, mostly short blocks, inherit the label of the nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SHORT = 40  # code points below which a block is ambiguous
+SHORT = 40  # code points below which a text says nothing of itself
 LONG = 140  # from which on stop-word density alone makes a block good
 LINKS = 0.4  # share of code points in links above which a block is bad
 STOP_HIGH, STOP_LOW = 0.25, 0.1
+#: Evidence that makes a block good; its negative makes it bad.
+CLEAR = 1.0
+#: Shift of a block in an article or main element, and of one in a boilerplate container.
+MAIN, BOILERPLATE = 0.5, -2.0
 
 # Element names.
-_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINERS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header li main menu nav ol section table td ul span".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template svg iframe object select button canvas video audio math".split())
+_RAW = frozenset("script style textarea title iframe".split())  # no markup inside: up to their end tag, or the page's end
+_UNSEEN = frozenset("noscript template svg object select button canvas video audio math".split())  # not text of the page
 _BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 _MAIN = frozenset("article main".split())
-# Words in class, id and role that mark boilerplate, and those that mark the article.
+# Words in class, id and role that mark boilerplate, words that may follow them, and those that mark the article.
 _BAD_CUES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies copyright"
     " disclaimer disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion promoted"
     " related recommended reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets".split()
 )
+_FILLERS = frozenset("area articles bar block bottom box button buttons container content form group icons inner item left link links list panel post posts right row section site slot text thread top unit wrap wrapper".split())
 _HEAD_CUES = frozenset("header banner".split())
 _MAIN_CUES = frozenset("article articlebody content entry main maincontent post story".split())
 # Frequent function words of English, German, French and Spanish.
@@ -41,10 +49,12 @@ STOP_WORDS = frozenset(
     " au aux avec ce ces dans de des du elle en est et il ils je la le les leur lui mais ne nous on ou par pas pour qu que qui sa se ses son sur un une vous"
     " al como con del el ella en era es está esta este fue ha hay la las lo los más me mi muy no o para pero por que se sin su sus un una y ya".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?][^>]*+>|<[/!a-zA-Z][^<>]*+\Z", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+_VALUE = re.compile(r"=\s*[\"']|>")
 _WORDS = re.compile(r"[^\W\d_]+")
-_CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in _RAW}
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in _RAW}
+_SAME = {name: re.compile(rf"<(/?){name}(?=[\s/>])", re.I) for name in _UNSEEN}
 
 
 @dataclass
@@ -55,6 +65,16 @@ class Block:
     main: bool
     boilerplate: bool
     label: str = ""
+    rule: str = ""
+
+
+def _marked(value: str, main: bool) -> bool:
+    """Whether a class, id or role marks boilerplate. Outside the article any of its words may; inside a whole name must, up to words that may follow (ad-slot, but not notice-period)."""
+    for name in value.lower().split():
+        words = re.findall(r"[a-z0-9]+", name)
+        if words and (words[0] in _BAD_CUES and all(w in _BAD_CUES or w in _FILLERS or w.isdigit() for w in words) if main else not _BAD_CUES.isdisjoint(words) or not _HEAD_CUES.isdisjoint(words)):
+            return True
+    return False
 
 
 class _Page:
@@ -65,14 +85,16 @@ class _Page:
         self.in_link = 0
         self.heading = False
         self.breaks = 0
+        self.unseen = False  # inside an unclosed element that is no text, until the next block
         self.stack: list[tuple[str, bool, bool]] = []  # container's name, in the main part, boilerplate
+        self.open_names: Counter = Counter()
 
     @property
     def state(self) -> tuple[bool, bool]:
         return self.stack[-1][1:] if self.stack else (False, False)
 
     def data(self, raw: str) -> None:
-        if not raw:
+        if not raw or self.unseen:
             return
         text = html.unescape(raw) if "&" in raw else raw
         if not text.isspace():
@@ -88,7 +110,11 @@ class _Page:
                 main, boilerplate = self.state
                 self.blocks.append(Block(text, self.linked, self.heading, main, boilerplate))
             self.parts = []
-        self.linked, self.breaks = 0, 0
+        self.linked, self.breaks, self.unseen = 0, 0, False
+
+    def push(self, name: str, main: bool, boilerplate: bool) -> None:
+        self.stack.append((name, main, boilerplate))
+        self.open_names[name] += 1
 
     def open(self, name: str, attributes: str) -> None:
         main, boilerplate = self.state
@@ -96,43 +122,68 @@ class _Page:
             boilerplate = True
         if name in _MAIN:
             main = True
-        if attributes:
-            for key, *values in _ATTRIBUTE.findall(attributes):
-                value = next((v for v in values if v), "").lower()
-                key = key.lower()
-                if key in ("class", "id", "role"):
-                    words = set(re.split(r"[^a-z0-9]+", value))
-                    if words & _BAD_CUES or (not main and words & _HEAD_CUES):
-                        boilerplate = True
-                    elif words & _MAIN_CUES:
-                        main = True
-                elif key == "style":
-                    boilerplate |= "display:none" in value.replace(" ", "")
-                elif key == "hidden" or value == "true":
+        for key, *values in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), next((v for v in values if v), "")
+            if key in ("class", "id", "role"):
+                if _marked(value, main):
                     boilerplate = True
-        self.stack.append((name, main, boilerplate))
+                elif not _MAIN_CUES.isdisjoint(re.findall(r"[a-z0-9]+", value.lower())):
+                    main = True
+            elif (key == "style" and "display:none" in value.lower().replace(" ", "")) or key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+                boilerplate = True
+        self.push(name, main, boilerplate)
 
     def close(self, name: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == name:
-                del self.stack[i:]
+        if not self.open_names[name]:
+            return
+        while self.stack:
+            last = self.stack.pop()[0]
+            self.open_names[last] -= 1
+            if last == name:
                 return
 
 
+def _tag_end(page: str, at: int, last: dict[str, int]) -> int:
+    """The place of the `>` that ends the tag whose name ends at `at`, not one inside a quoted value; -1 where none does. Every search ends at a match, so a page is scanned once."""
+    i = at
+    while i <= last[">"] and (m := _VALUE.search(page, i)):
+        if m[0] == ">":
+            return m.end() - 1
+        quote = m[0][-1]
+        if m.end() > last[quote]:
+            break  # the value is never closed: the next > ends the tag
+        i = page.index(quote, m.end()) + 1
+    return page.find(">", at) if at <= last[">"] else -1
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order, with the cues of their containers."""
-    p, at = _Page(), 0
-    while m := _TAG.search(page, at):
-        p.data(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+    p, at, last = _Page(), 0, {c: page.rfind(c) for c in ("<", ">", "'", '"', "-->")}
+    while at <= last["<"]:
+        start = page.index("<", at)
+        if page.startswith("<!--", start):
+            p.data(page[at:start])
+            at = page.index("-->", start + 4) + 3 if last["-->"] >= start + 4 else len(page)
+            continue
+        m = _NAME.match(page, start + 1)
+        if not m:
+            if page.startswith(("<!", "<?", "</"), start):  # a declaration or a stray end: no text
+                p.data(page[at:start])
+                at = page.index(">", start) + 1 if last[">"] > start else len(page)
+            else:
+                p.data(page[at : start + 1])
+                at = start + 1
             continue
-        name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
-        if name in _RAW and not closing:
-            if not attributes.endswith("/"):
-                end = _CLOSE[name].search(page, at)
-                at = end.end() if end else len(page)
+        p.data(page[at:start])
+        end = _tag_end(page, m.end(), last)
+        if end < 0:
+            at = len(page)  # an unfinished tag
+            break
+        closing, name, attributes = bool(m[1]), m[2].lower(), page[m.end() : end]
+        at = end + 1
+        if name in _RAW or name in _UNSEEN:
+            if not closing and not attributes.endswith("/"):
+                at = _skipped(p, page, name, at)
             continue
         if name == "br":
             p.breaks += 1
@@ -146,16 +197,16 @@ def blocks(page: str) -> list[Block]:
             p.end_block()
             p.in_link = 0
             p.heading = not closing and len(name) == 2 and name[0] == "h" and name[1].isdigit()
-        if name in _CONTAINERS or (attributes and name not in _VOID and name in _BLOCKS):
+        if name in _CONTAINERS or (name in _BLOCKS and name not in _VOID and not p.heading and attributes):
             if closing:
                 p.close(name)
-            elif name != "span" or attributes:
-                if name == "span" and not _BAD_CUES & set(re.split(r"[^a-z0-9]+", attributes.lower())):
-                    p.stack.append((name, *p.state))
-                else:
-                    if name == "span":
-                        p.end_block()
-                    p.open(name, attributes)
+            elif name != "span":
+                p.open(name, attributes)
+            elif any(_marked(v, p.state[0]) for k, *vs in _ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id", "role") for v in vs):
+                p.end_block()
+                p.open(name, attributes)
+            else:
+                p.push(name, *p.state)
         elif closing and name in _BLOCKS:
             p.close(name)
     p.data(page[at:])
@@ -163,44 +214,64 @@ def blocks(page: str) -> list[Block]:
     return p.blocks
 
 
-def _decide(b: Block) -> str:
-    """First pass: good, bad or ambiguous."""
+def _skipped(p: _Page, page: str, name: str, at: int) -> int:
+    """Where the page goes on after the opening tag of an element that is no text. One that is not closed before the next of its kind ends at the next block."""
+    if name in _RAW:
+        end = _END[name].search(page, at)
+        return end.end() if end else len(page)
+    same = _SAME[name].search(page, at)
+    if same and same[1]:
+        return page.find(">", same.end()) + 1 or len(page)
+    p.unseen = True
+    return at
+
+
+def _evidence(b: Block) -> tuple[float, str]:
+    """The sum of what speaks for a block and against it, and the rule that gave most of it."""
     n = len(b.text)
-    if b.boilerplate or b.linked > LINKS * len(b.text.replace(" ", "")):
-        return "bad"
-    if n < SHORT:
-        return "ambiguous"
-    if b.main:
-        return "good"
+    if b.linked > LINKS * len(b.text.replace(" ", "")):
+        return -3.0 + MAIN * b.main, "links"
     words = _WORDS.findall(b.text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if density >= STOP_HIGH:
-        return "good" if n >= LONG else "ambiguous"
-    return "ambiguous" if density >= STOP_LOW else "bad"
+    if n < SHORT:
+        own, rule = 0.0, "short"
+    elif density >= STOP_HIGH:
+        own, rule = (2.0, "dense and long") if n >= LONG else (0.5, "dense")
+    elif density >= STOP_LOW:
+        own, rule = (0.5, "some stop words") if n >= LONG else (0.0, "some stop words")
+    else:
+        own, rule = -1.0, "few stop words"
+    return own + MAIN * b.main + BOILERPLATE * b.boilerplate, rule + (" + container" if b.main or b.boilerplate else "")
 
 
 def classify(found: list[Block]) -> list[Block]:
-    """Both passes: every block gets the label good or bad."""
-    first = [_decide(b) for b in found]
+    """Both passes: every block gets the label good or bad, and the rule that gave it."""
+    told = [_evidence(b) for b in found]
+    first = ["good" if e >= CLEAR else "bad" if e <= -CLEAR else "" for e, _ in told]
+    # an ambiguous block of the article asks the article's own text, another one all that is not of it; boilerplate never becomes text
+    side = [b.main and not b.boilerplate for b in found]
 
     def nearest(order: range) -> list[int | None]:
-        """For each block the last decided one before it in the order. A block of the article asks only undisputed text of the article, not the menus beside it."""
+        """For each block the last decided one before it in the order, on its own side."""
         out: list[int | None] = [None] * len(found)
         last: dict[bool, int | None] = {True: None, False: None}
         for i in order:
-            main = found[i].main
-            out[i] = last[main]
-            if first[i] != "ambiguous" and not (main and found[i].boilerplate):
-                last[main] = i
+            out[i] = last[side[i]]
+            if first[i] and not (side[i] and told[i][1] == "links"):
+                last[side[i]] = i
         return out
 
     before, after = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
     for i, b in enumerate(found):
         x, y = before[i], after[i]
-        if first[i] != "ambiguous":
-            b.label = first[i]
+        if first[i]:
+            b.label, b.rule = first[i], told[i][1]
+            continue
+        b.rule = "neighbours"
+        if b.boilerplate:
+            b.label, b.rule = "bad", "container alone"
         elif x is None and y is None:
-            b.label = "good" if b.main else "bad"
+            b.label, b.rule = ("good" if b.main else "bad"), "container alone"
         elif x is None or y is None or first[x] == first[y]:
             b.label = first[y if x is None else x]
         elif b.heading:
@@ -218,7 +289,10 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of pages (page_id, url, html); null html gives an empty text, other columns are ignored."""
+    """page_id, url, text, n_chars for each row of pages (page_id, url, html), in any order.
+
+    A null or empty page gives an empty text, one without an article too; repeated rows give equal results, an empty table none. Other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,10 @@
-"""Toxicity by class-conditional Kneser-Ney character models of words.
+"""Toxicity by class-conditional Kneser-Ney character models.
 
-The orders 3 to 5 are counted for each class in labelled rows; below them both classes share one continuation
-distribution, counted over the words of all documents, so that expressions rare in the labelled rows are smoothed by
-the whole corpus. A word's score is the toxic minus the ordinary log-likelihood, divided by its length; a logistic
-layer over the highest word scores and the mean of a text gives the probability.
+Each class has its own counts of the orders 3 to 5 in labelled rows: occurrences at order 5, different continuations to the
+left at 4 and 3. Below them both classes back off to one distribution of continuation counts over the words of all
+documents, so that expressions rare in the labelled rows are smoothed by the whole corpus. The toxic minus the ordinary
+log-likelihood, divided by the length, is compared for the whole text and for its most toxic words, since one expression in
+a long text moves the text's own mean by less than its noise; a logistic layer weighs the comparisons.
 """
 
 from __future__ import annotations
@@ -23,48 +24,39 @@ from tablebridge.llm.common import fold, stored
 #: Labelled rows of which the class models and the logistic layer learn: those whose ids hash lowest.
 TRAIN_ROWS = 30_000
 ORDERS = (3, 4, 5)
-BITS = 18
-SHARED_BITS = 16
+TOP = ORDERS[-1]
 DISCOUNT = 0.75
 WORD = re.compile(r"[^\W\d_]+")
-FEATURES = 5
+#: Gain, in nats, from which on a word counts as evidence of its own.
+CLEAR = 2.0
+FEATURES = 7
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each character of the padded words: the hashes of the order-gram that it ends, of its context and of its suffix, and the word's index."""
-    padded = [f"  {w} "[max(0, 3 - order) :] if order < 3 else f"{' ' * (order - 1)}{w} " for w in words]
+def _grams(words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each character of the words and for their ends: by order, from 0 to TOP, the 64-bit hashes of the gram that ends there and of its context, and the word's index."""
+    pad = TOP - 1
+    padded = [f"{' ' * pad}{w} " for w in words]
     lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
     ends = np.ones(len(codes), bool)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    for i in range(order - 1):
+    for i in range(pad):
         ends[starts + i] = False
     at = np.flatnonzero(ends)
-    ctx = np.full(len(at), order, np.uint64)
-    suffix = np.full(len(at), order - 1, np.uint64)
-    for i in range(order - 1, 0, -1):
-        ctx = (ctx ^ codes[at - i]) * _M
-        ctx ^= ctx >> np.uint64(29)
-        if i < order - 1:
-            suffix = (suffix ^ codes[at - i]) * _M
-            suffix ^= suffix >> np.uint64(29)
-    gram = (ctx ^ codes[at]) * _M
-    gram ^= gram >> np.uint64(29)
-    suffix = (suffix ^ codes[at]) * _M
-    suffix ^= suffix >> np.uint64(29)
-    return gram, ctx, suffix, np.repeat(np.arange(len(words)), lengths - (order - 1))
-
-
-def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def _rows(kind: np.ndarray, *columns: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, *columns)], names)
-
-
-def _flushed(batches: Iterator[pa.RecordBatch], make, classes: bool) -> Iterator[pa.RecordBatch]:
+    grams, contexts = [np.zeros(len(at), np.uint64)], [np.zeros(len(at), np.uint64)]
+    for order in range(1, TOP + 1):
+        h = np.full(len(at), order, np.uint64)
+        for i in range(order - 1, -1, -1):
+            if i == 0:
+                contexts.append(h.copy())
+            h = (h ^ codes[at - i]) * _M
+            h ^= h >> np.uint64(29)
+        grams.append(h)
+    return grams, contexts, np.repeat(np.arange(len(words)), lengths - pad)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], make, classes: bool) -> Iterator[pa.RecordBatch]:
     """Words of the batches counted per task, and handed to make when there are many."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
@@ -80,99 +72,116 @@ def _flushed(batches: Iterator[pa.RecordBatch], make, classes: bool) -> Iterator
         yield from make(counts)
 
 
-def class_counts(labelled: DataFrame) -> DataFrame:
-    """order, gram, ctx (buckets), toxic, ordinary: n-gram counts of labelled texts (text, toxic)."""
-    names = ["order", "gram", "ctx", "toxic", "ordinary"]
+def class_counts(labelled: DataFrame) -> dict[int, DataFrame]:
+    """By order (gram, ctx, low, toxic, ordinary): the counts of each class in labelled texts (text, toxic), exact for each gram; low is the gram without its first character.
 
-    def make(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
-        for order in ORDERS:
-            parts = []
-            for mark, counter in enumerate(counts):
-                if counter:
-                    gram, ctx, _, word = _grams(list(counter), order)
-                    n = np.fromiter(counter.values(), np.int64, len(counter))[word]
-                    parts.append((_bucket(gram, BITS) << BITS | _bucket(ctx, BITS), n * (mark == 1), n * (mark == 0)))
-            key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            tox, ordinary = (np.bincount(at, np.concatenate([p[i] for p in parts]), len(key)).astype(np.int64) for i in (1, 2))
-            yield _rows(np.full(len(key), order, np.int32), key >> BITS, key & ((1 << BITS) - 1), tox, ordinary, names=names)
+    Order 5 counts occurrences, the orders below how many different grams of the next order a class has that end in the gram.
+    """
+    names = ["gram5", "ctx5", "gram4", "ctx4", "gram3", "ctx3", "gram2", "toxic", "ordinary"]
 
-    found = labelled.select("text", "toxic").mapInArrow(lambda it: _flushed(it, make, True), "order int, gram long, ctx long, toxic long, ordinary long")
-    return found.groupBy("order", "gram", "ctx").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    def make(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        for mark, counter in enumerate(counts):
+            if counter:
+                grams, contexts, word = _grams(list(counter))
+                n = np.fromiter(counter.values(), np.int64, len(counter))[word]
+                _, first, at = np.unique(grams[5], return_index=True, return_inverse=True)
+                n = np.bincount(at, n, len(first)).astype(np.int64)
+                columns = [x[first].view(np.int64) for x in (grams[5], contexts[5], grams[4], contexts[4], grams[3], contexts[3], grams[2])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, n * mark, n * (1 - mark))], names)
+
+    found = labelled.select("text", "toxic").mapInArrow(lambda it: _counted(it, make, True), ", ".join(f"{c} long" for c in names))
+    keys = names[:-2]
+    five = stored(found.groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
+    kinds = (F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary"))
+    four = five.groupBy(*keys[2:]).agg(*kinds)
+    three = four.groupBy(*keys[4:]).agg(*kinds)
+    named = lambda df, k: df.select(F.col(f"gram{k}").alias("gram"), F.col(f"ctx{k}").alias("ctx"), F.col(f"gram{k - 1}").alias("low"), "toxic", "ordinary")
+    return {3: named(three, 3), 4: named(four, 4), 5: named(five, 5)}
+
+
+def shared_backoff(docs: DataFrame) -> DataFrame:
+    """gram, p: the probability of each bigram's second character after its first, by continuation counts over the words of all texts. The table grows with the corpus and stays on the executors."""
+    names = ["gram3", "gram2", "ctx2", "gram1"]
 
+    def make(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
+        grams, contexts, _ = _grams(list(counts[0]))
+        _, first = np.unique(grams[3], return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x[first].view(np.int64)) for x in (grams[3], grams[2], contexts[2], grams[1])], names)
 
-def shared_counts(docs: DataFrame) -> DataFrame:
-    """suffix, first (buckets of a bigram and of its context), follows: over the words of all texts, how many different trigrams end in the bigram."""
+    types = docs.select("text").mapInArrow(lambda it: _counted(it, make, False), ", ".join(f"{c} long" for c in names)).distinct()
+    two = stored(types.groupBy("gram2", "ctx2", "gram1").agg(F.count("*").alias("n2")), "bigrams")
+    first = two.groupBy("ctx2").agg(F.sum("n2").alias("all2"), F.count("*").alias("kinds2"))
+    one = two.groupBy("gram1").agg(F.count("*").alias("n1"))
+    whole = one.agg(F.sum("n1").alias("all1"), F.count("*").alias("kinds1"))
+    share = lambda n, total: F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / F.col(total)
+    p1 = share("n1", "all1") + DISCOUNT * F.col("kinds1") / F.col("all1") / (F.col("kinds1") + 1)
+    p2 = share("n2", "all2") + DISCOUNT * F.col("kinds2") / F.col("all2") * F.col("p1")
+    one = one.crossJoin(F.broadcast(whole)).select("gram1", p1.alias("p1"))  # one row of sums
+    return two.join(first, "ctx2").join(one, "gram1").select(F.col("gram2").alias("gram"), p2.alias("p"))
 
-    def make(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
-        gram, _, suffix, word = _grams(list(counts[0]), 3)
-        first = _grams(list(counts[0]), 2)
-        key, at = np.unique(_bucket(gram, 24) << SHARED_BITS | _bucket(suffix, SHARED_BITS), return_index=True)
-        n = np.bincount(np.unique(_bucket(gram, 24) << SHARED_BITS | _bucket(suffix, SHARED_BITS), return_inverse=True)[1], np.fromiter(counts[0].values(), np.int64, len(counts[0]))[word]).astype(np.int64)
-        yield _rows(key >> SHARED_BITS, key & ((1 << SHARED_BITS) - 1), _bucket(first[1], SHARED_BITS)[at], n, names=["gram", "suffix", "first", "n"])
 
-    found = docs.select("text").mapInArrow(lambda it: _flushed(it, make, False), "gram long, suffix long, first long, n long")
-    grams = found.groupBy("gram", "suffix", "first").agg(F.sum("n").alias("n"))
-    return grams.groupBy("suffix", "first").agg(F.count("*").alias("follows"), F.sum("n").alias("n"))
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the wanted keys among sorted keys, and which of them are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
 
 
 @dataclass
 class Model:
-    """Tables by hash bucket, of bounded size: counts a class for each order, and the shared bigram log-probabilities' parts."""
-
-    grams: dict[int, np.ndarray]  # order: [2, 2 ** BITS]
-    contexts: dict[int, np.ndarray]  # order: [2, 2 ** BITS] counts
-    kinds: dict[int, np.ndarray]  # order: [2, 2 ** BITS] different continuations
-    follows: np.ndarray
-    first: np.ndarray
-    first_kinds: np.ndarray
+    """What scoring needs, of the size of the labelled sample: by order the grams' discounted shares and the contexts' backoff weights of [ordinary, toxic], and the shared probability below."""
+
+    grams: dict[int, tuple[np.ndarray, np.ndarray]]  # order: sorted keys, [2, keys]
+    contexts: dict[int, tuple[np.ndarray, np.ndarray]]  # order: sorted keys, [2, keys]
+    shared: tuple[np.ndarray, np.ndarray]  # sorted keys of bigrams, probability
     weights: np.ndarray | None = None
     center: np.ndarray | None = None
     spread: np.ndarray | None = None
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """[words, 2]: the length-normalised log-likelihood difference and the toxic gain over the word."""
-        gram, ctx, _, word = _grams(words, 2)
-        g, c = _bucket(gram, SHARED_BITS), _bucket(ctx, SHARED_BITS)
-        base = 1 / 64
-        seen = np.maximum(self.first[c], 1)
-        share = np.maximum(self.follows[g] - DISCOUNT, 0) / seen + np.where(self.first[c] > 0, DISCOUNT * self.first_kinds[c] / seen, 1) * base
-        p = np.stack([share, share])
+        """[words, 3]: the length-normalised log-likelihood difference, the toxic gain over the word, and the word's length with its end."""
+        grams, contexts, word = _grams(words)
+        at, there = _found(self.shared[0], grams[2])
+        # where no labelled gram ends, both classes back off alike and the shared probability cancels out
+        p = np.where(there, self.shared[1][at] if len(self.shared[1]) else 1e-3, 1e-3)
+        p = np.stack([p, p])
         for order in ORDERS:
-            gram, ctx, _, word = _grams(words, order)
-            g, c = _bucket(gram, BITS), _bucket(ctx, BITS)
-            n = self.contexts[order][:, c]
-            safe = np.maximum(n, 1)
-            p = np.where(n > 0, np.maximum(self.grams[order][:, g] - DISCOUNT, 0) / safe + np.minimum(DISCOUNT * self.kinds[order][:, c] / safe, 1) * p, p)
-        gain = np.log(np.maximum(p[1], 1e-9)) - np.log(np.maximum(p[0], 1e-9))
+            at, there = _found(self.contexts[order][0], contexts[order])
+            back = np.where(there, self.contexts[order][1][:, at] if len(self.contexts[order][0]) else 1.0, 1.0)
+            at, there = _found(self.grams[order][0], grams[order])
+            share = np.where(there, self.grams[order][1][:, at] if len(self.grams[order][0]) else 0.0, 0.0)
+            p = share + back * p
+        gain = np.log(p[1]) - np.log(p[0])
         total = np.bincount(word, gain, len(words))
-        return np.stack([total / np.bincount(word, minlength=len(words)), total], axis=1)
+        length = np.bincount(word, minlength=len(words))
+        return np.stack([total / length, total, length], axis=1)
 
 
 def _features(scores: np.ndarray) -> np.ndarray:
-    """Of the words' scores of a text: the two highest by length-normalised and by whole score, and the text's mean."""
+    """Of the words' scores of a text: the two highest by length-normalised and by whole gain, the text's own length-normalised gain, the gain beyond CLEAR over the root of the number of words, and the four highest gains."""
     if not len(scores):
         return np.zeros(FEATURES)
-    top = np.sort(np.partition(scores, max(len(scores) - 2, 0), axis=0)[-2:], axis=0)
-    two = np.concatenate([top[-1], top[-2] if len(top) > 1 else np.zeros(2)])
-    return np.append(two, scores[:, 0].mean())
+    gain = scores[:, 1]
+    share, top = (np.sort(np.partition(x, max(len(x) - 4, 0))[-4:])[::-1] for x in (scores[:, 0], gain))
+    two = lambda x: (x[0], x[1] if len(x) > 1 else 0.0)
+    return np.array([*two(share), *two(top), gain.sum() / scores[:, 2].sum(), np.maximum(gain - CLEAR, 0).sum() / np.sqrt(len(gain)), top.sum()])
 
 
 class _Scorer:
     """Scores of words, kept; cleared when there are many."""
 
     def __init__(self, model: Model):
-        self.model, self.ids, self.scores = model, {}, np.zeros((0, 2))
+        self.model, self.ids, self.scores = model, {}, np.zeros((0, 3))
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         found = [WORD.findall(t.lower()) if t else [] for t in texts]
         if len(self.ids) > 400_000:
-            self.ids, self.scores = {}, np.zeros((0, 2))
+            self.ids, self.scores = {}, np.zeros((0, 3))
         if new := set().union(*found).difference(self.ids):
             new = sorted(new)
             for w in new:
                 self.ids[w] = len(self.ids)
             if len(self.ids) > len(self.scores):
-                grown = np.zeros((2 * len(self.ids), 2))
+                grown = np.zeros((2 * len(self.ids), 3))
                 grown[: len(self.scores)] = self.scores
                 self.scores = grown
             for i in range(0, len(new), 20_000):
@@ -182,21 +191,23 @@ class _Scorer:
         return np.array([_features(self.scores[np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w))]) for w in found]).reshape(len(texts), FEATURES)
 
 
-def _tables(classes, shared) -> Model:
-    grams, contexts, kinds = {}, {}, {}
+def _tables(classes: dict, shared) -> Model:
+    """The model from class counts by order and shared probabilities, as pandas tables."""
+    grams, contexts = {}, {}
     for order in ORDERS:
-        own = classes[classes["order"] == order]
-        grams[order], contexts[order], kinds[order] = (np.zeros((2, 1 << BITS), np.float32) for _ in range(3))
-        for i, name in enumerate(("ordinary", "toxic")):
-            n = own[name].to_numpy()
-            np.add.at(grams[order][i], own["gram"].to_numpy(), n)
-            np.add.at(contexts[order][i], own["ctx"].to_numpy(), n)
-            np.add.at(kinds[order][i], own["ctx"].to_numpy(), n > 0)
-    follows, first, first_kinds = (np.zeros(1 << SHARED_BITS, np.float32) for _ in range(3))
-    np.add.at(follows, shared["suffix"].to_numpy(), shared["follows"].to_numpy())
-    np.add.at(first, shared["first"].to_numpy(), shared["follows"].to_numpy())
-    np.add.at(first_kinds, shared["first"].to_numpy(), 1)
-    return Model(grams, contexts, kinds, follows, first, first_kinds)
+        own = classes[order]
+        key, ctx = own["gram"].to_numpy().view(np.uint64), own["ctx"].to_numpy().view(np.uint64)
+        n = np.stack([own["ordinary"].to_numpy(float), own["toxic"].to_numpy(float)])
+        names, at = np.unique(ctx, return_inverse=True)
+        total = np.stack([np.bincount(at, x, len(names)) for x in n])
+        kinds = np.stack([np.bincount(at, x > 0, len(names)) for x in n])
+        share = np.maximum(n - DISCOUNT, 0) / np.maximum(total[:, at], 1)
+        order_ = np.argsort(key)
+        grams[order] = key[order_], share[:, order_]
+        contexts[order] = names, np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    key = shared["gram"].to_numpy().view(np.uint64)
+    order_ = np.argsort(key)
+    return Model(grams, contexts, (key[order_], shared["p"].to_numpy(float)[order_]))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0) -> np.ndarray:
@@ -217,15 +228,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 1.0
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = TRAIN_ROWS) -> Model:
     """A model from labels outside the held-out fold of crc32(doc_id): at most `rows` labelled documents, and the words of all docs.
 
-    Of the labelled rows the fold `folds - 1` fits the logistic layer, the others the class models.
+    Of the labelled rows the fold `folds - 1` fits the logistic layer, the others the class models. A document with
+    conflicting labels counts as toxic; labels other than 0 and 1, and those of null ids, are left out.
     """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held))
     picked = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     spark = docs.sparkSession
     few = spark.createDataFrame(picked.toArrow()) if not picked.isEmpty() else picked
     labelled = stored(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic", (fold("doc_id", folds) == folds - 1).alias("tunes")), "labelled")
-    classes = class_counts(labelled.where(~F.col("tunes"))).toPandas()
-    model = _tables(classes, shared_counts(docs).toPandas())
+    classes = class_counts(labelled.where(~F.col("tunes")))
+    # of the corpus' probabilities only those of bigrams in labelled rows are fetched: what comes here is bounded by the sample
+    needed = shared_backoff(docs).join(classes[3].select(F.col("low").alias("gram")).distinct(), "gram", "left_semi")
+    model = _tables({k: df.toPandas() for k, df in classes.items()}, needed.toPandas())
     sent = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +251,15 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, row
     tuned = labelled.where("tunes").select("text", "toxic").mapInArrow(features, "toxic int, " + ", ".join(f"x{i} double" for i in range(FEATURES))).toPandas()
     x, y = tuned[[f"x{i}" for i in range(FEATURES)]].to_numpy(float).reshape(-1, FEATURES), tuned["toxic"].to_numpy(float)
     model.center, model.spread = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
-    model.weights = _logistic((x - model.center) / model.spread, y) if len(set(y)) == 2 else np.zeros(FEATURES + 1)
+    model.weights = _logistic((x - model.center) / model.spread, y) if len(set(y)) == 2 else None
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score in [0, 1] for every row of docs (doc_id, text): the probability of toxicity.
 
-    Null and empty texts, and those without letters, score 0, unless no toxic or no ordinary row was learned: then every score is 0.5 but theirs. Other columns are ignored.
+    Null and empty texts, and those without letters, score 0; so does every text if no toxic or no ordinary row was there to
+    learn from. Repeated rows get the same score, empty tables give none. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -252,8 +267,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         scorer, m = _Scorer(sent.value), sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            z = (scorer.features(texts) - m.center) / m.spread @ m.weights[:-1] + m.weights[-1]
-            p = np.where([bool(t and WORD.search(t)) for t in texts], 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
+            p = np.zeros(len(texts))
+            if m.weights is not None:
+                z = (scorer.features(texts) - m.center) / m.spread @ m.weights[:-1] + m.weights[-1]
+                p = np.where([bool(t and WORD.search(t)) for t in texts], 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
 
     source = docs.select("doc_id", "text")
