@@ -37,30 +37,38 @@ def n_words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """win (array of words), items (array of item ids as text): the different windows of the items."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("item IS NOT NULL AND size(w) > 0")
+    """win (array of words), items (array of structs of an item id as text, which may be null): the different windows of the items."""
+    items = benchmark.select(F.struct(F.col("item_id").cast("string").alias("id")).alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (size - 1), F.lit(1)))
     wins = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("win"))
     return wins.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, start, len, items: each occurrence of a window in a text of docs (doc_id, text)."""
+def _within(rows: DataFrame, n: int, names: list[str]) -> DataFrame:
+    """rows with a broadcast hint if they are at most n, as counted before; a larger side is joined by shuffle."""
+    return F.broadcast(rows.select(*names)) if rows.limit(n + 1).count() <= n else rows.select(*names)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_hash, start, len, items: each occurrence of a window in a text of docs (doc_id, text).
+
+    Word counts of the windows' words are taken in one pass over all texts, and so is every window's rarest word. Windows
+    are then placed in the texts in blocks that may be broadcast, one pass each: a benchmark of up to `block` windows takes one.
+    """
     wins = stored(item_windows(benchmark, size).withColumn("key", F.xxhash64("win")), "windows")
     split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
-    blocks = max(1, -(-wins.count() // BLOCK))
-    found = None
+    tokens = _within(stored(wins.select(F.explode("win").alias("token")).distinct(), "tokens"), size * block, ["token"])
+    often = split.select(F.explode("w").alias("token")).join(tokens, "token").groupBy("token").count()
+    ranked = wins.select("key", "win", "items", F.posexplode("win").alias("offset", "token")).join(often, "token")
+    rarest = ranked.groupBy("key", "win", "items").agg(F.min(F.struct("count", "token", "offset")).alias("r"), F.count("*").alias("seen")).where(F.col("seen") == F.size("win"))
+    prefix = stored(rarest.select("key", F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), "win", F.size("win").alias("len"), "items"), "prefix")
+    placed = split.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "token"))
+    start = F.col("pos") - F.col("offset")
+    hit = (start >= 0) & (start + F.col("len") <= F.size("w")) & (F.slice("w", start + 1, F.col("len")) == F.col("win"))
+    blocks, found = max(1, -(-prefix.count() // block)), None
     for i in range(blocks):
-        own = wins.where(F.pmod("key", F.lit(blocks)) == i) if blocks > 1 else wins
-        tokens = own.select(F.explode("win").alias("token")).distinct()
-        often = split.select(F.explode("w").alias("token")).join(F.broadcast(tokens), "token").groupBy("token").count()
-        ranked = own.select("key", "win", "items", F.posexplode("win").alias("offset", "token")).join(often, "token")
-        rarest = ranked.groupBy("key", "win", "items").agg(F.min(F.struct("count", "token", "offset")).alias("r"), F.count("*").alias("seen")).where(F.col("seen") == F.size("win"))
-        prefix = stored(rarest.select(F.col("r.token").alias("token"), F.col("r.offset").alias("offset"), "win", F.size("win").alias("len"), "items"), "prefix")
-        placed = split.select("doc_id", "text_hash", "w", F.posexplode("w").alias("pos", "token"))
-        start = F.col("pos") - F.col("offset")
-        hit = (start >= 0) & (start + F.col("len") <= F.size("w")) & (F.slice("w", start + 1, F.col("len")) == F.col("win"))
-        part = placed.join(F.broadcast(prefix), "token").where(hit).select("doc_id", "text_hash", start.alias("start"), "len", "items")
+        own = prefix.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == i) if blocks > 1 else prefix
+        part = placed.join(F.broadcast(own.drop("key")), "token").where(hit).select("doc_id", "text_hash", start.alias("start"), "len", "items")
         found = part if found is None else found.union(part)
     return found
 
@@ -70,7 +78,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, kee
 
     A document word inside an occurrence of an item's window is hit; a text is contaminated if at least a twentieth of its
     words are. An item shorter than the window is one window; one without words none. Null and empty texts have no words
-    and are clean, items with a null id are left out, repeated rows get the same result, other columns are ignored.
+    and are clean. Items of a null id count like others, as one item, but are not in `items`. Repeated rows get the same result,
+    empty tables none or clean ones; other columns are ignored.
     """
     found = matches(docs, benchmark, size)
     spans = F.array_sort(F.collect_set(F.struct("start", "len")))
@@ -86,5 +95,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, kee
     own = docs.select(*names, F.xxhash64("text").alias("text_hash"), n_words(F.col("text")).alias("n_words"))
     joined = own.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return joined.select(*names, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    found = F.coalesce("items", F.array().cast("array<struct<id:string>>"))
+    items = F.array_compact(F.transform(found, lambda x: x["id"]))
+    return joined.select(*names, "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), items.alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))

@@ -1,46 +1,55 @@
-"""Language identification by cross-parsing: how few longest matches in a language's text cover the words.
+"""Language identification by cross-parsing: how few longest matches in a language's text cover a text.
 
-For each language a suffix automaton holds the words of a bounded sample of its labelled texts. A word, with its two
-boundaries, is parsed from left to right into longest matches; phrases times the bits of a pointer into the training
-text, over the length, estimate the cross entropy. The language with the least wins.
+For each language a suffix automaton holds a bounded sample of its labelled texts, reduced to lower-case words with one
+space between them. A text, reduced alike, is parsed from left to right into longest matches, across words; phrases times
+the bits of a pointer into the training text, over the length, estimate the cross entropy. The language with the least wins.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tablebridge.llm.common import fold
+from tablebridge.llm.common import fold, stored
 
-#: Labelled rows read and characters kept for each language: the bounds of the training sample.
+#: Labelled documents read and characters kept for each language: the bounds of the training sample.
 TRAIN_ROWS = 300
-TRAIN_CHARS = 40_000
-#: Above so many phrases a character no learned language fits; the pipeline rejects such a text.
-MAX_PHRASES = 0.62
+TRAIN_CHARS = 60_000
+#: Languages that a model may hold; more are an error.
+MAX_LANGUAGES = 1_000
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+_GAP = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
+
+
+def reduced(text: str | None) -> str:
+    """The words of a text, lower-cased, with a space before, between and after them; empty where it has no letter."""
+    if not text or not _LETTER.search(text):
+        return ""
+    return f" {_GAP.sub(' ', text.lower()).strip()} "
 
 
 class SuffixAutomaton:
-    """Accepts every substring of the words added to it. `edges[state]` maps a character to the next state."""
+    """Accepts every substring of the texts added to it. `edges[state]` maps a character to the next state."""
 
-    def __init__(self, words: list[str] = ()):
+    def __init__(self, texts: list[str] = ()):
         self.edges: list[dict[str, int]] = [{}]
         self.link, self.length, self.size = [-1], [0], 0
-        for word in words:
-            self.add(word)
+        for text in texts:
+            self.add(text)
 
-    def add(self, word: str) -> None:
+    def add(self, text: str) -> None:
         edges, link, length, last = self.edges, self.link, self.length, 0
-        self.size += len(word)
-        for c in word:
+        self.size += len(text)
+        for c in text:
             if c in edges[last]:
                 q = edges[last][c]
                 last = q if length[q] == length[last] + 1 else self._clone(last, c, q)
@@ -72,103 +81,103 @@ class SuffixAutomaton:
             p = self.link[p]
         return copy
 
-    def phrases(self, text: str) -> int:
-        """Longest matches, from left to right, that cover the text; an unknown character is a phrase of its own."""
-        edges, start = self.edges, self.edges[0]
-        at, n = start, 0
-        for c in text:
-            step = at.get(c)
+    def start(self) -> dict[str, dict]:
+        """The start state as a dictionary from characters to states of the same kind."""
+        states: list[dict] = [{} for _ in self.edges]
+        for state, edges in zip(states, self.edges, strict=True):
+            for c, to in edges.items():
+                state[c] = states[to]
+        return states[0]
+
+
+def phrases(start: dict[str, dict], text: str) -> int:
+    """Longest matches, from left to right, that cover the text; an unknown character is a phrase of its own."""
+    at, n = start, 0
+    for c in text:
+        step = at.get(c)
+        if step is None:
+            if at is not start:
+                n += 1
+            step = start.get(c)
             if step is None:
-                if at is not start:
-                    n += 1
-                step = start.get(c)
-                if step is None:
-                    n += 1
-                    at = start
-                    continue
-            at = edges[step]
-        return n + (at is not start)
+                n += 1
+                step = start
+        at = step
+    return n + (at is not start)
+
 
+#: Language to the reduced texts that its automaton holds.
+Model = dict[str, list[str]]
 
-def training_words(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
-    """Language to its words, the most frequent first, of a sample of labelled documents (doc_id, text, lang).
 
-    Bounded: `rows` documents a language (those whose ids hash lowest) and `chars` characters of words.
+def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """Language to reduced texts of a sample of labelled documents (doc_id, text, lang).
+
+    Bounded: of each language the documents whose ids hash lowest, at most `rows` of them, and whole texts as long as
+    `chars` characters have room for them. One pass counts the languages, one picks; only sampled texts come to the driver.
     """
-    labelled = docs.where(F.col("lang").isNotNull())
-    taken: dict[str, list[str]] = {}
-    for lang in sorted(r["lang"] for r in labelled.select("lang").distinct().collect()):
-        own = labelled.where(F.col("lang") == lang)
-        ids = [r["doc_id"] for r in own.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(rows).collect()]
-        words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), 0)).alias("word")
-        counts = own.where(F.col("doc_id").isin(ids)).select(words).groupBy("word").count().orderBy(F.desc("count"), "word").limit(chars)
-        kept, room = [], chars
-        for word in (r["word"] for r in counts.collect()):
-            room -= len(word) + 2
-            if room < 0:
-                break
-            kept.append(word)
-        taken[lang] = kept
-    return taken
+    own = F.xxhash64("doc_id", F.xxhash64("text"))
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text", own.alias("h"))
+    counts = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if (languages := counts.count()) > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages; a model holds at most {MAX_LANGUAGES}")
+    # a share of each language that holds `rows` documents with near certainty; ranks are then taken among these few
+    share = (F.lit(float(rows)) + 6 * math.sqrt(rows) + 10) / F.col("n")
+    low = F.least(share, F.lit(1.0)) * float(2**63)
+    few = labelled.join(F.broadcast(counts.select("lang", low.alias("low"))), "lang").where(F.shiftrightunsigned("h", 1).cast("double") <= F.col("low"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    sample = few.where(F.length("text") <= chars).withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "rank", "text")
+    taken: Model = {}
+    room: dict[str, int] = {}
+    for lang, _, text in sorted(map(tuple, sample.collect())):
+        if text := reduced(text):
+            left = room.get(lang, chars) - len(text)
+            taken.setdefault(lang, [])
+            if left >= 0:
+                taken[lang].append(text)
+                room[lang] = left
+    return {lang: texts for lang, texts in taken.items() if texts}
 
 
 _built: dict[str, tuple] = {}
 
 
-def _parsers(words: dict[str, list[str]]) -> tuple[list[str], list[SuffixAutomaton], np.ndarray]:
-    """The automata, built once in a worker process."""
-    key = repr(sorted((k, len(v), v[:3], v[-3:]) for k, v in words.items()))
+def _parsers(model: Model) -> tuple[list[str], list[dict], np.ndarray]:
+    """The automata, built once in a worker process for each model."""
+    key = hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest()
     if key not in _built:
         _built.clear()
-        langs = sorted(words)
-        machines = [SuffixAutomaton([f" {w} " for w in words[k]]) for k in langs]
-        _built[key] = langs, machines, np.array([math.log2(max(m.size, 2)) for m in machines])
+        langs = sorted(model)
+        machines = [SuffixAutomaton(model[k]) for k in langs]
+        _built[key] = langs, [m.start() for m in machines], np.array([math.log2(max(m.size, 2)) for m in machines])
     return _built[key]
 
 
-def identify(docs: DataFrame, words: dict[str, list[str]], keep: list[str] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str] = ()) -> DataFrame:
     """doc_id, lang_pred, score, phrases for every row of docs (doc_id, text), and the columns named in keep.
 
     lang_pred is the language of least normalised phrases, `und` where the text is null or has no letter (or no
     language was learned); score is its share of 2 ** (-20 * bits a character); phrases is the winner's phrases a character
-    (null for `und`). Ties go to the language that sorts first.
+    (null for `und`). Ties go to the language that sorts first. Repeated rows get equal results, empty tables none; other columns are ignored.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, machines, bits = _parsers(words)
-        ids: dict[str, int] = {}
-        counts = np.zeros((1 << 16, len(langs) + 1))
-
-        def add(new: list[str]) -> None:
-            nonlocal counts
-            if len(ids) > 400_000:
-                ids.clear()
-            for w in new:
-                ids[w] = k = len(ids)
-                if k >= len(counts):
-                    counts = np.concatenate([counts, np.zeros_like(counts)])
-                padded = f" {w} "
-                counts[k, :-1] = [m.phrases(padded) for m in machines]
-                counts[k, -1] = len(padded)
-
+        langs, starts, bits = _parsers(sent.value)
         for batch in batches:
             out: tuple[list, list, list] = ([], [], [])
             for text in batch.column("text").to_pylist():
-                found = WORD.findall(text.lower()) if text else []
-                if not found or not langs:
+                text = reduced(text)
+                if not text or not langs:
                     for x, v in zip(out, (UNKNOWN, 0.0, None), strict=True):
                         x.append(v)
                     continue
-                if new := set(found).difference(ids):
-                    if len(ids) > 400_000:
-                        new = set(found)
-                    add(sorted(new))
-                total = counts[np.fromiter(map(ids.__getitem__, found), np.int64, len(found))].sum(axis=0)
-                h = total[:-1] * bits / total[-1]
+                total = np.array([phrases(start, text) for start in starts])
+                h = total * bits / len(text)
                 best = int(h.argmin())
                 out[0].append(langs[best])
                 out[1].append(float(1 / np.exp2(np.clip(-20 * (h - h[best]), -60, 0)).sum()))
-                out[2].append(float(total[best] / total[-1]))
+                out[2].append(float(total[best] / len(text)))
             kept = [batch.column(c) for c in ["doc_id", *keep]]
             made = [pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.float64())]
             yield pa.RecordBatch.from_arrays(kept + made, ["doc_id", *keep, "lang_pred", "score", "phrases"])
@@ -179,6 +188,6 @@ def identify(docs: DataFrame, words: dict[str, list[str]], keep: list[str] = ())
     return source.mapInArrow(run, f"{fields}, lang_pred string, score double, phrases double")
 
 
-def learn(docs: DataFrame, folds: int = 3, held: int = 1, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
-    """Training words of the documents outside the held-out fold of crc32(doc_id)."""
-    return training_words(docs.where(fold("doc_id", folds) != held).select("doc_id", "text", "lang"), rows, chars)
+def learn(docs: DataFrame, folds: int = 3, held: int = 1, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
+    """The training sample of the documents outside the held-out fold of crc32(doc_id); rows of null ids are not learned from."""
+    return training_texts(docs.where(fold("doc_id", folds) != held).select("doc_id", "text", "lang"), rows, chars)

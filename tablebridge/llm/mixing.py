@@ -27,8 +27,8 @@ SEED = 20
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one hash bucket of a source should hold, and the most buckets: beyond, buckets grow (their narrow rows are sorted with spill).
 BUCKET_ROWS, MAX_BUCKETS = 128, 1 << 14
-#: Sources that may be broadcast.
-BROADCAST_SOURCES = 100_000
+#: Sources that may be broadcast, and sources that a mix may have: their quotas are split on the driver, and more are an error.
+BROADCAST_SOURCES, MAX_SOURCES = 100_000, 1_000_000
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> list[float]:
@@ -49,16 +49,32 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
     return out
 
 
-def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric draw; from 10 ** 9 words on, where the exact sampler ends, its normal limit within the possible range."""
-    if n <= 0 or good <= 0:
-        return 0
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    mean = n * good / total
-    sd = math.sqrt(max(mean * (bad / total) * ((total - n) / max(total - 1, 1)), 0))
-    return min(max(round(rng.normal(mean, sd)), max(0, n - bad)), min(good, n))
+def _draw(rng: np.random.Generator, good: int, bad: int, n: int, whole: int = 10**9) -> int:
+    """How many good ones n draws without replacement give; exact at every size.
+
+    The generator's own sampler ends below `whole`. Beyond it every item is first drawn by itself with probability n / all,
+    two binomial draws. That gives a uniform choice of some k items; what k lacks of n, or exceeds it by, is about the root
+    of n, and is drawn, or given back, at random among the rest in the same way.
+    """
+    given, sign = 0, 1
+    while n > 0 and good > 0:
+        if bad <= 0:
+            return given + sign * min(n, good)
+        if good + bad < whole:
+            return given + sign * int(rng.hypergeometric(good, bad, n))
+        if n <= 1000:
+            for _ in range(n):
+                hit = rng.random() * (good + bad) < good
+                given, good, bad = given + sign * hit, good - hit, bad - (not hit)
+            return given
+        p = n / (good + bad)
+        x, y = int(rng.binomial(good, p)), int(rng.binomial(bad, p))
+        given += sign * x
+        if x + y <= n:
+            good, bad, n = good - x, bad - y, n - x - y  # draw the lacking ones among those left
+        else:
+            good, bad, n, sign = x, y, x + y - n, -sign  # give the excess back from those drawn
+    return given
 
 
 def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
@@ -88,18 +104,22 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED, keep: list[str] = ()) -> DataFrame:
     """The mix of docs (doc_id, text, source): one row per row of docs.
 
     doc_id, source, size (words of the text), source_size, target (of its source), taken (words that the mix takes of it,
-    repeats counted), pieces: array of (shard, epoch, first, last), word ranges of the document with the end exclusive.
+    repeats counted), pieces: array of (shard, epoch, first, last), word ranges of the document with the end exclusive, text_hash and the columns in keep.
     Sources count by code point, null last and a source of its own. Null and empty texts have size 0 and no pieces. A source's taken
-    words sum to its target, rounded; no document is taken more than `cap` times. Repeated rows count as often as they occur. Other columns are
-    ignored. Equal inputs give equal mixes.
+    words sum to its target, rounded; no document is taken more than `cap` times. Repeated rows count as often as they occur; ids may be null
+    or repeated, as a row's place follows from its id and text. An empty table gives an empty mix. Other columns are ignored. Equal inputs give equal mixes.
     """
     spark = docs.sparkSession
-    sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes")
-    totals = sorted(((r["source"], int(r["words"] or 0), r["docs"]) for r in sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    names = ["doc_id", "text_hash", *keep]
+    sized = stored(docs.withColumn("text_hash", F.xxhash64("text")).select(*names, F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes")
+    sums = stored(sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "sources")
+    if (sources := sums.count()) > MAX_SOURCES:
+        raise ValueError(f"{sources} sources; a mix has at most {MAX_SOURCES}")
+    totals = sorted(((r["source"], int(r["words"] or 0), r["docs"]) for r in sums.collect()), key=lambda r: (r[0] is None, r[0] or ""))
     wanted = targets([r[1] for r in totals], weights, share, cap)
     quotas = [min(round(t), math.floor(cap * r[1])) for t, r in zip(wanted, totals, strict=True)]
     ends = np.cumsum(split_quotas(quotas, shards, seed), axis=1) if totals else np.zeros((0, shards), np.int64)
@@ -109,11 +129,11 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIG
     buckets = 1
     while buckets < MAX_BUCKETS and buckets * BUCKET_ROWS < max((r[2] for r in totals), default=0):
         buckets *= 2
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = sized.join(bounded_broadcast(plan.select("sid", "name"), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "sid", h.alias("h"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(buckets)).alias("bucket"))
-    sums = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
+    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash"))
+    placed = sized.join(bounded_broadcast(plan.select("sid", "name"), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("name"))).select(*names, "source", "size", "sid", h.alias("h"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(buckets)).alias("bucket"))
+    filled = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
+    offsets = filled.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     lined = placed.join(offsets, ["sid", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
@@ -127,12 +147,26 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIG
 
     cells = F.flatten(F.transform(epochs, lambda e: F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: piece(e, j))))
     pieces = F.filter(cells, lambda p: p["last"] > p["first"])
-    lined = lined.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, pieces).otherwise(F.filter(cells, lambda p: F.lit(False))).alias("pieces"))
+    lined = lined.select(*names, "source", "size", "source_size", "target", F.when(F.col("size") > 0, pieces).otherwise(F.filter(cells, lambda p: F.lit(False))).alias("pieces"))
     taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["last"] - p["first"])
-    return lined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "pieces")
+    return lined.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "pieces", "text_hash", *keep)
+
 
+def piece_text(text: Column, size: Column, first: Column, last: Column) -> Column:
+    """The words first to last (exclusive) of a text with what stands between them; the whole text as it is."""
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), first.cast("int") + 1, (last - first).cast("int")), " ")
+    return F.when((first == 0) & (last == size), text).otherwise(cut)
 
-def shard_rows(mixed: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mix as rows in the order of each shard: shard, place (the local shuffle's key), doc_id, source, epoch, first, last; write with partitionBy("shard")."""
-    rows = mixed.select("doc_id", "source", F.explode("pieces").alias("p")).select("p.shard", F.xxhash64(F.lit(seed), "doc_id", "p.epoch", "p.shard", "p.first").alias("place"), "doc_id", "source", "p.epoch", "p.first", "p.last")
-    return rows.repartition("shard", F.pmod("place", F.lit(64))).sortWithinPartitions("shard", "place")
+
+def shard_rows(mixed: DataFrame, keep: list[str] = (), seed: int = SEED, parts: int = 64) -> DataFrame:
+    """The drawn pieces of a mix as rows in the order of each shard, and the columns named in keep; with `text` among them each row has its piece's words.
+
+    shard, place (its key in the local shuffle), doc_id, source, epoch, first, last, words. A shard is dealt into `parts`
+    tasks by place, so a large one is shuffled by many. A whole document keeps its white space; a cut one has single spaces.
+    """
+    own = [c for c in keep if c not in ("doc_id", "source")]
+    rows = mixed.select("doc_id", "source", "size", "text_hash", *own, F.explode("pieces").alias("p"))
+    place = F.xxhash64(F.lit(seed), "doc_id", "text_hash", "p.epoch", "p.shard", "p.first")
+    columns = [piece_text(F.col("text"), F.col("size"), F.col("p.first"), F.col("p.last")).alias("text") if c == "text" else F.col(c) for c in own]
+    rows = rows.select("p.shard", place.alias("place"), "doc_id", "source", "p.epoch", "p.first", "p.last", (F.col("p.last") - F.col("p.first")).alias("words"), *columns)
+    return rows.repartition("shard", F.pmod("place", F.lit(parts))).sortWithinPartitions("shard", "place")

@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablebridge.llm.common import bounded_broadcast, stored
+from tablebridge.llm.common import bounded_broadcast, hot_keys, split_join, stored
 
 NGRAM = 5
 THRESHOLD = 0.8
 TARGET_RECALL = 0.9999
 MAX_HASHES = 256
-#: Ids that may be broadcast: 8 MB.
+#: Ids with text hashes that may be broadcast: 16 MB of numbers.
 BROADCAST_IDS = 1_000_000
 #: Nodes, and n-grams, that a block of a class holds on average at most; columns of n-grams that are multiplied at once.
 BLOCK_NODES, BLOCK_GRAMS, COLUMNS = 256, 1 << 20, 4096
@@ -106,8 +106,8 @@ def signatures(docs: DataFrame, n: int = NGRAM, bands: int = 31, rows: int = 6,
                 ["doc_id", "text_hash", "node", "n_grams", "keys"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    return source.mapInArrow(run, "doc_id long, text_hash long, node string, n_grams long, keys array<long>")
+    source = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, text_hash long, node string, n_grams long, keys array<long>")
 
 
 def gram_sets(docs: DataFrame, n: int = NGRAM) -> DataFrame:
@@ -130,15 +130,18 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
+    # a leader meets every member of its bucket: its pairs are shared among tasks
+    joined = split_join(split_join(pairs, left, "a", "b"), right, "b", "a", hot_keys(pairs.groupBy("b").count(), "b", "count", pairs.count())).select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("total"))
     return joined.where(F.col("both") >= threshold * (F.col("total") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for the nodes of edges (a, b): large-star and small-star steps, each pair of them written to the shared folder, until every edge leads to the least node."""
 
-    def least(df: DataFrame) -> DataFrame:
-        return df.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    def with_least(df: DataFrame, rows: int) -> DataFrame:
+        """df with m, the least of u and its neighbours; the rows of a node with very many are shared among tasks."""
+        low = df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        return split_join(df, low.drop("n"), "u", "v", hot_keys(low, "u", "n", rows))
 
     def stars(df: DataFrame) -> bool:
         """No node has two edges downwards, or edges both ways."""
@@ -149,8 +152,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     while not stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.join(least(large), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges_now = now.count()
+        large = with_least(both, 2 * edges_now).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = with_least(large, edges_now).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         now = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -198,9 +202,10 @@ def _hub_pairs(mixed: DataFrame, links: DataFrame, threshold: float) -> DataFram
     """Each bucket's members against its member of most links, where they are in another component."""
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     ranked = mixed.join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-    hubs = ranked.groupBy("key").agg(F.max(F.struct("links", "node", "n", "component")).alias("hub"))
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("links", "node", "n", "component")).alias("hub"), F.count("*").alias("members"))
+    hubs = stored(hubs, "hubs")
     fits = F.least("n", "hub.n") >= threshold * F.greatest("n", "hub.n") - 1e-9
-    pairs = mixed.join(hubs, "key").where((F.col("component") != F.col("hub.component")) & fits)
+    pairs = split_join(mixed, hubs.drop("members"), "key", "node", hot_keys(hubs, "key", "members", mixed.count())).where((F.col("component") != F.col("hub.component")) & fits)
     return pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
@@ -302,11 +307,11 @@ def linked_copies(members: DataFrame, sets: DataFrame, threshold: float, block_n
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = TARGET_RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
     """Near-duplicate classes of documents (doc_id, text).
 
-    One row per row of docs: doc_id; class_id, the least doc_id of the documents linked to it directly or through
+    One row per row of docs: doc_id, of any type that can be ordered; class_id, the least doc_id of the documents linked to it directly or through
     others; n_links, the other documents of the class that it is linked to directly, those of the same n-gram set included; n_grams.
     A link is a Jaccard similarity of n-word shingle sets (lower-cased, split at white space) of at least threshold; a
     text of fewer than n words is one shingle. Null and empty texts have no shingles, equal each other and nothing
-    else. Rows of null doc_id are linked like others; a class of such rows alone has a null class_id. Bands and rows are chosen for the recall at the threshold. Other columns of docs are ignored.
+    else. Rows of null doc_id are linked like others; a class of such rows alone has a null class_id. Repeated rows are copies, an empty table gives none. Bands and rows are chosen for the recall at the threshold. Other columns of docs are ignored.
     """
     return classes(docs, threshold, n, recall, max_hashes).select("doc_id", "class_id", "n_links", "n_grams")
 
@@ -315,18 +320,20 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recal
     """ngram_join with component and text_hash: a component is one class, also where ids are null or repeated, and rows of equal doc_id and text_hash are copies."""
     bands, rows = plan_bands(threshold, recall, max_hashes)
     signed = stored(signatures(docs, n, bands, rows), "signatures")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("n_grams").alias("n"), F.first("keys").alias("keys"))
+    one = F.min(F.struct("doc_id", "text_hash")).alias("one")  # a row that stands for the node
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), one, F.count("*").alias("copies"), F.first("n_grams").alias("n"), F.first("keys").alias("keys"))
     nodes = stored(nodes, "nodes")
     posted = nodes.select("node", "n", F.explode("keys").alias("key"))
     lead = F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node", "n")).alias("lead")  # another leader in each of the buckets that the same nodes share
-    buckets = posted.groupBy("key").agg(lead, F.count("*").alias("members")).where("members > 1")
-    shared = stored(posted.join(buckets, "key").select("key", "members", "node", "n", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "buckets")
+    buckets = stored(posted.groupBy("key").agg(lead, F.count("*").alias("members")).where("members > 1"), "leaders")
+    hot = hot_keys(buckets, "key", "members", nodes.count() * bands)
+    shared = stored(split_join(posted, buckets, "key", "node", hot).select("key", "members", "node", "n", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n")), "buckets")
 
     near = shared.where("node <> leader").where(F.least("n", "leader_n") >= threshold * F.greatest("n", "leader_n") - 1e-9)
     pairs = stored(near.select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "pairs")
-    wanted = stored(shared.select("node").distinct().join(nodes.select("node", "first_id"), "node").select(F.col("first_id").alias("doc_id")).distinct(), "wanted")
-    wanted = bounded_broadcast(wanted.withColumnRenamed("doc_id", "first_id"), BROADCAST_IDS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    wanted = stored(shared.select("node").distinct().join(nodes.select("node", "one"), "node").select(F.col("one.doc_id").alias("one_id"), F.col("one.text_hash").alias("one_hash")), "wanted")
+    wanted = bounded_broadcast(wanted, BROADCAST_IDS)
+    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("one_hash")), "left_semi")
     sets = stored(gram_sets(texts, n).dropDuplicates(["node"]), "sets")
     links = stored(verify(pairs, sets, threshold), "links")
     labels = components(links)
@@ -346,5 +353,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recal
     told = nodes.select("node", "first_id", "copies").join(labels, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
     told = stored(told, "told")
     least = told.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    told = told.join(least, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return signed.select("doc_id", "text_hash", "node", "n_grams").join(told, "node").select("doc_id", "text_hash", "component", "class_id", "n_links", "n_grams")
+    told = stored(told.join(least, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "told")
+    rows_ = signed.select("doc_id", "text_hash", "node", "n_grams")
+    return split_join(rows_, told.drop("copies"), "node", "doc_id", hot_keys(told, "node", "copies", signed.count())).select("doc_id", "text_hash", "component", "class_id", "n_links", "n_grams")
