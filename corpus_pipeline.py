@@ -26,15 +26,15 @@ def _same(rows: DataFrame, name: str):
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay: those without letters, or whose letters no language's words cover, go."""
+    """Documents to which a learned language is assigned stay; those of null text or without a letter go, and all if no row has a language to learn. Rows are judged one by one, whatever their ids."""
     text_batches(spark)
     docs = docs.select(*COLUMNS)
     found = language_id.identify(docs, language_id.learn(docs), keep=REST)
-    return found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("phrases") <= language_id.MAX_PHRASES)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates one row stays: of the least doc_id (null last), and among its rows of the least text hash."""
+    """Of each class of near duplicates one row stays: of the least doc_id (null last), and among its rows of the least text hash. Texts without words are one class; an empty table stays empty."""
     text_batches(spark)
     docs = _hashed(docs)
     told = ngram_join.classes(docs).select("component", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which at least a twentieth of the words are benchmark passages go."""
+    """Rows of which at least a twentieth of the words are benchmark passages go; rows of null or empty text stay. Rows are judged by id and text, so others of the same id stay."""
     docs = _hashed(docs)
     told = decontaminate.contamination(docs.withColumnRenamed("text_hash", "row_hash"), read(spark, sf_dir, "benchmark"), keep=["row_hash"])
     gone, is_gone = _same(told.where("contaminated").withColumnRenamed("row_hash", "text_hash"), "gone")
@@ -60,7 +60,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars is that of the new text."""
+    """Personal data is replaced by its kind; n_chars is that of the new text, null where the text is null. Every row stays."""
     text_batches(spark)
     found = pii.find(docs.select(*COLUMNS), keep=REST)
     clean = found.withColumn("text", pii.redacted(F.col("text"), F.col("spans")))
@@ -68,8 +68,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: what each document gives to which output shard."""
-    return mixing.mix(docs.select(*COLUMNS))
+    """The corpus: shard, place, doc_id, source, epoch, first, last, words, text, lang. Each row is what its document gives to a shard in one of its epochs, rows of a shard in the order of their places.
+
+    A document without words, or beyond its source's quota, gives nothing.
+    """
+    mixed = mixing.mix(docs.select(*COLUMNS), keep=["text", "lang"])
+    return mixing.shard_rows(mixed, keep=["text", "lang"])
 
 
 STAGES = [
