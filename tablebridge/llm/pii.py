@@ -250,7 +250,7 @@ def find(docs: DataFrame, keep: list[str] = (), threshold: float = 0.5, train: i
     spans is an array of (start, kind, end), in code points with the end exclusive, kind an index into KINDS, sorted: the
     base spans and the added ones that overlap no base span. A null text is an empty one and has none; repeated rows get
     equal results, an empty table gives none. Vote patterns are counted over all documents; there are at most 7 * 3 ** 5 of
-    them, whatever the input. The classifier learns from `train` spans at most, those whose hashes are lowest, and judges all.
+    them, whatever the input. The classifier learns from `train` spans at most, those with a vote whose hashes are lowest, and judges all.
     """
     found = stored(found_spans(docs, keep), "spans")
     each = found.select("doc_id", "base_sha256", F.explode("spans").alias("s"))
@@ -259,7 +259,10 @@ def find(docs: DataFrame, keep: list[str] = (), threshold: float = 0.5, train: i
     kept = F.col("spans")
     if rows:
         post = reliabilities(rows)
-        sample = each.select("s.kind", "s.code", "s.features", F.xxhash64("doc_id", "base_sha256", "s.start").alias("h")).orderBy("h", "kind", "code").limit(train).collect()
+        spans = each.select("s.kind", "s.code", "s.features", F.xxhash64("doc_id", "base_sha256", "s.start").alias("h"))
+        # spans on which regex, gazetteer and context all abstain teach nothing: the classifier carries over to them
+        voted = F.col("code") >= 3 ** (LABELERS - 3)
+        sample = spans.where(voted if any(code >= 3 ** (LABELERS - 3) for _, code, _ in rows) else F.lit(True)).orderBy("h", "kind", "code").limit(train).collect()
         w = classifier(np.array([r["features"] for r in sample]), np.array([post[r["kind"], r["code"]] for r in sample]))
         weights = F.from_json(F.lit(json.dumps([round(float(v), 6) for v in w[:-1]])), "array<double>")
         least = math.log(threshold / (1 - threshold)) - float(w[-1])

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablebridge.llm import chat, decontaminate, fingerprint, html_text, language_id, mixing, ngram_join, pii, queries, toxicity, url_filter
+from tablebridge.llm import chat, common, decontaminate, fingerprint, html_text, language_id, mixing, ngram_join, pii, queries, toxicity, url_filter
 from tablebridge.llm.common import fold, read, text_batches
 
 SF = "/root/testdata/sf0.001"
@@ -152,6 +152,27 @@ def test_components_and_merged(spark):
     assert told(ngram_join.merged(first, frame([]))) == brute(real[:60])
 
 
+def test_ngram_join_takes_ids_of_any_type(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([("b", text + " end"), ("a", text), ("x", "alone here")], "doc_id string, text string")
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_join(df).collect()} == {"b": ("a", 1), "a": ("a", 1), "x": ("x", 0)}
+
+
+def test_hot_keys_are_split(spark):
+    left = spark.range(5000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.groupBy("k").agg(F.max("v").alias("top"))
+    assert common.hot_keys(left.groupBy("k").count(), "k", "count", 5000) == [7]
+    joined = common.split_join(left, right, "k", "v")
+    assert joined.count() == 5000 and joined.where("k = 7 AND top = 2999").count() == 3000 and joined.columns == ["k", "v", "top"]
+
+
+def test_ngram_join_recall_on_documents(spark, db):
+    """Every pair of at least the threshold among the documents is in one class."""
+    docs = db.sql("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
+    got = {r["doc_id"]: r["class_id"] for r in queries.op4_ngram_join(spark, SF).collect()}
+    assert got == brute_classes(docs)
+
+
 def test_ngram_join_links_rows_without_id(spark):
     text = " ".join(f"w{i}" for i in range(100))
     rows = [(None, text + " end"), (3, text), (4, "alone here")]
@@ -191,7 +212,22 @@ def test_suffix_automaton():
                 while end < len(text) and text[at : end + 1] in subs:
                     end += 1
                 n, at = n + 1, end
-            assert machine.phrases(text) == n
+            assert language_id.phrases(machine.start(), text) == n
+
+
+def test_language_letters_and_models(spark):
+    assert language_id.reduced("½ ² Ⅷ 12 + \u0301") == "" and language_id.reduced(None) == "" and language_id.reduced("Él, o2 ñu\u0303!") == " él o ñu\u0303 "
+    a, b = {"x": [" aa bb aa "], "y": [" cc "]}, {"x": [" aa bb aa "], "y": [" bb aa bb aa "]}
+    assert language_id._parsers(a)[1][1] != language_id._parsers(b)[1][1]  # models with the same ends are told apart
+    assert language_id.phrases(language_id._parsers(a)[1][0], " aa bb ") == 1  # one phrase goes across words
+    df = spark.createDataFrame([(1, "½²"), (2, "aa bb"), (2, "aa bb")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["lang_pred"]) for r in language_id.identify(df, a).collect()) == [(1, "und"), (2, "x"), (2, "x")]
+
+
+def test_language_sample_is_bounded_by_language(spark):
+    rows = [(i, f"{'abcdefgh'[i % 7]}word{i} " * 20, "xyz"[i % 3]) for i in range(900)] + [(None, "no id", "x"), (5000, None, "x"), (5001, "no language", None)]
+    model = language_id.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=50, chars=4000)
+    assert sorted(model) == ["x", "y", "z"] and all(1000 < sum(map(len, v)) <= 4000 and len(v) <= 50 for v in model.values())
 
 
 def test_language_held_out(spark):
@@ -225,6 +261,61 @@ def test_toxicity_learns(spark):
     assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in got]) > 0.97
 
 
+def kneser_ney(class_words, shared_words, word):
+    """[ordinary, toxic] log-likelihood of a word by the definition, with dictionaries of grams as text."""
+    d, pad = toxicity.DISCOUNT, toxicity.TOP - 1
+
+    def grams(words, order):
+        for w in words:
+            text = " " * pad + w + " "
+            yield from (text[i - order + 1 : i + 1] for i in range(pad, len(text)))
+
+    def counts(words, order, top):
+        if order == top:
+            return Counter(grams(words, order))
+        return Counter(g[1:] for g in set(grams(words, order + 1)))
+
+    def share(table, g, low):
+        after = {k: v for k, v in table.items() if k[:-1] == g[:-1]}
+        n = sum(after.values())
+        return low if not n else max(table.get(g, 0) - d, 0) / n + d * len(after) / n * low
+
+    shared = {k: counts(set(shared_words), k, 99) for k in (1, 2)}
+    out = []
+    for words in class_words:
+        tables = {k: counts(words, k, toxicity.TOP) for k in toxicity.ORDERS}
+        total, text = 0.0, " " * pad + word + " "
+        for i in range(pad, len(text)):
+            p = 1 / (len(shared[1]) + 1)
+            for k in (1, 2, *toxicity.ORDERS):
+                p = share(shared[k] if k < 3 else tables[k], text[i - k + 1 : i + 1], p)
+            total += np.log(p)
+        out.append(total)
+    return out
+
+
+def test_toxicity_is_kneser_ney(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
+    texts = [(i, " ".join(word() for _ in range(12)), i % 2) for i in range(12)] + [(100 + i, " ".join(word() for _ in range(9)), None) for i in range(6)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
+    classes = {k: t.toPandas() for k, t in toxicity.class_counts(df.where("toxic IS NOT NULL")).items()}
+    model = toxicity._tables(classes, toxicity.shared_backoff(df).toPandas())
+    own = [[w for _, t, y in texts if y == mark for w in t.split()] for mark in (0, 1)]
+    some = sorted({w for _, t, _ in texts for w in t.split()})[:40] + ["abcabcabc", "zzz"]
+    for w, (_, gain, length) in zip(some, model.word_scores(some), strict=True):
+        ordinary, toxic = kneser_ney(own, [x for _, t, _ in texts for x in t.split()], w)
+        assert gain == pytest.approx(toxic - ordinary, abs=1e-9) and length == len(w) + 1
+
+
+def test_toxicity_without_labels_is_none(spark, edge):
+    for labels in ([], [(4, 0), (5, 0)]):
+        df = spark.createDataFrame(labels, "doc_id long, toxic int")
+        assert {r["score"] for r in toxicity.score(edge, toxicity.learn(edge, df)).collect()} == {0.0}
+    told = toxicity.score(edge, toxicity.learn(edge, spark.createDataFrame([(4, 1), (4, 0), (5, 0), (10, 1)], "doc_id long, toxic int")))
+    assert told.count() == 12
+
+
 def test_toxicity_edges(spark, edge, nothing):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     got = toxicity.score(edge, toxicity.learn(edge, labels)).collect()
@@ -276,11 +367,37 @@ def test_redaction(spark):
 
 
 def test_em_trusts_the_reliable_labeler():
-    good, bad = pii.pattern("token 0123456789abcdef0123456789abcdef ", 6, 4, 38, False), pii.pattern("x aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa0", 2, 4, 34, False)
-    rows = [(4, good, 90), (4, bad, 60)]
-    post = pii.reliabilities(rows)
+    good, bad = pii.pattern("token 0123456789abcdef0123456789abcdef ", 6, 4, 38, False), pii.pattern("commit aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa0", 7, 4, 39, False)
+    post = pii.reliabilities([(4, good, 90), (4, bad, 60)])
     assert post[4, good] > 0.5 > post[4, bad]
-    assert pii.classifier(rows, post)[4, good] > 0.5
+
+
+def test_classifier_beats_the_votes(spark):
+    """Half of the planted keys and digests have a cue that a labeler knows; the classifier learns the words beside them, which no labeler sees."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        secret, known = i % 2 == 0, rng.random() < 0.5
+        digits = f"{rng.getrandbits(160):040x}"
+        span = f"ghp_{digits}" if secret and known else digits
+        cue = ("the token is" if secret else "the checksum of") if known else "here is"
+        rows.append((i, f"{cue} {'bearer' if secret else 'snapshot'} {'sha1: ' if known and not secret else ''}{span} {'granted' if secret else 'released'} now", secret))
+    df = spark.createDataFrame(rows, "doc_id long, text string, secret boolean")
+    found = {r["doc_id"]: bool(r["spans"]) for r in pii.find(df).collect()}
+    votes = {}
+    for i, text, _ in rows:
+        m = re.search("(ghp_)?[0-9a-f]{40}", text)
+        v = pii._votes(pii.pattern(text, m.start(), 4, m.end(), False))
+        votes[i] = v.count(1) > v.count(2)
+    right = lambda told: np.mean([told[i] == secret for i, _, secret in rows])
+    assert right(found) > 0.95 > 0.9 > right(votes)
+
+
+def test_added_kinds(spark):
+    text = "our iban DE89 3704 0044 0532 0130 00 and ssn 123-45-6789, token ghp_" + "a1B2" * 10 + "; order 4111111111111112"
+    kinds = [pii.KINDS[k] for _, k, _ in pii.candidates(text)]
+    assert {"iban", "ssn", "secret", "card"} <= set(kinds) and pii.iban("DE89 3704 0044 0532 0130 00") and not pii.iban("DE88370400440532013000")
+    assert pii._votes(pii.pattern(text, text.index("4111"), 2, len(text), False))[2] == 2
 
 
 # Fingerprints
@@ -298,6 +415,29 @@ def test_fingerprint_query(spark, db):
     assert np.median([r["near_edited"] for r in got.values()]) > 0.3 > np.median([r["near_next"] for r in got.values()])
 
 
+def test_likeness_is_the_edit_distance(spark):
+    rng = random.Random(3)
+    make = lambda: f"{3 * 2 ** rng.randrange(3)}:{''.join(rng.choice('ABC') for _ in range(rng.randrange(9)))}:{''.join(rng.choice('ABC') for _ in range(rng.randrange(5)))}"
+    rows = [(make(), make()) for _ in range(300)]
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, old = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (c != e)))
+        return row[-1]
+
+    def want(a, b):
+        (n, p, q), (m, x, y) = a.split(":"), b.split(":")
+        alike = lambda u, v: 1 - distance(u, v) / max(len(u), len(v)) if u or v else 1.0
+        n, m = int(n), int(m)
+        return 1.0 if a == b else max(alike(p, x), alike(q, y)) if n == m else alike(p, y) if n == 2 * m else alike(q, x) if m == 2 * n else 0.0
+
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", fingerprint.likeness(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(r["x"] == pytest.approx(want(r["a"], r["b"])) for r in got)
+
+
 def test_fingerprint_edges(spark, edge, nothing):
     assert fingerprint.fingerprint(None) == fingerprint.fingerprint("") == "3::"
     assert fingerprint.neighbours(edge).count() == 12 and fingerprint.neighbours(nothing).count() == 0
@@ -354,6 +494,9 @@ def test_pages_query(spark, db):
         ("<body><nav><a href=x>Home</a></nav><article><header><h1>Head</h1></header><p>Short.</p><form>Name <input></form><aside>More</aside></article><script>var a='<p>x</p>'", "Head\nShort."),
         ("<div id='cookie-notice'>We use the cookies that you like and it is for the best of us all</div><article><p>x</p></article>", "x"),
         ("<article><p>one<!-- <p>no</p> --> two</p><p hidden>gone</p></article>", "one two"),
+        ('<article><p data-id="ad">The cat is on the mat and it was for him and her.</p><h2 id="notice-period">Head</h2></article>', "The cat is on the mat and it was for him and her.\nHead"),
+        ("<article><section class='post-tags'><p>The cat is on the mat and it was for him and her.</p></section><div class='ad-slot'><p>The cat is on the mat and it was for him and her.</p></div></article>", "The cat is on the mat and it was for him and her."),
+        ("<article><p>One<button>gone</p><p>two <svg><text>no</text></svg>three</p><select><option>x</select></article>", "One\ntwo three"),
         ("<div><p>" + "the cat is on the mat and it was for him " * 5 + "</p><p><a href=1>link</a> <a href=2>links</a></p></div>", ("the cat is on the mat and it was for him " * 5).strip()),
     ],
 )
@@ -361,6 +504,25 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+def test_text_decides_without_containers(monkeypatch):
+    """With the containers' shift off, density, length and links still find a page's long paragraphs, and its short ones by their neighbours."""
+    monkeypatch.setattr(html_text, "MAIN", 0.0)
+    monkeypatch.setattr(html_text, "BOILERPLATE", 0.0)
+    long = "the cat is on the mat and it was for him and the dog that he had " * 3
+    page = f"<ul><li><a href=a>Home</a></li><li><a href=b>Shop of the house</a></li></ul><div><h1>Title</h1><p>{long}</p><p>He said so.</p><p>{long}</p></div><ul><li><a href=c>Imprint and the contact</a></li></ul>"
+    found = html_text.classify(html_text.blocks(page))
+    assert [b.rule for b in found if b.label == "good"] == ["neighbours", "dense and long", "neighbours", "dense and long"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "</section>", '<a ">', "<button>x", "<svg>", "<!--", "<script>", "<a b='", "</", "<p x  "])
+def test_hostile_pages_are_scanned_once(part):
+    import time
+
+    started = time.process_time()
+    html_text.main_text("<div>" * 1000 + part * (1_000_000 // len(part)) + "<p>end")
+    assert time.process_time() - started < 10
+
+
 def test_page_edges(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>" * 20_000, "x")], "page_id long, url string, html string, text string")
     assert [r["n_chars"] for r in html_text.extract(df).collect()] == [0, 0]
@@ -397,6 +559,52 @@ def test_split_is_exact():
     assert mixing.split_quotas([10**12, 10**11], 4).sum() == 11 * 10**11
 
 
+def test_large_draws_follow_the_same_law():
+    """Draws by thinning, which large populations take, against the generator's own sampler."""
+    rng = np.random.default_rng(1)
+    for good, bad, n in ((30, 70, 40), (400, 200, 1500 // 3), (5, 5000, 2500), (3000, 3000, 2999), (7, 0, 3), (10, 10, 20)):
+        ours = np.array([mixing._draw(rng, good, bad, n, whole=50) for _ in range(4000)])
+        theirs = rng.hypergeometric(good, bad, n, 4000)
+        assert ours.min() >= max(0, n - bad) and ours.max() <= min(good, n)
+        assert abs(ours.mean() - theirs.mean()) < 5 * max(theirs.std(), 1e-9) / np.sqrt(2000) + 1e-9
+        assert abs(ours.std() - theirs.std()) < 0.08 * theirs.std() + 1e-9
+    big = [mixing._draw(rng, 10**13, 3 * 10**13, 10**13) for _ in range(200)]
+    sd = np.sqrt(10**13 * 0.25 * 0.75 * 0.75)
+    assert abs(np.mean(big) - 0.25 * 10**13) < 5 * sd / np.sqrt(200) and 0.8 < np.std(big) / sd < 1.2
+
+
+def brute_mix(docs, seed=mixing.SEED):
+    """Words taken of each row, by walking every source's line of documents."""
+    names = sorted({s for _, _, s, _ in docs}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, n, s, _ in docs if s == name) for name in names]
+    taken = {}
+    for name, target in zip(names, mixing.targets(sizes), strict=True):
+        line = sorted((h, i, n, k) for k, (i, n, s, h) in enumerate(docs) if s == name)
+        left = min(round(target), 2 * sum(n for _, _, n, _ in line))
+        for _ in range(2):
+            for _, _, n, k in line:
+                taken[k] = taken.get(k, 0) + min(n, left)
+                left -= min(n, left)
+    return taken
+
+
+def test_mix_walks_the_line_of_each_source(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(40))), rng.choice(["a", "b", "c", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = {r["doc_id"]: (r["h"], r["b"]) for r in df.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text")).alias("h")).withColumn("b", F.shiftrightunsigned("h", 40)).collect()}
+    mixed = mixing.mix(df).collect()
+    buckets = 1
+    while buckets * mixing.BUCKET_ROWS < max(Counter(s for _, _, s in rows).values()):
+        buckets *= 2
+    want = brute_mix([(i, len(t.split()), s, (hashed[i][1] % buckets, hashed[i][0])) for i, t, s in rows])
+    assert {r["doc_id"]: r["taken"] for r in mixed} == {rows[k][0]: v for k, v in want.items()}
+    out = mixing.shard_rows(mixing.mix(df, keep=["text"]), keep=["text"])
+    got = out.collect()
+    assert all(len(r["text"].split()) == r["words"] for r in got)
+    assert Counter({r["doc_id"]: r["taken"] for r in mixed if r["taken"]}) == sum((Counter({r["doc_id"]: r["words"]}) for r in got), Counter())
+
+
 def test_mix(spark, edge, nothing):
     for docs in (read(spark, SF, "documents"), edge):
         got = mixing.mix(docs).collect()
@@ -423,6 +631,12 @@ def test_contamination_edges(spark, edge, nothing):
     for r in decontaminate.contamination(edge, bench).collect():
         got.setdefault(r["doc_id"], []).append((r["n_words"], r["n_hit"], r["items"], r["contaminated"]))
     assert got[4] == [(2, 2, ["1"], True)] * 2 and got[7] == [(2, 2, ["1"], True)]
+    assert got[None] == [(2, 0, [], False)]
+    nameless = decontaminate.contamination(edge.where("doc_id = 4").limit(1), bench.where("item_id IS NULL")).first()
+    assert (nameless["n_hit"], nameless["n_items"], nameless["items"], nameless["contaminated"]) == (1, 1, [], True)
+    many = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 2}") for i in range(50, 90)], "item_id long, text string")
+    parts = [{(r["doc_id"], r["start"], r["len"]) for r in decontaminate.matches(edge, many, block=n).collect()} for n in (7, 1000)]
+    assert parts[0] == parts[1] and len(parts[0]) == 80
     assert got[5] == [(30_000, 20, ["4"], False)] and got[1] == [(0, 0, [], False)] and len(got[None]) == 1
     assert decontaminate.contamination(nothing, bench).count() == 0
     assert decontaminate.contamination(edge, bench.limit(0)).where("n_hit > 0").count() == 0
@@ -435,7 +649,8 @@ def test_pipeline(spark, edge, nothing):
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 0 and "taken" in out.columns
+    rows = out.collect()
+    assert rows and all(len(re.findall("[^\x20\x09-\x0D]+", r["text"])) == r["words"] > 0 for r in rows)
     for docs in (nothing, edge):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
@@ -451,12 +666,20 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
 
     stages = dict(corpus_pipeline.STAGES)
     text = lambda tag, n=100: " ".join(f"{tag}{i}" for i in range(n))
-    row = lambda i, t: (i, t, "en", "a", len(t))
+    row = lambda i, t: (i, t, "en", "a", len(t or ""))
     rows = [row(None, text("a")), row(None, text("b")), row(None, text("b") + " end"), row(None, text("c")), row(3, text("c") + " end"), row(7, text("d")), row(7, text("d") + " end"), row(7, text("e")), row(8, text("e"))]
     kept = stages["n-gram Jaccard join"](spark, spark.createDataFrame(rows, DOCS), SF).collect()
     found = Counter((r["doc_id"], r["text"].split()[0]) for r in kept)
     assert found == Counter([(None, "a0"), (None, "b0"), (3, "c0"), (7, "d0"), (7, "e0")])
 
+    rows = [row(7, "½"), row(7, "one two three"), row(None, None), row(None, "one two three"), row(7, "one two three")]
+    kept = stages["language ID"](spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("7", "one two three"), ("7", "one two three"), ("None", "one two three")]
+
+    rows = [row(7, "a@b.co"), row(7, "clean"), row(None, None), row(None, "1.2.3.4")]
+    kept = stages["PII"](spark, spark.createDataFrame(rows, DOCS), SF).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), r["n_chars"]) for r in kept) == [("7", "<EMAIL>", 7), ("7", "clean", 5), ("None", "<IP>", 4), ("None", "None", None)]
+
     spark.createDataFrame([(1, text("p", 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = [row(None, text("p", 20)), row(None, "clean and unique"), row(5, text("p", 20)), row(5, "clean too")]
     kept = stages["benchmark decontamination"](spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
