@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablebridge.llm import decontaminate, language_id, mixing, ngram_join, pii
 from tablebridge.llm.common import bounded_broadcast, read, stored, text_batches
+from tablebridge.sources import shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REST = COLUMNS[1:]
@@ -25,6 +29,24 @@ def _same(rows: DataFrame, name: str):
     return bounded_broadcast(rows, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("judged_id")) & (F.col("text_hash") == F.col("judged_hash"))
 
 
+_scratch: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first drops what earlier stages stored on their way, but for what its own input still reads: a stage's result is written before the next one starts."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _scratch[:] = shared.release(_scratch, docs)
+        before = len(shared.written)
+        out = f(spark, docs, sf_dir)
+        _scratch.extend(shared.written[before:])
+        return out
+
+    return run
+
+
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents to which a learned language is assigned stay; those of null text or without a letter go, and all if no row has a language to learn. Rows are judged one by one, whatever their ids."""
     text_batches(spark)
@@ -33,6 +55,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates one row stays: of the least doc_id (null last), and among its rows of the least text hash. Texts without words are one class; an empty table stays empty."""
     text_batches(spark)
@@ -51,6 +74,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.join(again, is_again, "left_anti").union(once).select(*COLUMNS)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of which at least a twentieth of the words are benchmark passages go; rows of null or empty text stay. Rows are judged by id and text, so others of the same id stay."""
     docs = _hashed(docs)
@@ -59,6 +83,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(gone, is_gone, "left_anti").select(*COLUMNS)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars is that of the new text, null where the text is null. Every row stays."""
     text_batches(spark)
@@ -67,6 +92,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The corpus: shard, place, doc_id, source, epoch, first, last, words, text, lang. Each row is what its document gives to a shard in one of its epochs, rows of a shard in the order of their places.
 

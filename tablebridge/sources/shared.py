@@ -25,10 +25,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that stored() has written in this process, in order.
+written: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: the lineage ends there and lost executors cost no recomputation."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    written.append(path)
     atexit.register(_drop_at_exit, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,6 +48,17 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def release(paths: list[str], kept: DataFrame) -> list[str]:
+    """Drop those stored paths that `kept` does not read; the others are returned."""
+    names = {p: p.rsplit("/", 1)[1] for p in paths}
+    files = kept.inputFiles() if paths else []
+    used = [p for p in paths if any(f"/{names[p]}/" in f for f in files)]
+    for p in paths:
+        if p not in used:
+            drop(kept.sparkSession, p)
+    return used
+
+
 def _drop_at_exit(spark: SparkSession, path: str) -> None:
     try:
         drop(spark, path)
