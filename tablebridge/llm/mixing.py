@@ -115,7 +115,10 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIG
     """
     spark = docs.sparkSession
     names = ["doc_id", "text_hash", *keep]
-    sized = stored(docs.withColumn("text_hash", F.xxhash64("text")).select(*names, F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size")), "sizes")
+    rows_of = docs.withColumn("text_hash", F.xxhash64("text")).select(*names, F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
+    sized = stored(rows_of.drop(*keep), "sizes")
+    # kept columns may be whole texts: they are read again instead of being stored once more
+    rows_of = rows_of if keep else sized
     sums = stored(sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "sources")
     if (sources := sums.count()) > MAX_SOURCES:
         raise ValueError(f"{sources} sources; a mix has at most {MAX_SOURCES}")
@@ -130,7 +133,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[float, ...] = WEIG
     while buckets < MAX_BUCKETS and buckets * BUCKET_ROWS < max((r[2] for r in totals), default=0):
         buckets *= 2
     h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text_hash"))
-    placed = sized.join(bounded_broadcast(plan.select("sid", "name"), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("name"))).select(*names, "source", "size", "sid", h.alias("h"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(buckets)).alias("bucket"))
+    placed = rows_of.join(bounded_broadcast(plan.select("sid", "name"), BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("name"))).select(*names, "source", "size", "sid", h.alias("h"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(buckets)).alias("bucket"))
     filled = placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = filled.select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
