@@ -316,8 +316,11 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, re
     return classes(docs, threshold, n, recall, max_hashes).select("doc_id", "class_id", "n_links", "n_grams")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = TARGET_RECALL, max_hashes: int = MAX_HASHES) -> DataFrame:
-    """ngram_join with component and text_hash: a component is one class, also where ids are null or repeated, and rows of equal doc_id and text_hash are copies."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recall: float = TARGET_RECALL, max_hashes: int = MAX_HASHES, count_links: bool = True) -> DataFrame:
+    """ngram_join with component and text_hash: a component is one class, also where ids are null or repeated, and rows of equal doc_id and text_hash are copies.
+
+    A caller that needs the classes alone may leave the links uncounted: the classes are the same, and n_links is null.
+    """
     bands, rows = plan_bands(threshold, recall, max_hashes)
     signed = stored(signatures(docs, n, bands, rows), "signatures")
     one = F.min(F.struct("doc_id", "text_hash")).alias("one")  # a row that stands for the node
@@ -349,10 +352,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recal
         links = links.union(new)
         labels = merged(labels, new)
 
-    degree = linked_copies(labels.join(nodes.select("node", "copies"), "node"), sets, threshold)
-    told = nodes.select("node", "first_id", "copies").join(labels, "node", "left").join(degree, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    told = nodes.select("node", "first_id", "copies").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    n_links = F.lit(None).cast("long")
+    if count_links:
+        told = told.join(linked_copies(labels.join(nodes.select("node", "copies"), "node"), sets, threshold), "node", "left")
+        n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
     told = stored(told, "told")
     least = told.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    told = stored(told.join(least, "component").select("node", "component", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "told")
+    told = stored(told.join(least, "component").select("node", "component", "class_id", n_links.alias("n_links"), "copies"), "told")
     rows_ = signed.select("doc_id", "text_hash", "node", "n_grams")
     return split_join(rows_, told.drop("copies"), "node", "doc_id", hot_keys(told, "node", "copies", signed.count())).select("doc_id", "text_hash", "component", "class_id", "n_links", "n_grams")

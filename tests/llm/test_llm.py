@@ -108,7 +108,10 @@ def test_ngram_join_counts_every_link(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_links(docs)
     assert max(want.values()) > 40
-    assert {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(df).collect()} == want
+    got = {r["doc_id"]: r for r in ngram_join.classes(df).collect()}
+    assert {i: r["n_links"] for i, r in got.items()} == want
+    uncounted = ngram_join.classes(df, count_links=False).collect()
+    assert {r["doc_id"]: (r["component"], r["class_id"], r["n_links"]) for r in uncounted} == {i: (r["component"], r["class_id"], None) for i, r in got.items()}
     sets = ngram_join.gram_sets(df).dropDuplicates(["node"]).cache()
     ids = ngram_join.signatures(df).select("doc_id", "node").cache()
     members = ids.groupBy("node").agg(F.count("*").alias("copies")).withColumn("component", F.lit("all"))
