@@ -60,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each class of near duplicates one row stays: of the least doc_id (null last), and among its rows of the least text hash. Texts without words are one class; an empty table stays empty."""
     text_batches(spark)
     docs = _hashed(docs)
-    told = ngram_join.classes(docs).select("component", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    told = ngram_join.classes(docs, count_links=False).select("component", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     rows = stored(told.groupBy("component", "unnamed", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "classes")
     best = rows.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "text_hash")).alias("best"))
     judged = stored(rows.join(best, "component").select("doc_id", "text_hash", "copies", (F.struct("unnamed", "doc_id", "text_hash") == F.col("best")).alias("stays")), "judged")
