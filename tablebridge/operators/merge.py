@@ -59,9 +59,28 @@ def insert_new(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFra
     return target.unionByName(source.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti").select(*source.columns), allowMissingColumns=True)
 
 
-def append_unkeyed(target: DataFrame, source: DataFrame) -> DataFrame:
-    """Without a key every source row is added; a second run adds them again."""
-    return target.unionByName(source, allowMissingColumns=True)
+def append_unkeyed(target: DataFrame, source: DataFrame, unique: list[str] = (), on_clash: str = "skip", order_by: str | None = None) -> DataFrame:
+    """Without a key every source row is added; a second run adds them again.
+
+    With the columns of a unique index, a source row whose values are there already is skipped or, with on_clash "update",
+    overwrites the row that has them; of clashing source rows the first or the last by order_by counts. Nulls never clash.
+    """
+    if on_clash not in ("skip", "update"):
+        raise ValueError(f"unknown on_clash {on_clash}")
+    if not unique:
+        return target.unionByName(source, allowMissingColumns=True)
+    keyed = F.lit(True)
+    for c in unique:
+        keyed = keyed & F.col(c).isNotNull()
+    free, rows = source.where(~keyed), source.where(keyed)
+    if on_clash == "update":
+        merged = upsert(target, rows, list(unique), order_by)
+    else:
+        if order_by is not None:
+            rank = F.row_number().over(Window.partitionBy(*unique).orderBy(F.col(order_by)))
+            rows = rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+        merged = insert_new(target, rows, list(unique))
+    return merged.unionByName(free.select(*[c for c in merged.columns if c in free.columns]), allowMissingColumns=True)
 
 
 def align(df: DataFrame, schema: T.StructType) -> DataFrame:

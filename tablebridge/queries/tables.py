@@ -51,6 +51,25 @@ def _(spark, d):
     return merge.append_unkeyed(li.where("l_orderkey % 2 = 0"), li.where("l_orderkey % 3 = 0"))
 
 
+CLASH_SQL = "WITH t AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name, 'old' AS side FROM customer WHERE c_custkey % 2 = 0), s AS (SELECT c_custkey + 1000000 AS id, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name, 'new' AS side FROM customer WHERE c_custkey % 3 = 0) "
+
+
+def clashing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, name, side) of a target and a source, with names that clash and names that are null."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_name")).alias("name"))
+    return c.where("id % 2 = 0").withColumn("side", F.lit("old")), c.where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), "name", F.lit("new").alias("side"))
+
+
+@query("append_unique_skip", CLASH_SQL + "SELECT * FROM t UNION ALL SELECT * FROM s WHERE name IS NULL OR NOT EXISTS (SELECT 1 FROM t WHERE t.name = s.name)")
+def _(spark, d):
+    return merge.append_unkeyed(*clashing(spark, d), unique=["name"])
+
+
+@query("append_unique_update", CLASH_SQL + "SELECT * FROM t WHERE name IS NULL OR NOT EXISTS (SELECT 1 FROM s WHERE s.name = t.name) UNION ALL SELECT * FROM s")
+def _(spark, d):
+    return merge.append_unkeyed(*clashing(spark, d), unique=["name"], on_clash="update")
+
+
 @query("truncate_reload", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice, NULL::INTEGER AS o_note FROM orders WHERE o_orderkey % 10 >= 3")
 def _(spark, d):
     return merge.truncate_reload(source_orders(spark, d), T.StructType.fromDDL("o_orderkey long, o_custkey string, o_totalprice double, o_note int"))

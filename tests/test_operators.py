@@ -24,6 +24,17 @@ def test_upsert_is_idempotent_and_last_wins(spark):
     assert rows(merge.replace_rows(t, s.drop("at").limit(1), ["id"])) == [(1, "a", 1), (2, "x", None)]
 
 
+def test_unkeyed_rows_meet_a_unique_index(spark):
+    t = spark.createDataFrame([("a", 1, "x"), (None, 2, "y")], "code string, at int, own string")
+    s = spark.createDataFrame([("a", 3), ("b", 5), ("b", 4), (None, 6), (None, 6)], "code string, at int")
+    free = [(None, 6, None), (None, 6, None)]
+    assert rows(merge.append_unkeyed(t, s)) == sorted(rows(t) + [(*r, None) for r in rows(s)], key=repr)
+    assert rows(merge.append_unkeyed(t, s, ["code"], order_by="at")) == sorted([("a", 1, "x"), (None, 2, "y"), ("b", 4, None), *free], key=repr)
+    assert rows(merge.append_unkeyed(t, s, ["code"], "update", "at")) == sorted([("a", 3, "x"), (None, 2, "y"), ("b", 5, None), *free], key=repr)
+    with pytest.raises(ValueError):
+        merge.append_unkeyed(t, s, ["code"], "drop")
+
+
 def test_bulk_append_needs_an_empty_target(spark):
     t = spark.createDataFrame([(1,)], "id int")
     with pytest.raises(ValueError):
