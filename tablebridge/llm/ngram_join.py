@@ -194,8 +194,10 @@ def _prefix_pairs(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFr
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of those buckets (key, node, n) that hold several components: key, node, n, component."""
     placed = buckets.join(labels, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    return stored(placed.join(split, "key", "left_semi"), "mixed")
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")).where("low < high").select("key", "members")
+    split = stored(split, "split")
+    total = split.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    return stored(split_join(placed, split.select("key"), "key", "node", hot_keys(split, "key", "members", total)).select("key", "node", "n", "component"), "mixed")
 
 
 def _hub_pairs(mixed: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
@@ -358,7 +360,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, recal
         told = told.join(linked_copies(labels.join(nodes.select("node", "copies"), "node"), sets, threshold), "node", "left")
         n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
     told = stored(told, "told")
-    least = told.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    told = stored(told.join(least, "component").select("node", "component", "class_id", n_links.alias("n_links"), "copies"), "told")
+    least = stored(told.groupBy("component").agg(F.min("first_id").alias("class_id"), F.count("*").alias("nodes")), "least")
+    hot = hot_keys(least, "component", "nodes", told.count())
+    told = stored(split_join(told, least.drop("nodes"), "component", "node", hot).select("node", "component", "class_id", n_links.alias("n_links"), "copies"), "told")
     rows_ = signed.select("doc_id", "text_hash", "node", "n_grams")
     return split_join(rows_, told.drop("copies"), "node", "doc_id", hot_keys(told, "node", "copies", signed.count())).select("doc_id", "text_hash", "component", "class_id", "n_links", "n_grams")
