@@ -26,7 +26,7 @@ def batches(spark):
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in "documents pages benchmark labels conversations".split():
+    for t in "documents pages benchmark labels conversations embeddings".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
