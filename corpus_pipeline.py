@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablebridge.llm import decontaminate, language_id, mixing, ngram_join, pii
-from tablebridge.llm.common import bounded_broadcast, read, stored, text_batches
+from tablebridge.llm.common import bounded_broadcast, read, split_join, stored, text_batches
 from tablebridge.sources import shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,18 +29,14 @@ def _same(rows: DataFrame, name: str):
     return bounded_broadcast(rows, BROADCAST_IDS), F.col("doc_id").eqNullSafe(F.col("judged_id")) & (F.col("text_hash") == F.col("judged_hash"))
 
 
-_scratch: list[str] = []
-
-
 def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first drops what earlier stages stored on their way, but for what its own input still reads: a stage's result is written before the next one starts."""
+    """A stage that drops what it stored on its way, but for what its result still reads: so the result can be read for as long as the process lives, whatever other stages do."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _scratch[:] = shared.release(_scratch, docs)
-        before = len(shared.written)
-        out = f(spark, docs, sf_dir)
-        _scratch.extend(shared.written[before:])
+        with shared.Scope() as scratch:
+            out = f(spark, docs, sf_dir)
+            scratch.release(out)
         return out
 
     return run
@@ -63,7 +59,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     told = ngram_join.classes(docs, count_links=False).select("component", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     rows = stored(told.groupBy("component", "unnamed", "doc_id", "text_hash").agg(F.count("*").alias("copies")), "classes")
     best = rows.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "text_hash")).alias("best"))
-    judged = stored(rows.join(best, "component").select("doc_id", "text_hash", "copies", (F.struct("unnamed", "doc_id", "text_hash") == F.col("best")).alias("stays")), "judged")
+    # a class may be large, that of texts without words for one: its rows are shared among tasks
+    met = split_join(rows.withColumn("row", F.xxhash64("doc_id", "text_hash")), best, "component", "row")
+    judged = stored(met.select("doc_id", "text_hash", "copies", (F.struct("unnamed", "doc_id", "text_hash") == F.col("best")).alias("stays")), "judged")
     gone, is_gone = _same(judged.where("NOT stays"), "gone")
     kept = docs.join(gone, is_gone, "left_anti")
     again = judged.where("stays AND copies > 1")
@@ -115,7 +113,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus of sf_dir/documents. A stage's rows are written before the next one starts; then all else that this run has stored is dropped, the rows of the stage before it among them."""
     docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower().replace("-", ""))
+    with shared.Scope() as own:
+        for name, stage in STAGES:
+            docs = stored(stage(spark, docs, sf_dir), name.split()[0].lower().replace("-", ""))
+            own.release(docs)
     return docs

@@ -74,9 +74,9 @@ def reconcile_counts(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def diff_rows(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, status (missing, extra, changed), changed_columns: where the target's rows differ from the source's."""
+    """keys, status (missing, extra, changed), changed_columns: where the target's rows differ from the source's. A null key meets a null key."""
     s, t = source.withColumn("_s", F.lit(True)).alias("s"), target.withColumn("_t", F.lit(True)).alias("t")
-    joined = s.join(t, [F.col(f"s.{k}") == F.col(f"t.{k}") for k in keys], "full")
+    joined = s.join(t, [F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys], "full")
     changed: Column = F.array_compact(F.array(*(F.when(~F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")), F.lit(c)) for c in columns)))
     status = F.when(F.col("t._t").isNull(), "missing").when(F.col("s._s").isNull(), "extra").when(F.size(changed) > 0, "changed")
     rows = joined.select(*(F.coalesce(f"s.{k}", f"t.{k}").alias(k) for k in keys), status.alias("status"), F.when(status == "changed", F.array_join(changed, ",")).otherwise("").alias("changed_columns"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablebridge.operators import integrity, merge, sync
+from tablebridge.operators import filemerge, integrity, merge, rangediff, sync
 from tablebridge.plans import compare
 from tablebridge.queries import query
 from tablebridge.sources import scan
@@ -312,17 +312,24 @@ def _(spark, d):
     return integrity.reconcile_counts(scan.row_counts({"orders": table(spark, d, "orders"), "customer": c}), scan.row_counts({"orders": target_orders(spark, d), "customer": c}))
 
 
-@query(
-    "diff_rows",
+DIFF_SQL = (
     PAIR_SQL
     + """SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'missing' WHEN s.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS status,
          CASE WHEN s.o_orderkey IS NOT NULL AND t.o_orderkey IS NOT NULL THEN 'o_totalprice' ELSE '' END AS changed_columns
-         FROM s FULL JOIN t ON s.o_orderkey = t.o_orderkey WHERE s.o_orderkey IS NULL OR t.o_orderkey IS NULL OR s.o_totalprice <> t.o_totalprice""",
+         FROM s FULL JOIN t ON s.o_orderkey = t.o_orderkey WHERE s.o_orderkey IS NULL OR t.o_orderkey IS NULL OR s.o_totalprice <> t.o_totalprice"""
 )
+
+
+@query("diff_rows", DIFF_SQL)
 def diff_rows(spark, d):
     return integrity.diff_rows(source_orders(spark, d), target_orders(spark, d), ["o_orderkey"], ["o_custkey", "o_totalprice", "o_orderpriority"])
 
 
+@query("diff_ranges", DIFF_SQL)
+def _(spark, d):
+    return rangediff.diff_ranges(source_orders(spark, d), target_orders(spark, d), ["o_orderkey"], ["o_custkey", "o_totalprice", "o_orderpriority"], leaf_rows=1000)
+
+
 @query("sync_tables", f"SELECT 'customer' AS table_name, 'completed' AS status, count(*) AS rows, CAST(0 AS BIGINT) AS violations, true AS clean FROM customer UNION ALL SELECT 'orders', 'completed', count(*), CAST(0 AS BIGINT), true FROM orders UNION ALL SELECT 'broken', 'failed', CAST(0 AS BIGINT), CAST(0 AS BIGINT), false")
 def _(spark, d):
     root = shared_path(spark, "sync")
@@ -335,11 +342,35 @@ def _(spark, d):
     return told.select("table_name", "status", "rows", "violations", F.col("error").isNull().alias("clean"))
 
 
-@query("stream_sync", PAIR_SQL + "SELECT * FROM s UNION ALL SELECT * FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)")
+VERSIONS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + v AS o_totalprice, o_orderdate, o_orderpriority, v FROM orders, range(1, 6) r(v) WHERE o_orderkey % 10 >= 3 AND o_orderkey % v = 0"
+
+
+def order_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Up to five versions v of each order, v raising its price."""
+    v = F.col("v")
+    rows = table(spark, d, "orders").where("o_orderkey % 10 >= 3").withColumn("v", F.explode(F.sequence(F.lit(1), F.lit(5)))).where("o_orderkey % v = 0")
+    return rows.withColumn("o_totalprice", F.col("o_totalprice") + v)
+
+
+@query(
+    "stream_sync",
+    f"""WITH t AS ({TARGET_SQL}), s AS (SELECT * FROM ({VERSIONS_SQL}) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY v DESC) = 1)
+        SELECT * EXCLUDE (v) FROM s UNION ALL SELECT * FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)""",
+)
+def _(spark, d):
+    # versions of a key lie in several files and several times in one, in no order: each file is a micro-batch
+    rows, folder = order_versions(spark, d), shared_path(spark, "versions")
+    rows.repartition(6, "o_custkey", "v").write.parquet(folder)
+    stream = streaming.read_stream(spark, folder, "*.parquet", rows.schema)
+    return streaming.stream_sync(stream, target_orders(spark, d), shared_path(spark, "target"), ["o_orderkey"], shared_path(spark, "checkpoint"), "v", width=2)
+
+
+@query("merge_files", f"WITH t AS ({TARGET_SQL}), s AS (SELECT * FROM ({VERSIONS_SQL}) WHERE o_orderkey < 2000 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY v DESC) = 1) SELECT * EXCLUDE (v) FROM s UNION ALL SELECT * FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)")
 def _(spark, d):
-    orders = table(spark, d, "orders")
-    stream = streaming.read_stream(spark, d, "orders.parquet", orders.schema).where("o_orderkey % 10 >= 3")
-    return streaming.stream_sync(stream, target_orders(spark, d), shared_path(spark, "target"), ["o_orderkey"], shared_path(spark, "checkpoint"))
+    folder = shared_path(spark, "files")
+    filemerge.write_files(target_orders(spark, d), folder, ["o_orderkey"], 16)
+    filemerge.merge_files(spark, folder, order_versions(spark, d).where("o_orderkey < 2000"), ["o_orderkey"], "v")
+    return spark.read.parquet(folder)
 
 
 INTROSPECTED = [

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tablebridge.operators.merge import last_by_key, upsert
+from tablebridge.operators.merge import last_by_key
 from tablebridge.operators.runs import ALPHA
-from tablebridge.sources.shared import drop, versions
-
-#: Batches that stay beside the base before they are merged into a new one.
-DELTAS = 16
+from tablebridge.sources.shared import drop, read_state, versions
+from tablebridge.streaming.versioned import WIDTH, VersionedTable
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema: StructType, files: int = 1) -> DataFrame:
@@ -28,45 +26,23 @@ def _run(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def stream_sync(stream: DataFrame, start: DataFrame, target: str, keys: list[str], checkpoint: str, deltas: int = DELTAS) -> DataFrame:
-    """The target after the stream: each micro-batch is stored beside the base, under its number, and merged on reading, the newest row of a key first.
+def stream_sync(stream: DataFrame, start: DataFrame, target: str, keys: list[str], checkpoint: str, order_by: str, width: int = WIDTH) -> DataFrame:
+    """The target after the stream: of every key the row of greatest order_by, be it of the start, of this stream or of an earlier one.
 
-    A micro-batch costs its own size, not the target's. A replayed batch writes its own number again and a restart finds
-    base and batches in the folder, so both are safe. More than `deltas` batches are merged into a new base.
+    Each micro-batch is one commit of a VersionedTable, at the cost of its own size. A batch that was committed before is
+    skipped: a stream is known by the id in its checkpoint, so another checkpoint, also one made anew at the same place, adds to
+    what is there. Versions of one key may come in any order, in one batch or in many; of equal order_by the later batch counts,
+    null is the oldest. A row with a null in a key meets no row of the start and is added. Columns that only the start has keep their value.
+    One stream may write at a time; a second one fails at its commit.
     """
-    spark = start.sparkSession
-    if not versions(spark, f"{target}/base"):
-        start.write.mode("overwrite").parquet(f"{target}/base/stream_version=-1")
+    spark, table = start.sparkSession, VersionedTable(start.sparkSession, target)
+    table.create(start, keys, order_by)
 
     def step(batch: DataFrame, i: int) -> None:
-        last_by_key(batch, keys).write.mode("overwrite").parquet(f"{target}/delta/stream_version={i}")
+        table.add(batch, read_state(spark, f"{checkpoint}/metadata")["id"], i, width)
 
     _run(stream, step, checkpoint, "append")
-    if len(versions(spark, f"{target}/delta")) > deltas:
-        compact(spark, target, keys)
-    return merged(spark, target, keys)
-
-
-def merged(spark: SparkSession, target: str, keys: list[str]) -> DataFrame:
-    """The rows of a stream_sync folder: its newest base and the batches after it."""
-    at = versions(spark, f"{target}/base")[-1]
-    base = spark.read.parquet(f"{target}/base/stream_version={at}")
-    newer = [i for i in versions(spark, f"{target}/delta") if i > at]
-    if not newer:
-        return base
-    rows = spark.read.option("basePath", f"{target}/delta").parquet(*(f"{target}/delta/stream_version={i}" for i in newer))
-    return upsert(base, last_by_key(rows, keys, "stream_version").drop("stream_version"), keys)
-
-
-def compact(spark: SparkSession, target: str, keys: list[str]) -> None:
-    """Batches become part of a new base. Base and batches are dropped only when the new base is finished."""
-    bases, newer = versions(spark, f"{target}/base"), versions(spark, f"{target}/delta")
-    if newer and newer[-1] > bases[-1]:
-        merged(spark, target, keys).write.mode("overwrite").parquet(f"{target}/base/stream_version={newer[-1]}")
-        for i in bases:
-            drop(spark, f"{target}/base/stream_version={i}")
-    for i in newer:
-        drop(spark, f"{target}/delta/stream_version={i}")
+    return table.read()
 
 
 def stream_append(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
