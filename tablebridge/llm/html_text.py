@@ -2,7 +2,8 @@
 
 A page is cut into blocks. The first pass adds up evidence on each block: its link density, its stop-word density and
 length, and a smaller shift from its container (article or main against menus, notices and the like). Clear sums decide a
-block; the second pass lets the ambiguous rest, mostly short blocks, inherit the label of the nearest decided neighbours.
+block; the second pass lets the ambiguous rest, mostly short blocks, inherit the label of the nearest decided neighbours. On
+a page without a clearly good block and without an article element, any evidence for a block decides.
 """
 
 from __future__ import annotations
@@ -248,6 +249,9 @@ def classify(found: list[Block]) -> list[Block]:
     """Both passes: every block gets the label good or bad, and the rule that gave it."""
     told = [_evidence(b) for b in found]
     first = ["good" if e >= CLEAR else "bad" if e <= -CLEAR else "" for e, _ in told]
+    if "good" not in first and not any(b.main for b in found):
+        # no block is long and no container marks the article: what little speaks for a block decides
+        first = ["good" if e > 0 else label for (e, _), label in zip(told, first, strict=True)]
     # an ambiguous block of the article asks the article's own text, another one all that is not of it; boilerplate never becomes text
     side = [b.main and not b.boilerplate for b in found]
 

@@ -113,8 +113,9 @@ Model = dict[str, list[str]]
 def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
     """Language to reduced texts of a sample of labelled documents (doc_id, text, lang).
 
-    Bounded: of each language the documents whose ids hash lowest, at most `rows` of them, and whole texts, each of at most a
-    quarter of `chars` characters, as long as those have room for them. One pass counts the languages, one picks; only sampled texts come to the driver.
+    Bounded: of each language the documents whose ids hash lowest, at most `rows` of them, as long as `chars` characters have
+    room for them. A text above a quarter of `chars` gives a piece of that length, from a place that its hash picks: so
+    languages of long texts are learned too. One pass counts the languages, one picks; only sampled texts and pieces come to the driver.
     """
     own = F.xxhash64("doc_id", F.xxhash64("text"))
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", "text", own.alias("h"))
@@ -126,7 +127,9 @@ def training_texts(docs: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_C
     low = F.least(share, F.lit(1.0)) * float(2**63)
     few = labelled.join(F.broadcast(counts.select("lang", low.alias("low"))), "lang").where(F.shiftrightunsigned("h", 1).cast("double") <= F.col("low"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    sample = few.where(F.length("text") <= chars // 4).withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "rank", "text")
+    over = F.greatest(F.length("text") - chars // 4, F.lit(0))
+    piece = F.substr("text", (F.pmod("h", over + 1) + 1).cast("int"), F.lit(chars // 4))
+    sample = few.withColumn("rank", rank).where(F.col("rank") <= rows).select("lang", "rank", piece.alias("text"))
     taken: Model = {}
     room: dict[str, int] = {}
     for lang, _, text in sorted(map(tuple, sample.collect())):

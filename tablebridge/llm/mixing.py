@@ -44,7 +44,8 @@ def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float
             break
         for i in full:
             out[i] = cap * sizes[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        gone = set(full)
+        open_ = [i for i in open_ if i not in gone]
         left -= sum(out[i] for i in full)
     return out
 

@@ -249,6 +249,39 @@ def test_language_edges(spark, edge, nothing):
 # Toxicity
 
 
+SHORT_PAGE = "<h1>News of the day</h1><p>The river has risen and the people of the town were told to leave it.</p><p>It is said that the bridge will be closed for all of the week.</p>"
+
+
+@pytest.mark.parametrize("page", [f"<body>{SHORT_PAGE}</body>", f'<div class="wrap">{SHORT_PAGE}</div>', f"<ul><li><a href=1>Home of all</a></ul>{SHORT_PAGE}<div class=footer>It is all of it the work of the town.</div>"])
+def test_short_paragraphs_without_an_article_are_text(page):
+    assert html_text.main_text(page) == "News of the day\nThe river has risen and the people of the town were told to leave it.\nIt is said that the bridge will be closed for all of the week."
+
+
+def test_short_paragraphs_beside_an_article_are_judged_as_before():
+    long = "The river has risen and the people of the town were told to leave it. " * 4
+    assert html_text.main_text(f"<article><p>{long}</p></article><p>It is one of the many words of a page that is not of it.</p>") == long.strip()
+
+
+def test_languages_of_long_texts_are_learned(spark):
+    rng = random.Random(5)
+    words = {"en": "the of and to in is that it was for".split(), "de": "der die und das nicht ist ein zu den mit".split()}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(i, text("en", 30), "en") for i in range(60)] + [(100 + i, text("de", 4000), "de") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learn(df)
+    assert sorted(model) == ["de", "en"] and max(len(t) for t in model["de"]) <= language_id.TRAIN_CHARS // 4 + 2
+    assert sum(map(len, model["de"])) > language_id.TRAIN_CHARS / 2
+    got = language_id.identify(df, model, keep=["lang"]).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
+    assert language_id.learn(df) == model
+
+
+def test_targets_of_many_sources():
+    sizes = [1 + i % 1000 for i in range(200_000)]
+    got = mixing.targets(sizes)
+    assert sum(got) == pytest.approx(1.5 * sum(sizes)) and all(t <= 2 * s + 1e-6 for t, s in zip(got, sizes))
+
+
 def test_toxicity_learns(spark):
     rng = random.Random(3)
     plain = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7))) for _ in range(200)]
@@ -664,6 +697,32 @@ def test_pipeline(spark, edge, nothing):
     assert sorted(kept, key=str) == [1, 10, 4, 5, 8, 9, None]
 
 
+def test_stage_results_stay_readable(spark, edge):
+    import corpus_pipeline
+
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = edge.drop("node")
+    told = [stage(spark, docs, SF) for stage in (*stages, *stages)]
+    counts = [t.count() for t in told]
+    assert counts[:5] == counts[5:] and [t.count() for t in told] == counts
+
+
+def test_runs_leave_only_their_result(spark):
+    import corpus_pipeline
+    from tablebridge.sources import shared
+
+    with shared.Scope() as one:
+        first = corpus_pipeline.run(spark, SF)
+        rows = first.count()
+        assert len(one.paths) == 1
+        with shared.Scope() as two:
+            second = corpus_pipeline.run(spark, SF)
+            two.release(first)
+        assert first.count() == rows and two.paths == []
+        with pytest.raises(Exception, match="NOT_EXIST|not exist"):
+            second.count()
+
+
 def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     import corpus_pipeline
 
