@@ -8,7 +8,7 @@ come back only for the terms of the report.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +22,8 @@ from tablebridge.llm.common import bounded_broadcast, stored
 
 #: Documents of a language that a kept term is in, ranks of the term report, the unit of a share.
 LEAST_DOCS, TOP, UNIT = 3, 200, 1_000_000_000
-#: Rows that may be broadcast, different terms that a task keeps before it writes them out, pairs of sources made at once.
-BROADCAST_ROWS, HELD, PAIRS = 1_000_000, 400_000, 1 << 20
+#: Rows that may be broadcast, terms of documents and different terms that a task holds, rows of a batch, pairs of sources made at once.
+BROADCAST_ROWS, HELD, VOCABULARY, ROWS, PAIRS = 1_000_000, 3_000_000, 1_000_000, 1 << 16, 1 << 20
 # Fixed value: a term is a run of bytes other than these, A-Z in lower case. Every byte of a code point beyond ASCII is part of a term.
 _TERM_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -50,47 +50,77 @@ def _groups(docs: DataFrame) -> DataFrame:
             return named
 
 
+class _Counts:
+    """Terms of documents by group, numbered in a vocabulary; sums are taken over sorted numbers."""
+
+    def __init__(self, bits: int, only: np.ndarray | None):
+        self.bits, self.only = bits, only
+        self.groups: dict[tuple[int, int], int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.vocabulary: dict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.digests = np.zeros(0, np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, lid: int, gid: int, text: bytes) -> None:
+        words = terms(text)
+        own, times = np.unique(np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words)), return_counts=True)
+        self.keys.append(own + (self.groups.setdefault((lid, gid), len(self.groups)) << 32))
+        self.times.append(times)
+        self.held += len(own)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        new = list(itertools.islice(self.vocabulary, len(self.digests), None))
+        self.digests = np.append(self.digests, np.fromiter((digest_of(t, self.bits) for t in new), np.int64, len(new)))
+        keys = np.concatenate([np.zeros(0, np.int64), *self.keys])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        n = np.add.reduceat(np.concatenate([np.zeros(0, np.int64), *self.times])[order], starts) if len(keys) else starts
+        docs, own = np.diff(np.append(starts, len(keys))), keys[starts]
+        at, group = own & 0xFFFFFFFF, np.array(list(self.groups), np.int64).reshape(-1, 2)[own >> 32]
+        digests = self.digests[at]
+        if self.only is None:
+            yield from _batches([group[:, 0], group[:, 1], digests, n, docs, None], len(own))
+            yield from _batches([None, None, self.digests[len(self.digests) - len(new) :], None, None, new], len(new))
+        else:
+            some, names = np.isin(digests, self.only), list(self.vocabulary)
+            yield from _batches([group[some, 0], group[some, 1], digests[some], n[some], docs[some], [names[i] for i in at[some]]], int(some.sum()))
+        self.clear()
+        if len(self.vocabulary) > VOCABULARY:
+            self.forget()
+
+
+def _batches(columns: list, n: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows of the columns of counted(); None is a column of nulls."""
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    for low in range(0, n, ROWS):
+        cut = [pa.nulls(min(ROWS, n - low), t) if c is None else pa.array(c[low : low + ROWS], t) for c, t in zip(columns, kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(cut, ["lid", "gid", "digest", "n", "docs", "term"])
+
+
 def counted(docs: DataFrame, bits: int, only: list[int] | None = None) -> DataFrame:
     """Of docs (lid, gid, text) rows of counts (lid, gid, digest, n, docs) and rows of strings (digest, term).
 
-    A task adds up its documents and writes a string once for as long as it remembers it; it holds at most HELD terms and those
-    of one batch. With `only`, a list of digests, other terms are left out and rows of counts have their term.
+    A task adds up its documents and writes a string once for as long as it remembers it; it holds about HELD terms of
+    documents, and VOCABULARY strings beside theirs. With `only`, a list of digests, other terms are left out and rows of counts have their term.
     """
-    wanted = None if only is None else frozenset(only)
-    names = ["lid", "gid", "digest", "n", "docs", "term"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    wanted = None if only is None else np.array(only, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], tuple[Counter, Counter]] = {}
-        digests: dict[bytes, int] = {}
-
-        def table(columns: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for (lid, gid), (times, docs_of) in held.items():
-                fresh = [t for t in times if t not in digests]
-                digests.update((t, digest_of(t, bits)) for t in fresh)
-                told = list(times) if wanted is None else [t for t in times if digests[t] in wanted]
-                k = len(told)
-                if k:
-                    yield table([[lid] * k, [gid] * k, [digests[t] for t in told], [times[t] for t in told], [docs_of[t] for t in told], [None] * k if wanted is None else told])
-                if fresh and wanted is None:
-                    none = [None] * len(fresh)
-                    yield table([none, none, [digests[t] for t in fresh], none, none, fresh])
-            held.clear()
-            if len(digests) > HELD:
-                digests.clear()
-
+        counts = _Counts(bits, wanted)
         for batch in batches:
             for lid, gid, text in zip(batch.column("lid").to_pylist(), batch.column("gid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                words = terms(text)
-                times, docs_of = held.setdefault((lid, gid), (Counter(), Counter()))
-                times.update(words)
-                docs_of.update(set(words))
-            if sum(len(x) for x, _ in held.values()) > HELD:
-                yield from out()
-        yield from out()
+                counts.add(lid, gid, text)
+                if counts.held > HELD:
+                    yield from counts.out()
+        yield from counts.out()
 
     return docs.select("lid", "gid", "text").mapInArrow(run, "lid long, gid long, digest long, n long, docs long, term binary")
 

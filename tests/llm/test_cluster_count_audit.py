@@ -213,6 +213,8 @@ def test_audit_is_that_of_brute_force_even_where_digests_meet(spark, bits):
 
 def test_audit_in_small_pieces(spark, monkeypatch):
     monkeypatch.setattr(divergence, "HELD", 20)
+    monkeypatch.setattr(divergence, "VOCABULARY", 30)
+    monkeypatch.setattr(divergence, "ROWS", 7)
     monkeypatch.setattr(divergence, "PAIRS", 5)
     monkeypatch.setattr(divergence, "BROADCAST_ROWS", 3)
     rows = texts_of(2)
