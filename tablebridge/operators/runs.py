@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -13,9 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablebridge.operators.merge import insert_new, upsert
+from tablebridge.sources.shared import stored
 
 #: Weight of the newest value in a smoothed rate.
 ALPHA = 0.3
+#: Events of a run that one task folds, and a clock beyond all others.
+BLOCK_ROWS, _ANY = 200_000, (1 << 63) - 1
 
 
 def register_tables(registry: DataFrame, names: DataFrame) -> DataFrame:
@@ -207,38 +213,133 @@ def smoothed_rates(events: DataFrame, blocks: int | None = None) -> DataFrame:
     return steps.groupBy("run_id").agg(combined(0).alias("read_rate"), combined(1).alias("write_rate"))
 
 
-def throughput(events: DataFrame, least_seconds: float = 1.0) -> DataFrame:
-    """run_id, rate: the rows since the last sample over its seconds, at most once in least_seconds, blended when rows came; the sample's clock always advances.
-
-    Whether an event is a sample depends on the one before, so a run's events pass one task in order, as a stream of which only the last sample is kept.
+def _next_sample(t: np.ndarray, reset: np.ndarray, least: int) -> np.ndarray:
+    """For each event the first later one that is at least `least` after it or resets the clock; the length where there is none."""
+    n = len(t)
+    if (np.diff(t) >= 0).all():
+        after = np.searchsorted(t, t + least, "left")
+    else:
+        # a clock that runs back: from the right, the events later than all between are kept, the latest first
+        after, later = np.full(n, n), []
+        for i in range(n - 1, -1, -1):
+            far = bisect.bisect_right(later, -(t[i] + least), key=lambda j: -t[j])
+            after[i] = later[far - 1] if far else n
+            while later and t[later[-1]] <= t[i]:
+                later.pop()
+            later.append(i)
+    places = np.nonzero(reset)[0]
+    resets = np.append(places, n)[np.searchsorted(places, np.arange(n), "right")]
+    return np.minimum(np.maximum(after, np.arange(n) + 1), resets)
+
+
+class _Block:
+    """Consecutive events of one run. Where a chain of samples enters it depends on the clock alone, where it leaves it on the entry."""
+
+    def __init__(self, table: pa.Table, least: int):
+        table = table.sort_by([("seq", "ascending"), ("t", "ascending"), ("rows", "ascending"), ("reset", "ascending")])
+        self.t = table.column("t").to_numpy()
+        self.reset = table.column("reset").to_numpy(zero_copy_only=False).astype(bool)
+        self.rows = table.column("rows").to_pylist()
+        self.least, self.n = least, len(self.t)
+        self.next = _next_sample(self.t, self.reset, least)
+
+    def first(self, at: int | None) -> int:
+        """The first sample after a clock; without one, the first event."""
+        if at is None:
+            return 0
+        hit = np.nonzero((self.t >= at + self.least) | self.reset)[0]
+        return int(hit[0]) if len(hit) else self.n
+
+    def known(self, i: int) -> float | None:
+        """The rows last told at or before an event of the block."""
+        while i >= 0 and self.rows[i] is None:
+            i -= 1
+        return self.rows[i] if i >= 0 else None
+
+    def exits(self) -> list[tuple]:
+        """(upto, at, done): for clocks up to `upto` (null: no clock yet; the greatest number: any) the last sample's time and rows. Clocks beyond all of them meet no sample here."""
+        last = np.append(np.where(self.next < self.n, self.next, np.arange(self.n)), self.n)
+        while (last[last] != last).any():
+            last = last[last]  # each step doubles how far a pointer goes
+        leave = lambda i: (int(self.t[last[i]]), self.known(int(last[i])))
+        out = [(None, *leave(0))]
+        records = np.nonzero(self.t > np.append(np.iinfo(np.int64).min, np.maximum.accumulate(self.t)[:-1]))[0]
+        stop = np.nonzero(self.reset)[0]
+        for i in records[records < stop[0]] if len(stop) else records:
+            told = (int(self.t[i]) - self.least, *leave(i))
+            if len(out) > 1 and out[-1][1:] == told[1:]:
+                out.pop()
+            out.append(told)
+        return [*out, (_ANY, *leave(stop[0]))] if len(stop) else out
+
+    def step(self, at: int | None, done: float | None, known: float | None) -> tuple[float, float, float | None]:
+        """What the block does to a rate, given the last sample before it and the rows last told: keep * rate + add; seed is its first value."""
+        keep, add, seed, i = 1.0, 0.0, None, self.first(at)
+        while i < self.n:
+            told = self.known(i)
+            rows = known if told is None else told
+            if at is not None and not self.reset[i] and (rows or 0.0) > (done or 0.0):
+                x = ((rows or 0.0) - (done or 0.0)) * 1e6 / (int(self.t[i]) - at)
+                seed = x if seed is None else seed
+                keep, add = (1 - ALPHA) * keep, ALPHA * x + (1 - ALPHA) * add
+            at, done, i = int(self.t[i]), rows, int(self.next[i])
+        return keep, add, seed
+
+
+def throughput(events: DataFrame, least_seconds: float = 1.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """run_id, rate: the rows since the last sample over its seconds, at most once in least_seconds, blended when rows came; the sample's clock always advances. A `resumed` event (kind, if there is such a column) sets it anew and gives no rate.
+
+    Whether an event is a sample depends on the sample before. So the log (run_id, seq, ts, rows_done) is dealt into blocks
+    of about block_rows events by (run, seq): each block tells, by the clock it is entered with, its last sample; a run's
+    blocks, a few rows each, are walked in order; then each block folds its own samples. Events without a time, or without
+    rows but for `resumed`, are no samples; a run without rate has 0.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = object()
-        now, at, done, rate, kind = none, None, 0.0, 0.0, None
-        for batch in batches:
-            kind = batch.schema.field("run_id").type
-            ends, rates = [], []
-            for run_id, t, rows in zip(*(batch.column(c).to_pylist() for c in ("run_id", "t", "rows")), strict=True):
-                if now is none or run_id != now:
-                    if now is not none:
-                        ends.append(now)
-                        rates.append(rate)
-                    now, at, done, rate = run_id, None, 0.0, 0.0
-                if at is not None and (t is None or t - at < least_seconds):
-                    continue
-                delta = None if rows is None or done is None else rows - done
-                if at is not None and (delta is None or delta > 0):
-                    new = None if delta is None else delta / (t - at)
-                    rate = new if rate == 0 else None if new is None or rate is None else ALPHA * new + (1 - ALPHA) * rate
-                at, done = t, rows
-            if ends:
-                yield pa.RecordBatch.from_arrays([pa.array(ends, kind), pa.array(rates, pa.float64())], ["run_id", "rate"])
-        if now is not none:
-            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([rate], pa.float64())], ["run_id", "rate"])
-
-    rows = events.select("run_id", "seq", F.col("ts").cast("timestamp").cast("double").alias("t"), F.col("rows_done").cast("double").alias("rows"))
-    return rows.repartition("run_id").sortWithinPartitions("run_id", "seq", "t", "rows").mapInArrow(run, f"run_id {dict(rows.dtypes)['run_id']}, rate double")
+    least = round(least_seconds * 1_000_000)
+    reset = F.coalesce(F.col("kind") == "resumed", F.lit(False)) if "kind" in events.columns else F.lit(False)
+    log = events.select("run_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("rows_done").cast("double").alias("rows"), reset.alias("reset")).where("t IS NOT NULL AND (reset OR rows IS NOT NULL)")
+    kind = dict(log.dtypes)["run_id"]
+    blocks = max(1, math.ceil(log.count() / block_rows))
+    dealt = stored(log.repartitionByRange(blocks, "run_id", "seq").withColumn("block", F.spark_partition_id()), "log")
+    by = ["run_id", "block"]
+
+    def told(like: pa.Table, names: list[str], rows: list[tuple]) -> pa.Table:
+        own = [like.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * len(rows))) for c in by]
+        return pa.table([*own, *(pa.array([r[i] for r in rows], pa.int64() if c in ("upto", "at") else pa.float64()) for i, c in enumerate(names))], names=[*by, *names])
+
+    def exits(table: pa.Table) -> pa.Table:
+        block = _Block(table, least)
+        return told(table, ["upto", "at", "done", "known"], [(*e, block.known(block.n - 1)) for e in block.exits()])
+
+    def walked(table: pa.Table) -> pa.Table:
+        """The state in which each block of a run is entered."""
+        at = done = known = None
+        rows: dict[int, list[dict]] = {}
+        for r in table.select(["block", "upto", "at", "done", "known"]).to_pylist():
+            rows.setdefault(r["block"], []).append(r)
+        entries = []
+        for number in sorted(rows):
+            entries.append((number, at, done, known))
+            own = rows[number]
+            fits = [r for r in own if (r["upto"] is None if at is None else r["upto"] is not None and at <= r["upto"])]
+            if fits:
+                best = min(fits, key=lambda r: r["upto"] or 0)
+                at, done = best["at"], known if best["done"] is None else best["done"]
+            known = known if own[0]["known"] is None else own[0]["known"]
+        run = table.column("run_id").slice(0, 1).combine_chunks().take(pa.array([0] * len(entries)))
+        return pa.table([run, *(pa.array([e[i] for e in entries], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.float64(), pa.float64())))], names=["run_id", "block", "at", "done", "known"])
+
+    def folded(table: pa.Table, entry: pa.Table) -> pa.Table:
+        e = entry.to_pylist()[0]
+        return told(table, ["keep", "add", "seed"], [_Block(table, least).step(e["at"], e["done"], e["known"])])
+
+    found = dealt.groupBy(*by).applyInArrow(exits, f"run_id {kind}, block int, upto long, at long, done double, known double")
+    entries = found.groupBy("run_id").applyInArrow(walked, f"run_id {kind}, block int, at long, done double, known double")
+    steps = dealt.groupBy(*by).cogroup(entries.groupBy(*by)).applyInArrow(folded, f"run_id {kind}, block int, keep double, add double, seed double")
+    ordered = F.array_sort(F.collect_list(F.when(F.col("seed").isNotNull(), F.struct("block", "keep", "add", "seed"))))
+    rate = F.aggregate(ordered, F.lit(None).cast("double"), lambda a, s: s["keep"] * F.coalesce(a, s["seed"]) + s["add"])
+    runs = events.select("run_id").distinct()
+    rates = steps.groupBy("run_id").agg(rate.alias("rate")).withColumnRenamed("run_id", "_run")
+    return runs.join(rates, F.col("run_id").eqNullSafe(F.col("_run")), "left").select("run_id", F.coalesce("rate", F.lit(0.0)).alias("rate"))
 
 
 def eta(snapshot: DataFrame) -> DataFrame:
@@ -249,20 +350,35 @@ def eta(snapshot: DataFrame) -> DataFrame:
     return snapshot.withColumn("eta_seconds", F.when(F.col("done") | (rate <= 0), 0.0).otherwise(left))
 
 
-def stats_history(events: DataFrame, totals: DataFrame | None = None, every: str = "5 seconds") -> DataFrame:
-    """run_id, snapshot_at, rows_transferred, rate, final: the rows moved until the end of each interval with events, and the rows a second of that interval.
+def stats_history(events: DataFrame, totals: DataFrame | None = None, every: str = "5 seconds", block: int = 4096) -> DataFrame:
+    """run_id, snapshot_at, rows_transferred, rate, final: the rows moved until the end of each interval from a run's first event to its last, idle ones too, and the rows a second of that interval.
 
     A run that has ended (its log holds complete, error or cancelled) has one more snapshot, final, at its last event. With
     totals (run_id, rows_total) each snapshot has rows_total and percent, cut to a whole number, 0 where nothing is to be moved.
+    A run's intervals are made and summed up in blocks, so that a long run is no single row or task; only the sums of its blocks are.
     """
-    seconds = F.unix_timestamp(F.window("ts", every)["end"]) - F.unix_timestamp(F.window("ts", every)["start"])
-    by = events.groupBy("run_id", F.window("ts", every)["end"].alias("snapshot_at"), seconds.alias("seconds")).agg(F.sum("batch_rows").alias("moved"))
-    upto = Window.partitionBy("run_id").orderBy("snapshot_at").rowsBetween(Window.unboundedPreceding, 0)
-    regular = by.select("run_id", "snapshot_at", F.coalesce(F.sum("moved").over(upto), F.lit(0)).cast("long").alias("rows_transferred"), (F.coalesce("moved", F.lit(0)) / F.col("seconds")).alias("rate"), F.lit(False).alias("final"))
+    window = F.window("ts", every)
+    own = events.where("ts IS NOT NULL").select("run_id", window["end"].alias("snapshot_at"), F.coalesce("batch_rows", F.lit(0)).cast("long").alias("moved"), (F.unix_micros(window["end"].cast("timestamp")) - F.unix_micros(window["start"].cast("timestamp"))).alias("width"))
+    kind = dict(own.dtypes)["snapshot_at"]
+    ends = own.groupBy("run_id").agg(F.min("snapshot_at").alias("low"), F.max("snapshot_at").alias("high"), F.first("width").alias("width"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    ends = ends.select("run_id", micros("low").alias("low"), micros("high").alias("high"), "width")
+    starts = ends.select("run_id", "high", "width", F.explode(F.sequence("low", "high", F.col("width") * block)).alias("at")).repartition("run_id", "at")
+    stop = F.least(F.col("high"), F.col("at") + F.col("width") * (block - 1))
+    calendar = starts.select("run_id", "width", F.explode(F.sequence("at", stop, F.col("width"))).alias("at"), F.col("at").alias("block"))
+    # an interval of the calendar and the events that fall into it become one row
+    counted = own.groupBy("run_id", micros("snapshot_at").alias("at")).agg(F.sum("moved").alias("moved"))
+    nothing = F.lit(None).cast("long")
+    both = calendar.select("run_id", "at", "block", "width", F.lit(0).cast("long").alias("moved")).union(counted.select("run_id", "at", nothing, nothing, "moved"))
+    filled = both.groupBy("run_id", "at").agg(F.max("block").alias("block"), F.max("width").alias("width"), F.sum("moved").alias("moved"))
+    before = F.sum("all").over(Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = filled.groupBy("run_id", "block").agg(F.sum("moved").alias("all")).select(F.col("run_id").alias("_run"), F.col("block").alias("_block"), F.coalesce(before, F.lit(0)).alias("offset"))
+    upto = F.sum("moved").over(Window.partitionBy("run_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    summed = filled.withColumn("upto", upto).join(offsets, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("block") == F.col("_block")))
+    regular = summed.select("run_id", F.timestamp_micros("at").cast(kind).alias("snapshot_at"), (F.col("offset") + F.col("upto")).alias("rows_transferred"), (F.col("moved") * 1e6 / F.col("width")).alias("rate"), F.lit(False).alias("final"))
     ended = F.bool_or(F.col("kind").isin("complete", "error", "cancelled"))
-    ends = events.groupBy("run_id").agg(F.max("ts").cast("timestamp").alias("snapshot_at"), F.coalesce(F.sum("batch_rows"), F.lit(0)).cast("long").alias("rows_transferred"), ended.alias("ended"))
-    last = ends.where("ended").select("run_id", F.col("snapshot_at").cast(dict(regular.dtypes)["snapshot_at"]).alias("snapshot_at"), "rows_transferred", F.lit(0.0).alias("rate"), F.lit(True).alias("final"))
-    history = regular.union(last)
+    finals = events.groupBy("run_id").agg(F.max("ts").cast(kind).alias("snapshot_at"), F.coalesce(F.sum("batch_rows"), F.lit(0)).cast("long").alias("rows_transferred"), ended.alias("ended"))
+    history = regular.union(finals.where("ended").select("run_id", "snapshot_at", "rows_transferred", F.lit(0.0).alias("rate"), F.lit(True).alias("final")))
     if totals is None:
         return history
     percent = F.when(F.col("rows_total") > 0, F.floor(F.col("rows_transferred") * 100 / F.col("rows_total"))).otherwise(0).cast("int")
@@ -277,12 +393,12 @@ def history_summary(history: DataFrame) -> DataFrame:
 
 
 def project_status(tables: DataFrame, registry: DataFrame, run_id) -> DataFrame:
-    """A run's tables, and the registry's others as pending with no rows where another run left them."""
+    """A run's tables, and the registry's others as pending with no rows where another run left them; by name."""
     own = tables.where(F.col("run_id") == run_id).select("table_name", "status", "rows_total", "rows_transferred")
     rest = registry.join(own.select("table_name"), "table_name", "left_anti")
     foreign = ~F.col("last_migration_id").eqNullSafe(F.lit(run_id))
     rest = rest.select("table_name", F.when(foreign, "pending").otherwise(F.col("status")).alias("status"), "rows_total", F.when(foreign, F.lit(0).cast("long")).otherwise(F.col("rows_transferred")).alias("rows_transferred"))
-    return own.unionByName(rest)
+    return own.unionByName(rest).orderBy("table_name")
 
 
 def project_totals(status: DataFrame) -> DataFrame:

@@ -124,7 +124,9 @@ def assemble_indexes(rows: DataFrame) -> DataFrame:
 
 
 def assemble_foreign_keys(rows: DataFrame) -> DataFrame:
-    """table_name, constraint_name, columns, ref_table, ref_columns, paired by position."""
+    """table_name, constraint_name, columns, ref_table, ref_columns, paired by position. A constraint that has a number for a name, as in SQLite, is called fk_<table>_<number>."""
+    number = F.concat(F.lit("fk_"), F.replace("table_name", F.lit('"'), F.lit("")), F.lit("_"), F.col("constraint_name").cast("string"))
+    rows = rows.withColumn("constraint_name", F.when(F.col("constraint_name").cast("string").rlike("^[0-9]+$"), number).otherwise(F.col("constraint_name").cast("string")))
     by = rows.groupBy("table_name", "constraint_name", "ref_table").agg(F.array_sort(F.collect_list(F.struct("position", "column_name", "ref_column"))).alias("k"))
     return by.select("table_name", "constraint_name", F.array_join(F.transform("k", lambda x: x["column_name"]), ",").alias("columns"), "ref_table", F.array_join(F.transform("k", lambda x: x["ref_column"]), ",").alias("ref_columns"))
 

@@ -86,11 +86,11 @@ def _(spark, d):
     return runs.smoothed_rates(log(spark, d)).select("run_id", F.round("read_rate", 6).alias("read_rate"), F.round("write_rate", 6).alias("write_rate"))
 
 
-# Sampled seconds apart by at least one are found by walking from sample to sample; the events of a run lie further apart than that or share a second.
-THROUGHPUT_SQL = f"""WITH RECURSIVE e AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i, epoch(ts) AS t, sum(batch_rows) OVER (PARTITION BY run_id ORDER BY seq) AS done FROM ({LOG_SQL})),
+# Samples are found by walking from event to event; every seventh event resumes the run: it sets the clock and gives no rate.
+THROUGHPUT_SQL = f"""WITH RECURSIVE e AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i, epoch(ts) AS t, sum(batch_rows) OVER (PARTITION BY run_id ORDER BY seq) AS done, seq % 7 = 0 AS resumed FROM ({LOG_SQL})),
     w AS (SELECT run_id, i, t AS at, CAST(done AS DOUBLE) AS seen, CAST(0 AS DOUBLE) AS rate FROM e WHERE i = 1
-          UNION ALL SELECT e.run_id, e.i, CASE WHEN e.t - w.at >= 1 THEN e.t ELSE w.at END, CASE WHEN e.t - w.at >= 1 THEN CAST(e.done AS DOUBLE) ELSE w.seen END,
-              CASE WHEN e.t - w.at < 1 OR e.done <= w.seen THEN w.rate WHEN w.rate = 0 THEN (e.done - w.seen) / (e.t - w.at) ELSE 0.3 * (e.done - w.seen) / (e.t - w.at) + 0.7 * w.rate END
+          UNION ALL SELECT e.run_id, e.i, CASE WHEN e.resumed OR e.t - w.at >= 1 THEN e.t ELSE w.at END, CASE WHEN e.resumed OR e.t - w.at >= 1 THEN CAST(e.done AS DOUBLE) ELSE w.seen END,
+              CASE WHEN e.resumed OR e.t - w.at < 1 OR e.done <= w.seen THEN w.rate WHEN w.rate = 0 THEN (e.done - w.seen) / (e.t - w.at) ELSE 0.3 * (e.done - w.seen) / (e.t - w.at) + 0.7 * w.rate END
           FROM w JOIN e ON e.run_id = w.run_id AND e.i = w.i + 1)
     SELECT run_id, round(rate, 6) AS rate FROM (SELECT run_id, arg_max(rate, i) AS rate FROM w GROUP BY 1)"""
 
@@ -98,7 +98,8 @@ THROUGHPUT_SQL = f"""WITH RECURSIVE e AS (SELECT run_id, row_number() OVER (PART
 @query("throughput", THROUGHPUT_SQL)
 def _(spark, d):
     done = F.sum("batch_rows").over(Window.partitionBy("run_id").orderBy("seq"))
-    return runs.throughput(log(spark, d).withColumn("rows_done", done)).select("run_id", F.round("rate", 6).alias("rate"))
+    events = log(spark, d).withColumns({"rows_done": done, "kind": F.when(F.col("seq") % 7 == 0, "resumed").otherwise("batch")})
+    return runs.throughput(events, block_rows=1000).select("run_id", F.round("rate", 6).alias("rate"))
 
 
 @query("eta", f"SELECT run_id, table_name, round(CASE WHEN status = 'done' THEN 0 ELSE (rows_total - rows_transferred) / (10.0 * CASE WHEN run_id % 20 > 3 THEN greatest(0.1, 1 - (run_id % 20 - 3) / 12.0) ELSE 1 END) END, 6) AS eta_seconds FROM ({TABLES_SQL})")
@@ -107,13 +108,15 @@ def _(spark, d):
     return runs.eta(snap).select("run_id", "table_name", F.round("eta_seconds", 6).alias("eta_seconds"))
 
 
-HISTORY_SQL = f"""SELECT h.*, t.rows_total, CAST(h.rows_transferred * 100 // t.rows_total AS INTEGER) AS percent FROM (
-    SELECT run_id, snapshot_at, CAST(sum(moved) OVER (PARTITION BY run_id ORDER BY snapshot_at) AS BIGINT) AS rows_transferred, moved / 5.0 AS rate, false AS final FROM (SELECT run_id, time_bucket(INTERVAL 5 SECOND, ts, TIMESTAMP '2000-01-01') + INTERVAL 5 SECOND AS snapshot_at, sum(batch_rows) AS moved FROM ({LOG_SQL}) GROUP BY 1, 2)
+HISTORY_SQL = f"""WITH b AS (SELECT run_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') + INTERVAL 6 HOUR AS snapshot_at, sum(batch_rows) AS moved FROM ({LOG_SQL}) GROUP BY 1, 2),
+    c AS (SELECT run_id, unnest(generate_series(min(snapshot_at), max(snapshot_at), INTERVAL 6 HOUR)) AS snapshot_at FROM b GROUP BY 1)
+    SELECT h.*, t.rows_total, CAST(h.rows_transferred * 100 // t.rows_total AS INTEGER) AS percent FROM (
+    SELECT run_id, snapshot_at, CAST(sum(coalesce(moved, 0)) OVER (PARTITION BY run_id ORDER BY snapshot_at) AS BIGINT) AS rows_transferred, coalesce(moved, 0) / 21600.0 AS rate, false AS final FROM c LEFT JOIN b USING (run_id, snapshot_at)
     UNION ALL SELECT run_id, max(ts), CAST(sum(batch_rows) AS BIGINT), 0.0, true FROM ({LOG_SQL}) WHERE run_id % 2 = 0 GROUP BY 1) h JOIN ({RUNS_SQL}) t ON h.run_id = t.run_id"""
 
 
 def _history(spark, d):
-    return runs.stats_history(full_log(spark, d), runs.fold_runs(runs.fold_tables(log(spark, d))))
+    return runs.stats_history(full_log(spark, d), runs.fold_runs(runs.fold_tables(log(spark, d))), "6 hours", block=32)
 
 
 @query("stats_history", HISTORY_SQL)

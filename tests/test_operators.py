@@ -1,6 +1,7 @@
 """Single operators on small rows: reference vectors, edge cases and properties."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -298,8 +299,6 @@ def test_redaction(spark):
 
 
 def test_rates_hold_no_log_in_a_row(spark):
-    import random
-
     rng = random.Random(6)
     log = [(run, seq, rng.choice([5, 9, None]), rng.choice([0.0, 0.25, 1.5, None]), 0.5 + seq % 3, seq * 0.4, None if run == 5 and seq == 30 else float(seq * rng.randrange(1, 4))) for run, n in ((1, 900), (2, 3), (5, 50), (None, 40)) for seq in range(n)]
     log.append((4, 0, 5, 0.0, 0.0, 0.0, 1.0))
@@ -320,24 +319,78 @@ def test_rates_hold_no_log_in_a_row(spark):
             want = smooth(r[1] / r[2 + i] for r in sorted(own, key=lambda r: r[0]) if r[2 + i])
             assert (x is None and want is None) or abs(x - want) < 1e-9 * want
 
-    old = F.array_sort(F.collect_list(F.struct("seq", F.col("ts").cast("double").alias("t"), F.col("rows_done").alias("rows"))))
-    logs = df.groupBy("run_id").agg(old.alias("log")).collect()
-    want = {}
-    for r in logs:
-        at, done, rate = None, 0.0, 0.0
-        for _, t, rows in r["log"]:
-            if at is None or t - at >= 1:
-                if at is not None and rows is not None and done is not None and rows - done > 0:
-                    rate = rate if rate is None else (rows - done) / (t - at) if rate == 0 else 0.3 * (rows - done) / (t - at) + 0.7 * rate
-                elif at is not None and (rows is None or done is None):
-                    rate = None
-                at, done = t, rows
-        want[r["run_id"]] = rate
-    told = runs.throughput(df)
-    rates = {r["run_id"]: r["rate"] for r in told.collect()}
-    assert rates.keys() == want.keys() and want[1] > 0 and want[5] is None
-    assert all(rates[k] == (x if x is None else pytest.approx(x, rel=1e-9)) for k, x in want.items())
-    assert "collect_list" not in told._jdf.queryExecution().toString()
+
+def walked_rate(log, least=1.0):
+    """log: (t, rows, kind) in order."""
+    at, done, known, rate = None, 0.0, 0.0, 0.0
+    for t, told, kind in log:
+        if t is None or (told is None and kind != "resumed"):
+            continue
+        known = known if told is None else told
+        if at is None or kind == "resumed" or t - at >= least * 1e6:
+            if at is not None and kind != "resumed" and known > done:
+                new = (known - done) * 1e6 / (t - at)
+                rate = new if rate == 0 else 0.3 * new + 0.7 * rate
+            at, done = t, known
+    return rate
+
+
+@pytest.mark.parametrize("clock", ["forward", "any"])
+def test_throughput_is_folded_in_blocks(spark, clock):
+    rng = random.Random(clock)
+    logs = {}
+    for run, n in ((1, 900), (2, 3), (None, 60), (5, 300), (6, 1), (7, 4)):
+        t, done, log = 1_700_000_000_000_000, 0, []
+        for i in range(n):
+            t += rng.choice([0, 1, 300_000, 999_999, 1_000_000, 5_000_000]) if clock == "forward" else rng.randrange(-3_000_000, 4_000_000)
+            done += rng.randrange(0, 9)
+            log.append((t, None if run == 5 and rng.random() < 0.3 else float(done), "resumed" if rng.random() < 0.05 else "batch"))
+        logs[run] = log
+    logs[7] = [(None, 5.0, "batch"), (10, None, "batch"), (20, None, "resumed"), (5_000_020, 8.0, "batch")]
+    rows_ = [(run, i, *e) for run, log in logs.items() for i, e in enumerate(log)]
+    rng.shuffle(rows_)
+    df = spark.createDataFrame(rows_, "run_id long, seq long, t long, rows_done double, kind string").withColumn("ts", F.timestamp_micros("t")).repartition(5)
+    for block in (40, 10_000):
+        got = {r["run_id"]: r["rate"] for r in runs.throughput(df, block_rows=block).collect()}
+        assert got.keys() == logs.keys()
+        assert all(got[k] == pytest.approx(walked_rate(log), rel=1e-9) for k, log in logs.items())
+    dealt = runs.throughput(df, block_rows=40)._jdf.queryExecution().toString()
+    assert "Cogroup" in dealt or "CoGroup" in dealt
+    assert runs.throughput(df.limit(0)).count() == 0
+
+
+def test_a_large_run_is_folded_by_many_blocks(spark, monkeypatch):
+    seen = []
+    keep = runs.stored
+    monkeypatch.setattr(runs, "stored", lambda df, name: seen.append(keep(df, name)) or seen[-1])
+    events = spark.range(4000).select(F.lit(1).alias("run_id"), F.col("id").alias("seq"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("rows_done"))
+    assert runs.throughput(events, block_rows=500).first()["rate"] == pytest.approx(1.0)
+    assert seen[0].select("block").distinct().count() == 8
+
+
+def test_history_has_idle_intervals(spark):
+    at = "2024-01-01 00:00:"
+    log = [(1, f"{at}01", 5, "batch"), (1, f"{at}58", 6, "batch"), (1, f"{at}58.5", None, "complete"), (2, f"{at}07", 3, "batch"), (None, f"{at}00", 1, "batch"), (None, f"{at}30", 1, "batch")]
+    df = spark.createDataFrame(log, "run_id int, ts string, batch_rows int, kind string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for block in (1, 5, 4096):
+        got = runs.stats_history(df, every="5 seconds", block=block).collect()
+        own = sorted((r["snapshot_at"].second or 60, r["rows_transferred"], r["rate"], r["final"]) for r in got if r["run_id"] == 1)
+        assert own[:11] == [(5 * i, 5, 1.0 if i == 1 else 0.0, False) for i in range(1, 12)]
+        assert own[11:] == [(58, 11, 0.0, True), (60, 11, 1.2, False)]
+        assert sum(r["run_id"] is None for r in got) == 7 and sum(r["run_id"] == 2 for r in got) == 1
+    assert runs.stats_history(df.limit(0)).count() == 0
+
+
+def test_names_of_numbered_keys(spark):
+    rows_ = [("t", "0", "u", 2, "b", "y"), ("t", "0", "u", 1, "a", "x"), ("t", "own", "u", 1, "c", "z")]
+    df = spark.createDataFrame(rows_, "table_name string, constraint_name string, ref_table string, position int, column_name string, ref_column string")
+    assert rows(compare.assemble_foreign_keys(df)) == [("t", "fk_t_0", "a,b", "u", "x,y"), ("t", "own", "c", "u", "z")]
+
+
+def test_status_is_sorted_by_table(spark):
+    own = spark.createDataFrame([(1, "z", "done", 1, 1), (1, "b", "done", 1, 1)], "run_id int, table_name string, status string, rows_total long, rows_transferred long")
+    registry = spark.createDataFrame([("a", "completed", 5, 5, 2), ("c", "completed", 5, 5, 1)], "table_name string, status string, rows_total long, rows_transferred long, last_migration_id int")
+    assert [tuple(r) for r in runs.project_status(own, registry, 1).collect()] == [("a", "pending", 5, 0), ("b", "done", 1, 1), ("c", "completed", 5, 5), ("z", "done", 1, 1)]
 
 
 def test_plans_are_frozen_by_collection(spark):
