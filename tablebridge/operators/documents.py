@@ -6,8 +6,11 @@ plain JSON loses. A tagged object is a scalar.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ TAGS = {
 }
 #: Digits after the point of a decimal column.
 SCALE = 18
+#: Different fields that a task counts before it passes them on.
+HELD_FIELDS = 100_000
 
 
 def read_documents(spark: SparkSession, path: str, id_field: str = "_id") -> DataFrame:
@@ -78,13 +83,26 @@ def document_type(v: Column) -> Column:
     return F.coalesce(tagged, plain)
 
 
+def is_document(doc: Column) -> Column:
+    """Whether a VARIANT is an object: texts that do not parse, arrays and scalars are none."""
+    return F.try_variant_get(doc, "$", "map<string,variant>").isNotNull()
+
+
+def catch_all(taken: set[str], extra: str = "_extra") -> str:
+    """The name of the catch-all column beside the columns taken."""
+    name, i = extra, 2
+    while name in taken:
+        name, i = f"{extra}_{i}", i + 1
+    return name
+
+
 def walk_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, field_name, type_name for every field of docs (doc_id, doc), at any depth: nested documents are listed and entered, arrays listed only.
+    """doc_id, field_name, type_name for every field of docs (doc_id, doc), at any depth: nested documents are listed and entered, arrays listed only. What is no document has no fields.
 
     One lateral explode a level. A level is written to the shared folder with the documents that it holds, so that the
     source is read once and each level works on the documents of the one before.
     """
-    spark, level, out = docs.sparkSession, docs.select("doc_id", F.lit("").alias("path"), F.col("doc").alias("v")), None
+    spark, level, out = docs.sparkSession, docs.where(is_document(F.col("doc"))).select("doc_id", F.lit("").alias("path"), F.col("doc").alias("v")), None
     while True:
         opened = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()))
         name = F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
@@ -99,7 +117,10 @@ def walk_documents(docs: DataFrame) -> DataFrame:
 
 def field_frequency(walked: DataFrame, total: Column | int) -> DataFrame:
     """field_name, occurrences (present and not null), null_count, absent_count, total_docs, types (type and count, the most frequent first, then by name), polymorphic, coverage."""
-    by_type = walked.groupBy("field_name", "type_name").agg(F.count("*").alias("n"))
+    return _frequency(walked.groupBy("field_name", "type_name").agg(F.count("*").alias("n")), total)
+
+
+def _frequency(by_type: DataFrame, total: Column | int) -> DataFrame:
     seen = F.filter(F.collect_list(F.struct((-F.col("n")).alias("rank"), F.col("type_name"))), lambda x: x["type_name"] != "null")
     fields = by_type.groupBy("field_name").agg(
         F.coalesce(F.sum(F.when(F.col("type_name") != "null", F.col("n"))), F.lit(0)).alias("occurrences"),
@@ -112,6 +133,104 @@ def field_frequency(walked: DataFrame, total: Column | int) -> DataFrame:
     return fields.select("field_name", "occurrences", "null_count", absent.alias("absent_count"), total.alias("total_docs"), types.alias("types"), (F.size("ranked") > 1).alias("polymorphic"), coverage(F.col("occurrences"), total).alias("coverage"))
 
 
+class _Fields:
+    """A trie of field names: a node counts the types its field had and holds the fields inside."""
+
+    __slots__ = ("inside", "types")
+
+    def __init__(self) -> None:
+        self.inside: dict[str, _Fields] = {}
+        self.types: dict[str, int] = {}
+
+    def add(self, doc: dict) -> int:
+        """Count a document's fields; the number of new nodes."""
+        new, todo = 0, [(self, doc)]
+        while todo:
+            node, fields = todo.pop()
+            for name, value in fields.items():
+                field = node.inside.get(name)
+                if field is None:
+                    field = node.inside[name] = _Fields()
+                    new += 1
+                kind = _json_type(value)
+                field.types[kind] = field.types.get(kind, 0) + 1
+                if kind == "Document":
+                    todo.append((field, value))
+        return new
+
+    def rows(self) -> Iterator[tuple[str, str, int]]:
+        todo = [("", self)]
+        while todo:
+            path, node = todo.pop()
+            for name, field in node.inside.items():
+                full = f"{path}.{name}" if path else name
+                yield from ((full, kind, n) for kind, n in field.types.items())
+                todo.append((full, field))
+
+
+def _json_type(v: object) -> str:
+    """The document type of a parsed JSON value, as document_type() has it."""
+    if isinstance(v, dict):
+        first = min(v, default="")
+        return "CodeWithScope" if first == "$code" and "$scope" in v else TAGS.get(first, "Document")
+    if isinstance(v, bool):
+        return "Boolean"
+    if isinstance(v, int):
+        return "Int64" if -(2**63) <= v < 2**63 else "Double"
+    return "null" if v is None else "String" if isinstance(v, str) else "Array" if isinstance(v, list) else "Double"
+
+
+def _unique(pairs: list[tuple[str, object]]) -> dict:
+    if len(out := dict(pairs)) < len(pairs):
+        raise ValueError("a name occurs twice")
+    return out
+
+
+def _refuse(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def count_fields(lines: DataFrame, column: str) -> DataFrame:
+    """field_name, type_name, n of all documents in a column of JSON texts; in rows without field_name the type is `document` or `rejected`, for texts that are a document or none.
+
+    One pass: each task counts into a trie of field names, of HELD_FIELDS names at most, and only its counts by path are
+    shuffled. The fields are those of walk_documents().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, size, told = _Fields(), 0, {"document": 0, "rejected": 0}
+
+        def out() -> pa.RecordBatch:
+            rows = [*trie.rows(), *((None, kind, n) for kind, n in told.items())]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["field_name", "type_name", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                try:
+                    doc = json.loads(text, object_pairs_hook=_unique, parse_constant=_refuse) if text else None
+                except (ValueError, RecursionError):
+                    doc = None
+                if isinstance(doc, dict):
+                    told["document"] += 1
+                    size += trie.add(doc)
+                else:
+                    told["rejected"] += 1
+            if size > HELD_FIELDS:
+                yield out()
+                trie, size, told = _Fields(), 0, {"document": 0, "rejected": 0}
+        yield out()
+
+    counts = lines.select(F.col(column).cast("string").alias("text")).mapInArrow(run, "field_name string, type_name string, n long")
+    return counts.groupBy("field_name", "type_name").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def text_frequency(lines: DataFrame, column: str) -> DataFrame:
+    """field_frequency() of a column of JSON texts in one scan and one shuffle of paths; texts that are no document count nowhere."""
+    counts = stored(count_fields(lines, column), "fields")
+    total = counts.where("field_name IS NULL AND type_name = 'document'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return _frequency(counts.where("field_name IS NOT NULL"), total)
+
+
 def coverage(occurrences: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(occurrences / total * 100)
 
@@ -192,8 +311,8 @@ def _conversion(docs: DataFrame, plan: list[dict]) -> tuple[DataFrame, list[tupl
     """docs with what the plan needs, the plan's rows with their values, and which documents are bad.
 
     A document is opened twice: once into the plain texts of its planned scalars and the values for JSON columns, once into
-    the maps of those that are objects. It is bad if it did not parse or if a direct value, planned itself or as the child
-    of a flattened parent, is there and does not convert.
+    the maps of those that are objects. It is bad if it did not parse, is no object, or if a direct value, planned itself or as
+    the child of a flattened parent, is there and does not convert.
     """
     flat = {r["field_name"] for r in plan if r["strategy"] == "flatten"}
     live = [(r, r["field_name"].split("."), "jsonb" if r["strategy"] == "as_jsonb" else r["pg_type"]) for r in plan if r["strategy"] in ("direct", "as_jsonb")]
@@ -205,7 +324,7 @@ def _conversion(docs: DataFrame, plan: list[dict]) -> tuple[DataFrame, list[tupl
         return F.try_variant_get("doc", "$", _shape(shape)) if shape else F.lit(None)
 
     docs = docs.withColumns({"_plain": opened([(parts, "variant" if kind == "jsonb" else "string") for parts, kind in wanted]), "_inside": opened(scalars)})
-    values, bad = [], F.col("doc").isNull()
+    values, bad = [], ~is_document(F.col("doc"))
     for r, parts, kind in live:
         at = lambda name: reduce(lambda c, part: c.getField(part), parts, F.col(name))  # noqa: B023, E731
         if not filled(parts):
@@ -224,8 +343,8 @@ def apply_plan(docs: DataFrame, plan: list[dict], on_error: str = "abort", extra
 
     direct gives a typed column, as_jsonb JSON text, flatten the planned children of a document (one level; its other children and
     values that are no document go to `extra`), skip nothing. Top-level fields without a plan row go to `extra`, null where there
-    are none. A direct value that does not convert stops the job (abort), drops the document (skip) or is null (null); so does a
-    document that did not parse. A decimal that needs more than 18 digits after the point does not convert, nor an integer beyond 32 bits.
+    are none; where the plan has a column of that name it is called `_extra_2` and so on. A direct value that does not convert stops
+    the job (abort), drops the document (skip) or is null (null); so does a text that is no document. A decimal that needs more than 18 digits after the point does not convert, nor an integer beyond 32 bits.
     """
     top = {r["field_name"] for r in plan if "." not in r["field_name"]}
     flat = {r["field_name"] for r in plan if r["strategy"] == "flatten"}
@@ -236,7 +355,7 @@ def apply_plan(docs: DataFrame, plan: list[dict], on_error: str = "abort", extra
     for name in sorted(flat):
         rest = F.map_concat(rest, _unplanned_children(doc, fields, name, [r["field_name"].split(".", 1)[1] for r in plan if r["field_name"].startswith(name + ".")]))
     text = F.when(F.size(rest) > 0, canonical_json(F.to_variant_object(rest)))
-    columns = [*(value.alias(r["pg_column"]) for r, value in values), text.alias(extra)]
+    columns = [*(value.alias(r["pg_column"]) for r, value in values), text.alias(catch_all({r["pg_column"] for r, _ in values}, extra))]
     if on_error == "null":
         return docs.select(*columns)
     good = ~bad if on_error == "skip" else F.assert_true(~bad, F.lit("a value does not convert to its planned type")).isNull()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablebridge.operators.documents import catch_all
 from tablebridge.sources.shared import stored
 
 # Document type to column type.
@@ -132,10 +133,7 @@ def infer_schema(freq: DataFrame) -> DataFrame:
 def plan_columns(plan: DataFrame, extra: str = "_extra") -> DataFrame:
     """column_name, type, nullable, is_pk of the target: the direct and as_jsonb fields, and the catch-all, renamed where its name is taken."""
     own = plan.where(F.col("strategy").isin("direct", "as_jsonb")).select(F.col("pg_column").alias("column_name"), F.col("pg_type").alias("type"), "nullable", "is_pk")
-    taken = {r[0] for r in own.where(F.col("column_name").startswith(extra)).select("column_name").collect()}
-    name, i = extra, 2
-    while name in taken:
-        name, i = f"{extra}_{i}", i + 1
+    name = catch_all({r[0] for r in own.where(F.col("column_name").startswith(extra)).select("column_name").collect()}, extra)
     rest = plan.sparkSession.createDataFrame([(name, "jsonb", True, False)], own.schema)
     return own.union(rest)
 

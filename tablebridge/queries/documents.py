@@ -68,8 +68,7 @@ FREQ_SQL = f"""SELECT field_name, CAST(coalesce(sum(n) FILTER (type_name <> 'nul
 
 
 def frequencies(spark: SparkSession, d: str) -> DataFrame:
-    total = table(spark, d, "orders").count()
-    return docs.field_frequency(docs.walk_documents(order_documents(spark, d)), total)
+    return docs.text_frequency(order_lines(spark, d), "json")
 
 
 @query("walk_documents", WALK_SQL)
@@ -202,6 +201,29 @@ def _(spark, d):
     return docs.rejected_documents(order_documents(spark, d), plan).select("doc_id")
 
 
+def mixed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """json: documents with a field `_extra`, and lines that are an array, a string or broken."""
+    k = F.col("o_orderkey")
+    document = F.concat(F.lit('{"_extra":'), k.cast("string"), F.lit(',"b":{"c":"x"'), F.when(k % 3 == 0, F.lit(',"d":null')).otherwise(""), F.lit("}}"))
+    return table(spark, d, "orders").select(F.when(k % 8 == 0, "[1,2]").when(k % 8 == 1, '"s"').when(k % 8 == 2, '{"a":').otherwise(document).alias("json"))
+
+
+@query(
+    "count_fields",
+    """WITH o AS (SELECT o_orderkey % 3 = 0 AS more FROM orders WHERE o_orderkey % 8 > 2)
+       SELECT f AS field_name, t AS type_name, count(*) AS n FROM o, (VALUES ('_extra', 'Int64'), ('b', 'Document'), ('b.c', 'String'), (NULL, 'document')) v(f, t) GROUP BY 1, 2
+       UNION ALL SELECT 'b.d', 'null', count(*) FROM o WHERE more UNION ALL SELECT NULL, 'rejected', count(*) FROM orders WHERE o_orderkey % 8 <= 2""",
+)
+def _(spark, d):
+    return docs.count_fields(mixed_lines(spark, d), "json")
+
+
+@query("apply_plan_own_extra", """SELECT o_orderkey AS _extra, '{"b":{"c":"x"' || CASE WHEN o_orderkey % 3 = 0 THEN ',"d":null' ELSE '' END || '}}' AS _extra_2 FROM orders WHERE o_orderkey % 8 > 2""")
+def _(spark, d):
+    plan = [{"field_name": "_extra", "pg_column": "_extra", "pg_type": "bigint", "strategy": "direct"}]
+    return docs.apply_plan(docs.parse_documents(mixed_lines(spark, d), "json", "_extra"), plan, on_error="skip")
+
+
 @query("stream_apply_plan", "SELECT o_custkey AS customer_id, o_orderkey % 50 AS qty FROM orders")
 def _(spark, d):
     schema = table(spark, d, "orders").schema

@@ -186,10 +186,19 @@ def _(spark, d):
     return scan.sample_size(_counts(spark, d), percent=5.0, threshold=1000, most=2500)
 
 
-@query("sample_documents", "SELECT count(*) AS n, count(DISTINCT o_orderkey) AS different FROM (SELECT o_orderkey FROM orders LIMIT 500)")
+@query(
+    "sample_documents",
+    "SELECT count(*) AS n, count(DISTINCT s.o_orderkey) AS different, bool_and(o.o_orderkey IS NOT NULL AND o.o_custkey = s.o_custkey AND o.o_totalprice = s.o_totalprice) AS own, true AS lowest FROM (SELECT * FROM orders LIMIT 500) s LEFT JOIN orders o USING (o_orderkey)",
+)
 def _(spark, d):
-    sample = scan.sample_documents(table(spark, d, "orders"), "o_orderkey", 500)
-    return sample.agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"))
+    orders = table(spark, d, "orders")
+    sample = scan.sample_documents(orders, "o_orderkey", 500, spare=50)
+    # each row is one of the table's, and as many rows hash at most as high as the highest of the sample
+    same = orders.select("o_orderkey", F.col("o_custkey").alias("c"), F.col("o_totalprice").alias("p"))
+    h = F.xxhash64(F.lit(42), "o_orderkey")
+    told = sample.join(same, "o_orderkey", "left").agg(F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("different"), F.bool_and((F.col("c") == F.col("o_custkey")) & (F.col("p") == F.col("o_totalprice"))).alias("own"), F.max(h).alias("top"))
+    upto = orders.select(h.alias("h")).join(F.broadcast(told.select("top")), F.col("h") <= F.col("top")).agg(F.count("*").alias("upto"))
+    return told.crossJoin(upto).select("n", "different", "own", (F.col("upto") == F.col("n")).alias("lowest"))
 
 
 def _listing(spark, d):
@@ -338,10 +347,32 @@ def _(spark, d):
         {"name": "orders", "source": source_orders(spark, d), "target": target_orders(spark, d), "keys": ["o_orderkey"]},
         {"name": "broken", "source": table(spark, d, "part"), "target": table(spark, d, "part"), "keys": ["no_such_column"]},
     ]
-    told = sync.sync_tables(spark, tables, lambda n, df: df.write.parquet(f"{root}/{n}"), read=lambda n: spark.read.parquet(f"{root}/{n}"), constraints=[{"table": "orders", "name": "pk", "kind": "primary_key", "columns": ["o_orderkey"]}])
+    told = sync.sync_tables(spark, tables, lambda n, df: df.write.parquet(f"{root}/{n}"), read=lambda n: spark.read.parquet(f"{root}/{n}"), constraints=[{"table": "orders", "name": "pk", "kind": "primary_key", "columns": ["o_orderkey"]}], strict=False)
     return told.select("table_name", "status", "rows", "violations", F.col("error").isNull().alias("clean"))
 
 
+@query(
+    "resume_tables",
+    f"""SELECT 'customer' AS table_name, 1 AS loads, count(*) AS rows, CAST(0 AS BIGINT) AS violations FROM customer
+        UNION ALL SELECT 'orders', 2, count(*), CAST(count_if(NOT o_totalprice > 0) + count_if(o_orderpriority IS NULL) AS BIGINT) FROM ({DEFECTS_SQL}) UNION ALL SELECT 'part', 1, count(*), CAST(0 AS BIGINT) FROM part""",
+)
+def _(spark, d):
+    # a run in which the second table fails when it is first written, and which is then taken up again
+    root, loads = shared_path(spark, "resumed"), {}
+    tables = [{"name": n, "source": table(spark, d, n)} for n in ("customer", "part")] + [{"name": "orders", "source": _defects(spark, d)}]
+    ledger = sync.Ledger(spark, f"{root}/ledger", "run")
+
+    def write(name: str, df: DataFrame) -> None:
+        loads[name] = loads.get(name, 0) + 1
+        if name == "orders" and loads[name] == 1:
+            raise OSError("no space")
+        df.write.parquet(f"{root}/{name}")
+
+    for _ in range(2):
+        told = sync.sync_tables(spark, tables, write, mode="recreate", constraints=CONSTRAINTS[2:4], read=lambda n: spark.read.parquet(f"{root}/{n}"), ledger=ledger, strict=False)
+    return told.join(spark.createDataFrame(list(loads.items()), "table_name string, loads int"), "table_name").select("table_name", "loads", "rows", "violations")
+
+
 VERSIONS_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + v AS o_totalprice, o_orderdate, o_orderpriority, v FROM orders, range(1, 6) r(v) WHERE o_orderkey % 10 >= 3 AND o_orderkey % v = 0"
 
 

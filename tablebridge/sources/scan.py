@@ -144,9 +144,30 @@ def sample_size(counts: DataFrame, percent: float = 1.0, threshold: int = 100_00
     return counts.withColumn("sample_n", F.when(F.lit(percent >= 100), F.col("rows")).when(F.col("rows") < threshold, F.lit(small)).otherwise(share).cast("long"))
 
 
-def sample_documents(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """n rows without replacement, those whose keys hash lowest: the same ones on each run; all where there are no more."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+def sample_documents(df: DataFrame, key: str, n: int, seed: int = 42, spare: int = 1000) -> DataFrame:
+    """n rows without replacement, those whose keys hash lowest: the same ones on each run; all where there are no more.
+
+    Rows are counted by the leading bits of their hash, a scan of the key alone; the bucket that the n-th row falls into is
+    counted by further bits until about `spare` rows are left in it. Rows below it are taken by their hash where they lie, and
+    only those of the bucket are sorted: no task holds the sample.
+    """
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key)))
+    low, high, left = -(1 << 63), (1 << 63) - 1, n  # the bucket's ends, and how many of its rows belong to the sample
+    bits = 64
+    while bits > 0:
+        bits = max(0, bits - 12)
+        inside = hashed.where(F.col("_h").between(low, high)).groupBy(F.shiftright("_h", bits).alias("b")).agg(F.count("*").alias("n"))
+        for bucket, rows in sorted(map(tuple, inside.collect())):  # at most 4096
+            if rows >= left:
+                low, high = bucket << bits, (bucket << bits) + (1 << bits) - 1
+                break
+            left -= rows
+        else:
+            return df  # no more rows than asked for
+        if rows <= max(spare, left):
+            break
+    below = hashed.where(F.col("_h") < low)
+    return below.union(hashed.where(F.col("_h").between(low, high)).orderBy("_h", key).limit(left)).drop("_h")
 
 
 def filter_collections(listing: DataFrame) -> DataFrame:
@@ -167,8 +188,10 @@ def select_tables(tables: DataFrame, requested: DataFrame) -> DataFrame:
 
 def missing_tables(tables: DataFrame, requested: DataFrame) -> DataFrame:
     """requested names that no table matches."""
-    have = tables.select(F.lower("table_name").alias("_h"))
-    return requested.join(have, (F.lower(F.trim("name")) == F.col("_h")) | (_bare(F.col("name")) == F.col("_h")), "left_anti")
+    have = tables.select(F.lower("table_name").alias("_h")).distinct()
+    # one equi-join after the other, as an OR of both would compare every pair
+    left = requested.join(have, F.lower(F.trim("name")) == F.col("_h"), "left_anti")
+    return left.join(have, _bare(F.col("name")) == F.col("_h"), "left_anti")
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:

@@ -207,20 +207,6 @@ def test_jdbc_round_trip(spark):
     assert got.rdd.getNumPartitions() == 4 and got.count() == 100
 
 
-def test_one_failing_table_does_not_stop_the_others(spark):
-    good = spark.createDataFrame([(1,)], "id int")
-    kept = {}
-    told = sync.sync_tables(spark, [{"name": "a", "source": good, "keys": ["id"]}, {"name": "b", "source": good, "target": good, "keys": ["x"]}], kept.__setitem__)
-    assert {r["table_name"]: r["status"] for r in told.collect()} == {"a": "completed", "b": "failed"} and set(kept) == {"a"}
-
-
-def test_strict_runs_fail_after_all_tables(spark):
-    good, kept = spark.createDataFrame([(1,)], "id int"), {}
-    with pytest.raises(RuntimeError, match="b "):
-        sync.sync_tables(spark, [{"name": "b", "source": good, "target": good, "keys": ["x"]}, {"name": "a", "source": good, "keys": ["id"]}], kept.__setitem__, strict=True)
-    assert set(kept) == {"a"}
-
-
 @pytest.mark.parametrize("adaptive", ["true", "false"])
 def test_positions_hold_under_uneven_payload(spark, tmp_path, adaptive):
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
