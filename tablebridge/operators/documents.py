@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablebridge.sources.shared import stored
+from tablebridge.sources.shared import importable, stored
 
 # The tags of the JSON form and the types they stand for.
 TAGS = {
@@ -220,6 +220,7 @@ def count_fields(lines: DataFrame, column: str) -> DataFrame:
                 trie, size, told = _Fields(), 0, {"document": 0, "rejected": 0}
         yield out()
 
+    importable(lines.sparkSession)
     counts = lines.select(F.col(column).cast("string").alias("text")).mapInArrow(run, "field_name string, type_name string, n long")
     return counts.groupBy("field_name", "type_name").agg(F.sum("n").alias("n")).where("n > 0")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablebridge.operators.merge import insert_new, upsert
-from tablebridge.sources.shared import stored
+from tablebridge.sources.shared import importable, stored
 
 #: Weight of the newest value in a smoothed rate.
 ALPHA = 0.3
@@ -294,6 +294,7 @@ def throughput(events: DataFrame, least_seconds: float = 1.0, block_rows: int =
     blocks, a few rows each, are walked in order; then each block folds its own samples. Events without a time, or without
     rows but for `resumed`, are no samples; a run without rate has 0.
     """
+    importable(events.sparkSession)
     least = round(least_seconds * 1_000_000)
     reset = F.coalesce(F.col("kind") == "resumed", F.lit(False)) if "kind" in events.columns else F.lit(False)
     log = events.select("run_id", "seq", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("rows_done").cast("double").alias("rows"), reset.alias("reset")).where("t IS NOT NULL AND (reset OR rows IS NOT NULL)")

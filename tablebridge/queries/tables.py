@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablebridge.operators import filemerge, integrity, merge, rangediff, sync
 from tablebridge.plans import compare
 from tablebridge.queries import query
-from tablebridge.sources import scan
+from tablebridge.sources import keyset, scan
 from tablebridge.sources.shared import shared_path, stored
 from tablebridge.streaming import sync as streaming
 
@@ -396,6 +396,22 @@ def _(spark, d):
     return streaming.stream_sync(stream, target_orders(spark, d), shared_path(spark, "target"), ["o_orderkey"], shared_path(spark, "checkpoint"), "v", width=2)
 
 
+@query("stream_keyset", "SELECT o_orderkey, o_custkey, o_orderdate, CAST(CASE WHEN o_orderkey * 2 <= (SELECT max(o_orderkey) FROM orders) THEN 0 ELSE 1 END AS BIGINT) AS batch FROM orders")
+def _(spark, d):
+    # a table that grows between two runs of one stream: the second run reads what is after the first one's last key
+    orders, folder = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), shared_path(spark, "growing")
+    middle = orders.agg((F.max("o_orderkey") / 2).alias("m")).first()["m"]
+    out, checkpoint = shared_path(spark, "copied"), shared_path(spark, "checkpoint")
+
+    def step(batch: DataFrame, i: int) -> None:
+        batch.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(out)
+
+    for part in (orders.where(F.col("o_orderkey") <= middle), orders.where(F.col("o_orderkey") > middle)):
+        part.repartitionByRange(4, "o_orderkey").write.mode("append").parquet(folder)
+        keyset.stream_keyset(spark, folder, "o_orderkey").writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("merge_files", f"WITH t AS ({TARGET_SQL}), s AS (SELECT * FROM ({VERSIONS_SQL}) WHERE o_orderkey < 2000 QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY v DESC) = 1) SELECT * EXCLUDE (v) FROM s UNION ALL SELECT * FROM t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM s)")
 def _(spark, d):
     folder = shared_path(spark, "files")

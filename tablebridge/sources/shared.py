@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import tempfile
 import uuid
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -118,15 +120,27 @@ def write_state(spark: SparkSession, path: str, state: dict) -> None:
         raise FileExistsError(f"{path} was written by another run")
 
 
-def read_state(spark: SparkSession, path: str) -> dict:
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
     fs, target = _file_system(spark, path)
     stream = fs.open(target)
     try:
-        return json.loads(bytes(stream.readAllBytes()))
+        return bytes(stream.readAllBytes()).decode()
     finally:
         stream.close()
 
 
+def read_state(spark: SparkSession, path: str) -> dict:
+    return json.loads(read_text(spark, path))
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package, also those that are started in another folder."""
+    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if home not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
+        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+
+
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Numbers i of the finished writes `path`/stream_version=i, ascending."""
     names = [n for n, _, _ in listed(spark, path)]

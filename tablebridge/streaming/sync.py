@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from tablebridge.operators.merge import last_by_key
 from tablebridge.operators.runs import ALPHA
 from tablebridge.sources.shared import drop, read_state, versions
 from tablebridge.streaming.versioned import WIDTH, VersionedTable
@@ -74,31 +74,34 @@ def progress(events: DataFrame) -> DataFrame:
 def stream_rates(events: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """run_id, read_rate, write_rate of a stream of batches, smoothed in the order of seq inside each micro-batch; a run's state is its two rates.
 
-    Micro-batches are taken to come in order, as a log written in order gives them. Each writes the new rates of its runs, and the newest count.
+    Micro-batches are taken to come in order, as a log written in order gives them. Each commits the new rates of its runs to a
+    VersionedTable, which keeps few folders; of a run the newest count.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rates = list(state.get) if state.exists else [None, None]
         rows = pd.concat(batches).sort_values("seq")
         for i, column in enumerate(("read_seconds", "write_seconds")):
-            for n, seconds in zip(rows["batch_rows"], rows[column], strict=True):
-                if pd.notna(n) and pd.notna(seconds) and seconds:
-                    rates[i] = n / seconds if rates[i] is None else ALPHA * n / seconds + (1 - ALPHA) * rates[i]
+            x = (rows["batch_rows"] / rows[column].where(rows[column] != 0)).dropna().to_numpy()
+            if len(x):
+                # each value weighs (1 - ALPHA) less than the next; the first of all is the seed
+                old = x[0] if rates[i] is None else rates[i]
+                fade = (1 - ALPHA) ** np.arange(len(x) - 1, -1, -1)
+                rates[i] = float((1 - ALPHA) ** len(x) * old + ALPHA * (fade * x).sum())
         state.update(tuple(rates))
         yield pd.DataFrame({"run_id": [key[0]], "read_rate": [rates[0]], "write_rate": [rates[1]]}, dtype=None)
 
     kind = f"run_id {dict(events.dtypes)['run_id']}, read_rate double, write_rate double"
     rows = events.select("run_id", "seq", F.col("batch_rows").cast("double").alias("batch_rows"), F.col("read_seconds").cast("double").alias("read_seconds"), F.col("write_seconds").cast("double").alias("write_seconds"))
     found = rows.groupBy("run_id").applyInPandasWithState(fold, kind, "read_rate double, write_rate double", "update", GroupStateTimeout.NoTimeout)
+    spark, table = events.sparkSession, VersionedTable(events.sparkSession, target)
+    table.create(spark.createDataFrame([], kind), ["run_id"], "version")
 
     def step(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/stream_version={i}")
+        table.add(batch.withColumn("version", F.lit(i).cast("long")), read_state(spark, f"{checkpoint}/metadata")["id"], i)
 
     _run(found, step, checkpoint, "update")
-    spark = events.sparkSession
-    if not versions(spark, target):
-        return spark.createDataFrame([], kind)
-    return last_by_key(spark.read.parquet(target), ["run_id"], "stream_version").drop("stream_version")
+    return table.read()
 
 
 def stats_windows(events: DataFrame, every: str = "5 seconds", delay: str = "1 minute") -> DataFrame:
