@@ -12,6 +12,7 @@ from tablebridge.operators import runs
 from tablebridge.queries import query
 from tablebridge.sources.scan import scan_table as table
 from tablebridge.sources.shared import shared_path
+from tablebridge.streaming import snapshot
 from tablebridge.streaming import sync as streaming
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -61,11 +62,11 @@ def _(spark, d):
     return runs.fold_runs(runs.fold_tables(log(spark, d)))
 
 
-@query(
-    "run_phase",
-    f"""SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'complete' WHEN run_id % 5 = 0 OR run_id % 9 = 0 THEN 'in_progress' WHEN run_id % 3 = 0 THEN 'paused' ELSE 'pending' END AS phase,
-        CASE WHEN run_id % 2 = 0 THEN '' WHEN run_id % 5 = 0 THEN 'x' ELSE coalesce(arg_max(table_name, seq) FILTER (kind = 'batch'), '') END AS current_table FROM ({LOG_SQL}) GROUP BY run_id""",
-)
+PHASE_SQL = f"""SELECT run_id, CASE WHEN run_id % 2 = 0 THEN 'complete' WHEN run_id % 5 = 0 OR run_id % 9 = 0 THEN 'in_progress' WHEN run_id % 3 = 0 THEN 'paused' ELSE 'pending' END AS phase,
+        CASE WHEN run_id % 2 = 0 THEN '' WHEN run_id % 5 = 0 THEN 'x' ELSE coalesce(arg_max(table_name, seq) FILTER (kind = 'batch'), '') END AS current_table FROM ({LOG_SQL}) GROUP BY run_id"""
+
+
+@query("run_phase", PHASE_SQL)
 def _(spark, d):
     return runs.run_phase(full_log(spark, d)).drop("error")
 
@@ -291,6 +292,19 @@ def _(spark, d):
     return found.select("run_id", F.round("read_rate", 6).alias("read_rate"), F.round("write_rate", 6).alias("write_rate"))
 
 
+@query(
+    "stream_snapshots",
+    f"""SELECT r.run_id, p.phase, p.current_table, r.tables_total + 1 AS tables_total, r.tables_done, r.tables_failed, r.rows_total, r.rows_transferred
+        FROM ({RUNS_SQL}) r JOIN ({PHASE_SQL}) p ON p.run_id = r.run_id""",
+)
+def _(spark, d):
+    folder, events = shared_path(spark, "log"), full_log(spark, d)
+    events.write.parquet(folder)
+    stream = streaming.read_stream(spark, folder, "*.parquet", events.schema, files=1000)
+    told = snapshot.live_snapshots(stream, shared_path(spark, "snapshots"), shared_path(spark, "checkpoint"))
+    return told.select("run_id", "phase", "current_table", "tables_total", "tables_done", "tables_failed", "rows_total", "rows_transferred")
+
+
 @query("stream_stats_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, CAST(sum(1 + event_id % 50) AS BIGINT) AS rows FROM events GROUP BY 1")
 def _(spark, d):
     return streaming.stream_state(streaming.stats_windows(_stream(spark, d), "1 hour"), shared_path(spark, "state"), shared_path(spark, "checkpoint"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tablebridge.operators import filemerge, integrity, merge, rangediff, sync
 from tablebridge.plans import compare
 from tablebridge.queries import query
-from tablebridge.sources import keyset, scan
+from tablebridge.sources import bulktext, keyset, scan
 from tablebridge.sources.shared import shared_path, stored
 from tablebridge.streaming import sync as streaming
 
@@ -104,6 +104,20 @@ def _(spark, d):
     return merge.bulk_text_line(table(spark, d, "orders").select((F.col("o_orderstatus") == "F").alias("a_flag"), k.alias("b_key"), note.alias("c_note"), F.col("o_orderdate").alias("d_date")))
 
 
+@query(
+    "bulk_text_round_trip",
+    r"""SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(12, 2)) AS amount, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'a' || chr(9) || 'b' WHEN 2 THEN 'x\y\' WHEN 3 THEN 'l' || chr(10) ELSE '' END AS note,
+        o_orderstatus = 'F' AS flag, o_orderdate FROM orders""".replace("\\\\", "\\"),
+)
+def _(spark, d):
+    k = F.col("o_orderkey")
+    note = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, "a\tb").when(k % 5 == 2, "x\\y\\").when(k % 5 == 3, "l\n").otherwise("")
+    rows = table(spark, d, "orders").select(k.alias("k"), F.col("o_totalprice").cast("decimal(12,2)").alias("amount"), note.alias("note"), (F.col("o_orderstatus") == "F").alias("flag"), "o_orderdate")
+    folder = shared_path(spark, "bulk")
+    bulktext.write_bulk_text(rows, folder)
+    return bulktext.read_bulk_text(spark, folder, rows.schema)
+
+
 @query("alter_columns", "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_totalprice, o_orderdate, o_orderpriority, 7 AS o_level FROM orders")
 def _(spark, d):
     return merge.alter_columns(table(spark, d, "orders"), [{"kind": "add", "name": "o_level", "type": "int", "default": 7}, {"kind": "drop", "name": "o_orderstatus"}, {"kind": "alter", "name": "o_custkey", "type": "string"}])
