@@ -1,10 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney character models.
 
-Each class has its own counts of the orders 3 to 5 in labelled rows: occurrences at order 5, different continuations to the
-left at 4 and 3. Below them both classes back off to one distribution of continuation counts over the words of all
-documents, so that expressions rare in the labelled rows are smoothed by the whole corpus. The toxic minus the ordinary
-log-likelihood, divided by the length, is compared for the whole text and for its most toxic words, since one expression in
-a long text moves the text's own mean by less than its noise; a logistic layer weighs the comparisons.
+Each class has its own counts of the orders 3 to 6 in labelled rows: occurrences at order 6, different continuations to the
+left below. Their sums over both classes make a shared Kneser-Ney model, which below order 3 goes on with continuation counts
+over the words of all documents. A class discounts its own counts and backs off to the shared probability of the same order,
+so that expressions rare in one class are smoothed by what both have. The classes are compared at the longest context that
+each has seen LEAST times; in rarer ones they back off alike. The toxic minus the ordinary log-likelihood, divided by the
+length, is compared for the whole text and for its most toxic words, since one expression in a long text moves the text's own
+mean by less than its noise; a logistic layer weighs the comparisons.
 """
 
 from __future__ import annotations
@@ -23,13 +25,15 @@ from tablebridge.llm.common import fold, stored
 
 #: Labelled rows of which the class models and the logistic layer learn: those whose ids hash lowest.
 TRAIN_ROWS = 30_000
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
 TOP = ORDERS[-1]
 DISCOUNT = 0.75
+#: Times that both classes must have seen a context to be compared in it.
+LEAST = 40
 WORD = re.compile(r"[^\W\d_]+")
-#: Gain, in nats, from which on a word counts as evidence of its own.
-CLEAR = 2.0
-FEATURES = 7
+#: Gains, in nats, beyond which words count as evidence of their own, and how many words of highest gain count each by itself.
+CLEAR, BEST = (1.0, 2.0, 3.0), 6
+FEATURES = BEST + len(CLEAR) + 2
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,28 +79,30 @@ def _counted(batches: Iterator[pa.RecordBatch], make, classes: bool) -> Iterator
 def class_counts(labelled: DataFrame) -> dict[int, DataFrame]:
     """By order (gram, ctx, low, toxic, ordinary): the counts of each class in labelled texts (text, toxic), exact for each gram; low is the gram without its first character.
 
-    Order 5 counts occurrences, the orders below how many different grams of the next order a class has that end in the gram.
+    The highest order counts occurrences, those below how many different grams of the next order a class has that end in the gram.
     """
-    names = ["gram5", "ctx5", "gram4", "ctx4", "gram3", "ctx3", "gram2", "toxic", "ordinary"]
+    keys = [f"{kind}{k}" for k in reversed(ORDERS) for kind in ("gram", "ctx")] + [f"gram{ORDERS[0] - 1}"]
+    names = [*keys, "toxic", "ordinary"]
 
     def make(counts: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
         for mark, counter in enumerate(counts):
             if counter:
                 grams, contexts, word = _grams(list(counter))
                 n = np.fromiter(counter.values(), np.int64, len(counter))[word]
-                _, first, at = np.unique(grams[5], return_index=True, return_inverse=True)
+                _, first, at = np.unique(grams[TOP], return_index=True, return_inverse=True)
                 n = np.bincount(at, n, len(first)).astype(np.int64)
-                columns = [x[first].view(np.int64) for x in (grams[5], contexts[5], grams[4], contexts[4], grams[3], contexts[3], grams[2])]
+                columns = [x[first].view(np.int64) for k in reversed(ORDERS) for x in (grams[k], contexts[k])] + [grams[ORDERS[0] - 1][first].view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*columns, n * mark, n * (1 - mark))], names)
 
     found = labelled.select("text", "toxic").mapInArrow(lambda it: _counted(it, make, True), ", ".join(f"{c} long" for c in names))
-    keys = names[:-2]
-    five = stored(found.groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
+    table = stored(found.groupBy(*keys).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "grams")
     kinds = (F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("ordinary") > 0).alias("ordinary"))
-    four = five.groupBy(*keys[2:]).agg(*kinds)
-    three = four.groupBy(*keys[4:]).agg(*kinds)
-    named = lambda df, k: df.select(F.col(f"gram{k}").alias("gram"), F.col(f"ctx{k}").alias("ctx"), F.col(f"gram{k - 1}").alias("low"), "toxic", "ordinary")
-    return {3: named(three, 3), 4: named(four, 4), 5: named(five, 5)}
+    out = {}
+    for k in reversed(ORDERS):
+        out[k] = table.select(F.col(f"gram{k}").alias("gram"), F.col(f"ctx{k}").alias("ctx"), F.col(f"gram{k - 1}").alias("low"), "toxic", "ordinary")
+        keys = keys[2:]
+        table = table.groupBy(*keys).agg(*kinds)
+    return out
 
 
 def shared_backoff(docs: DataFrame) -> DataFrame:
@@ -128,10 +134,10 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Model:
-    """What scoring needs, of the size of the labelled sample: by order the grams' discounted shares and the contexts' backoff weights of [ordinary, toxic], and the shared probability below."""
+    """What scoring needs, of the size of the labelled sample: by order the discounted shares of grams and the backoff weights of contexts for [ordinary, toxic, both together], which contexts both classes know well, and the shared probability below."""
 
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]  # order: sorted keys, [2, keys]
-    contexts: dict[int, tuple[np.ndarray, np.ndarray]]  # order: sorted keys, [2, keys]
+    grams: dict[int, tuple[np.ndarray, np.ndarray]]  # order: sorted keys, [3, keys]
+    contexts: dict[int, tuple[np.ndarray, np.ndarray]]  # order: sorted keys, [4, keys], the last row 1 where both know it
     shared: tuple[np.ndarray, np.ndarray]  # sorted keys of bigrams, probability
     weights: np.ndarray | None = None
     center: np.ndarray | None = None
@@ -140,30 +146,34 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """[words, 3]: the length-normalised log-likelihood difference, the toxic gain over the word, and the word's length with its end."""
         grams, contexts, word = _grams(words)
-        at, there = _found(self.shared[0], grams[2])
-        # where no labelled gram ends, both classes back off alike and the shared probability cancels out
-        p = np.where(there, self.shared[1][at] if len(self.shared[1]) else 1e-3, 1e-3)
-        p = np.stack([p, p])
+        at, there = _found(self.shared[0], grams[ORDERS[0] - 1])
+        both = np.where(there, self.shared[1][at] if len(self.shared[1]) else 1e-3, 1e-3)
+        gain = np.zeros(len(word))
         for order in ORDERS:
             at, there = _found(self.contexts[order][0], contexts[order])
-            back = np.where(there, self.contexts[order][1][:, at] if len(self.contexts[order][0]) else 1.0, 1.0)
-            at, there = _found(self.grams[order][0], grams[order])
-            share = np.where(there, self.grams[order][1][:, at] if len(self.grams[order][0]) else 0.0, 0.0)
-            p = share + back * p
-        gain = np.log(p[1]) - np.log(p[0])
+            known = np.flatnonzero(there)  # elsewhere nothing is added to what the order below has
+            if not len(known):
+                break
+            back = self.contexts[order][1][:, at[known]]
+            at, there = _found(self.grams[order][0], grams[order][known])
+            share = np.where(there, self.grams[order][1][:, at], 0.0)
+            both[known] = share[2] + back[2] * both[known]
+            sure = back[3] > 0
+            p = share[:2, sure] + back[:2, sure] * both[known[sure]]
+            gain[known[sure]] = np.log(p[1]) - np.log(p[0])
         total = np.bincount(word, gain, len(words))
         length = np.bincount(word, minlength=len(words))
         return np.stack([total / length, total, length], axis=1)
 
 
 def _features(scores: np.ndarray) -> np.ndarray:
-    """Of the words' scores of a text: the two highest by length-normalised and by whole gain, the text's own length-normalised gain, the gain beyond CLEAR over the root of the number of words, and the four highest gains."""
+    """Of the words' scores of a text: the BEST highest gains, the gains beyond each of CLEAR over the root of the number of words, and the length-normalised gain of the text and of its most toxic word."""
     if not len(scores):
         return np.zeros(FEATURES)
     gain = scores[:, 1]
-    share, top = (np.sort(np.partition(x, max(len(x) - 4, 0))[-4:])[::-1] for x in (scores[:, 0], gain))
-    two = lambda x: (x[0], x[1] if len(x) > 1 else 0.0)
-    return np.array([*two(share), *two(top), gain.sum() / scores[:, 2].sum(), np.maximum(gain - CLEAR, 0).sum() / np.sqrt(len(gain)), top.sum()])
+    top = np.sort(np.partition(gain, max(len(gain) - BEST, 0))[-BEST:])[::-1]
+    beyond = [np.maximum(gain - c, 0).sum() / np.sqrt(len(gain)) for c in CLEAR]
+    return np.array([*np.pad(top, (0, BEST - len(top))), *beyond, gain.sum() / scores[:, 2].sum(), scores[:, 0].max()])
 
 
 class _Scorer:
@@ -198,13 +208,15 @@ def _tables(classes: dict, shared) -> Model:
         own = classes[order]
         key, ctx = own["gram"].to_numpy().view(np.uint64), own["ctx"].to_numpy().view(np.uint64)
         n = np.stack([own["ordinary"].to_numpy(float), own["toxic"].to_numpy(float)])
+        n = np.vstack([n, n.sum(axis=0)])
         names, at = np.unique(ctx, return_inverse=True)
         total = np.stack([np.bincount(at, x, len(names)) for x in n])
         kinds = np.stack([np.bincount(at, x > 0, len(names)) for x in n])
         share = np.maximum(n - DISCOUNT, 0) / np.maximum(total[:, at], 1)
         order_ = np.argsort(key)
         grams[order] = key[order_], share[:, order_]
-        contexts[order] = names, np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+        contexts[order] = names, np.vstack([back, total[:2].min(axis=0) >= LEAST])
     key = shared["gram"].to_numpy().view(np.uint64)
     order_ = np.argsort(key)
     return Model(grams, contexts, (key[order_], shared["p"].to_numpy(float)[order_]))
@@ -238,7 +250,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, row
     labelled = stored(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic", (fold("doc_id", folds) == folds - 1).alias("tunes")), "labelled")
     classes = class_counts(labelled.where(~F.col("tunes")))
     # of the corpus' probabilities only those of bigrams in labelled rows are fetched: what comes here is bounded by the sample
-    needed = shared_backoff(docs).join(classes[3].select(F.col("low").alias("gram")).distinct(), "gram", "left_semi")
+    needed = shared_backoff(docs).join(classes[ORDERS[0]].select(F.col("low").alias("gram")).distinct(), "gram", "left_semi")
     model = _tables({k: df.toPandas() for k, df in classes.items()}, needed.toPandas())
     sent = spark.sparkContext.broadcast(model)
 

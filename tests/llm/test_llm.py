@@ -297,8 +297,8 @@ def test_toxicity_learns(spark):
     assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in got]) > 0.97
 
 
-def kneser_ney(class_words, shared_words, word):
-    """[ordinary, toxic] log-likelihood of a word by the definition, with dictionaries of grams as text."""
+def kneser_ney(class_words, shared_words, word, least):
+    """The toxic gain of a word by the definition, with dictionaries of grams as text."""
     d, pad = toxicity.DISCOUNT, toxicity.TOP - 1
 
     def grams(words, order):
@@ -309,7 +309,9 @@ def kneser_ney(class_words, shared_words, word):
     def counts(words, order, top):
         if order == top:
             return Counter(grams(words, order))
-        return Counter(g[1:] for g in set(grams(words, order + 1)))
+        if order < 3:
+            return Counter(g[1:] for g in set(grams(words, order + 1)))
+        return Counter(g[1:] for g in counts(words, order + 1, top))
 
     def share(table, g, low):
         after = {k: v for k, v in table.items() if k[:-1] == g[:-1]}
@@ -317,20 +319,21 @@ def kneser_ney(class_words, shared_words, word):
         return low if not n else max(table.get(g, 0) - d, 0) / n + d * len(after) / n * low
 
     shared = {k: counts(set(shared_words), k, 99) for k in (1, 2)}
-    out = []
-    for words in class_words:
-        tables = {k: counts(words, k, toxicity.TOP) for k in toxicity.ORDERS}
-        total, text = 0.0, " " * pad + word + " "
-        for i in range(pad, len(text)):
-            p = 1 / (len(shared[1]) + 1)
-            for k in (1, 2, *toxicity.ORDERS):
-                p = share(shared[k] if k < 3 else tables[k], text[i - k + 1 : i + 1], p)
-            total += np.log(p)
-        out.append(total)
-    return out
-
-
-def test_toxicity_is_kneser_ney(spark):
+    classes = [{k: counts(words, k, toxicity.TOP) for k in toxicity.ORDERS} for words in class_words]
+    total, text = 0.0, " " * pad + word + " "
+    for i in range(pad, len(text)):
+        p, gain = 1 / (len(shared[1]) + 1), 0.0
+        for k in (1, 2, *toxicity.ORDERS):
+            g = text[i - k + 1 : i + 1]
+            p = share(shared[k] if k < 3 else sum((c[k] for c in classes), Counter()), g, p)
+            if k > 2 and all(sum(v for x, v in c[k].items() if x[:-1] == g[:-1]) >= least for c in classes):
+                gain = np.log(share(classes[1][k], g, p)) - np.log(share(classes[0][k], g, p))
+        total += gain
+    return total
+
+
+def test_toxicity_is_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST", 2)
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
     texts = [(i, " ".join(word() for _ in range(12)), i % 2) for i in range(12)] + [(100 + i, " ".join(word() for _ in range(9)), None) for i in range(6)]
@@ -339,9 +342,32 @@ def test_toxicity_is_kneser_ney(spark):
     model = toxicity._tables(classes, toxicity.shared_backoff(df).toPandas())
     own = [[w for _, t, y in texts if y == mark for w in t.split()] for mark in (0, 1)]
     some = sorted({w for _, t, _ in texts for w in t.split()})[:40] + ["abcabcabc", "zzz"]
+    gains = []
     for w, (_, gain, length) in zip(some, model.word_scores(some), strict=True):
-        ordinary, toxic = kneser_ney(own, [x for _, t, _ in texts for x in t.split()], w)
-        assert gain == pytest.approx(toxic - ordinary, abs=1e-9) and length == len(w) + 1
+        assert gain == pytest.approx(kneser_ney(own, [x for _, t, _ in texts for x in t.split()], w, 2), abs=1e-9) and length == len(w) + 1
+        gains.append(gain)
+    assert sum(g != 0 for g in gains) > 30
+
+
+def test_toxicity_finds_held_out_rows_of_every_language(spark):
+    """Stems of few labelled rows, in several languages of different size."""
+    rng = random.Random(12)
+    syllables = {"one": "ka re mi to lu".split(), "two": "ach lich keit un ber".split(), "three": "bo ment eria cos qui".split()}
+    stems = {"one": "rekami", "two": "achlich", "three": "boment"}
+    rows = []
+    for i in range(2400):
+        lang = rng.choices(list(syllables), [6, 2, 1])[0]
+        make = lambda: "".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4)))  # noqa: E731, B023
+        words, bad = [make() for _ in range(rng.randint(30, 200))], i % 6 == 0
+        for _ in range(rng.randint(3, 6) if bad else 0):
+            words[rng.randrange(len(words))] = stems[lang] + "xz" + make()
+        rows.append((i, " ".join(words), int(bad), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, lang string")
+    got = toxicity.score(docs, toxicity.learn(docs.drop("toxic"), docs.select("doc_id", "toxic"))).join(docs, "doc_id").where(fold("doc_id", 5) == 0).collect()
+    for lang in syllables:
+        hits = [r["score"] >= 0.5 for r in got if r["toxic"] == 1 and r["lang"] == lang]
+        assert np.mean(hits) >= 0.8, lang
+    assert np.mean([r["score"] >= 0.5 for r in got if r["toxic"] == 0]) < 0.02
 
 
 def test_toxicity_without_labels_is_none(spark, edge):
