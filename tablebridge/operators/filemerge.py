@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,10 +77,26 @@ def merge_files(spark: SparkSession, path: str, source: DataFrame, keys: list[st
     else:
         rows = align(own, target.schema)
     size = sum(there[name] for name in touched) + sum(size for f in own.inputFiles()[:1] for _, _, size in listed(spark, f.rsplit("/", 1)[0]))
+    return told | {"rewritten": len(touched), "written": _exchange(spark, path, touched, lambda stage: write_files(rows, stage, keys, max(1, math.ceil(size / file_bytes))))}
+
+
+def _exchange(spark: SparkSession, path: str, old: list[str], write: Callable[[str], None]) -> int:
+    """Put what `write` writes into a staging folder in the place of the old files; the number of new ones."""
     stage = f"{path}/{_STAGE}{uuid.uuid4().hex}"
-    write_files(rows, stage, keys, max(1, math.ceil(size / file_bytes)))
+    write(stage)
     new = [name for name, _, _ in listed(spark, stage) if not name.startswith(("_", "."))]
-    journal = {"old": touched, "new": [[name, f"part-{uuid.uuid4().hex}.parquet"] for name in new]}
+    journal = {"old": old, "new": [[name, f"part-{uuid.uuid4().hex}.parquet"] for name in new]}
     write_state(spark, f"{stage}/journal.json", journal)
     _swap(spark, path, stage, journal)
-    return told | {"rewritten": len(touched), "written": len(new)}
+    return len(new)
+
+
+def replace_files(spark: SparkSession, path: str, rows: DataFrame) -> dict[str, int]:
+    """A flat folder's files give way to those of `rows`, in their schema: a reload that empties or makes the table anew.
+
+    The old rows stay until the new ones are all written, so that a load that fails loses nothing, and rows may be read from
+    the folder itself; then the files are exchanged as in merge_files().
+    """
+    recover(spark, path)
+    old = [name for name, _, _ in listed(spark, path) if not name.startswith(("_", "."))]
+    return {"files": len(old), "rewritten": len(old), "written": _exchange(spark, path, old, lambda stage: rows.write.parquet(stage))}

@@ -77,7 +77,11 @@ def _(spark, d):
 
 @query("recreate_reload", SOURCE_SQL)
 def _(spark, d):
-    return merge.recreate_reload(source_orders(spark, d))
+    # the stored table gives way to one in the source's schema
+    folder = shared_path(spark, "recreated")
+    filemerge.write_files(target_orders(spark, d).drop("o_orderpriority"), folder, ["o_orderkey"], 4)
+    filemerge.replace_files(spark, folder, merge.recreate_reload(source_orders(spark, d)))
+    return spark.read.parquet(folder)
 
 
 @query("bulk_append", SOURCE_SQL)
@@ -262,7 +266,15 @@ def _(spark, d):
 
 @query("estimated_counts", COUNTS_SQL)
 def _(spark, d):
-    return _counts(spark, d)
+    return scan.estimated_counts(spark, {n: f"{d}/{n}.parquet" for n in NAMES})
+
+
+@query("database_inventory", f"SELECT 'driver' AS database, CAST({len(NAMES)} AS BIGINT) AS tables, CAST(sum(rows) AS BIGINT) AS rows, true AS adds_up FROM ({COUNTS_SQL})")
+def _(spark, d):
+    tables = scan.table_inventory(spark, {n: f"{d}/{n}.parquet" for n in NAMES})
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load([f"{d}/{n}.parquet" for n in NAMES]).agg(F.sum("length").alias("bytes"), F.count("*").alias("n"))
+    total = scan.database_inventory(tables, "driver").crossJoin(listed).crossJoin(_counts(spark, d).agg(F.sum("rows").alias("rows")))  # one row each
+    return total.select("database", "tables", "rows", ((F.col("bytes") == F.col("size_bytes")) & (F.col("n") == F.col("files"))).alias("adds_up"))
 
 
 @query("check_primary_key", "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")

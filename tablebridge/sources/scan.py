@@ -137,6 +137,25 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def estimated_counts(spark: SparkSession, paths: dict[str, str], exact: bool = False) -> DataFrame:
+    """table_name, rows of Parquet tables from the row counts in their file footers, no column being read; with exact by row_counts(), and where that fails from the footers after all."""
+    if exact:
+        try:
+            return spark.createDataFrame(row_counts({n: spark.read.parquet(p) for n, p in paths.items()}).collect(), "table_name string, rows long")  # a row a table
+        except Exception:
+            return estimated_counts(spark, paths)
+    footers = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+    before = {k: spark.conf.get(k) for k in footers}
+    for k, v in footers.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(n, spark.read.parquet(p).agg(F.count("*")).first()[0] or 0) for n, p in paths.items()]  # empty files give none
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.createDataFrame(rows, "table_name string, rows long")
+
+
 def sample_size(counts: DataFrame, percent: float = 1.0, threshold: int = 100_000, small: int = 2_000, most: int = 50_000) -> DataFrame:
     """counts (…, rows) with sample_n: all at 100 percent, `small` below the threshold, else the percentage between 1 and `most`; non-positive options take the defaults."""
     percent, threshold, small, most = (x if x > 0 else d for x, d in ((percent, 1.0), (threshold, 100_000), (small, 2_000), (most, 50_000)))
@@ -217,6 +236,13 @@ def table_inventory(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return sizes.withColumn("size_human", human_size(F.col("size_bytes")))
 
 
+def database_inventory(inventory: DataFrame, database: str = "default") -> DataFrame:
+    """database, tables, files, size_bytes, size_human: the sums over table_inventory() in one row."""
+    zero = F.lit(0).cast("long")
+    sums = inventory.agg(F.count("*").alias("tables"), F.coalesce(F.sum("files"), zero).alias("files"), F.coalesce(F.sum("size_bytes"), zero).alias("size_bytes"))
+    return sums.select(F.lit(database).alias("database"), "*", human_size(F.col("size_bytes")).alias("size_human"))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, pk: str | None = None, n: int = 8, properties: dict | None = None) -> DataFrame:
     """A JDBC table, split into n key ranges where pk names an integer key: the ranges run as predicates in the database."""
     props = properties or {}

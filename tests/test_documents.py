@@ -100,3 +100,14 @@ def test_names_that_no_table_matches(spark):
     got = scan.missing_tables(tables, asked)
     assert rows(got) == [("b",), ("nope",), ("x.a.b",), (None,)]
     assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_come_from_footers(spark, tmp_path):
+    spark.range(1000).write.parquet(f"{tmp_path}/a")
+    spark.range(0).write.parquet(f"{tmp_path}/b")
+    paths = {n: f"{tmp_path}/{n}" for n in "ab"}
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    assert rows(scan.estimated_counts(spark, paths)) == rows(scan.estimated_counts(spark, paths, exact=True)) == [("a", 1000), ("b", 0)]
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    total = scan.database_inventory(scan.table_inventory(spark, paths), "db").first()
+    assert total["database"] == "db" and total["tables"] == 2 and total["size_bytes"] > 0 and total["size_human"].endswith("B")

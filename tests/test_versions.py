@@ -169,3 +169,14 @@ def test_a_merge_that_is_cut_off_before_its_journal_is_undone(spark, files, monk
         filemerge.merge_files(spark, path, target.limit(5), ["id"])
     filemerge.recover(spark, path)
     assert len(there()) == 20 and rows(spark.read.parquet(path)) == rows(target)
+
+
+def test_a_reload_replaces_files_only_when_it_is_written(spark, files):
+    path, target, there = files
+    with pytest.raises(Exception, match="bad row"):
+        filemerge.replace_files(spark, path, target.withColumn("v", F.when(F.col("id") == 7, F.raise_error(F.lit("bad row"))).otherwise(F.col("v"))))
+    assert rows(spark.read.parquet(path)) == rows(target)
+    own = spark.read.parquet(path).where("id < 5").select("id", F.lit(1).alias("other"))
+    told = filemerge.replace_files(spark, path, own)
+    assert told["files"] == 20 and told["written"] == len(there())
+    assert rows(spark.read.parquet(path)) == [(i, 1) for i in range(5)]
