@@ -8,7 +8,9 @@ add. It is trained on the posteriors, but sees what no labeler does: the span's
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import json
 import math
 import re
@@ -189,12 +191,10 @@ def found_spans(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
 
                 own = [made(a, k, b, True) for a, k, b in base]
                 last = 0
-                at = 0
+                starts, far = [x[0] for x in base], list(itertools.accumulate((x[2] for x in base), max))
                 for a, k, b in sorted(candidates(text)) if text else []:
-                    while at < len(base) and base[at][2] <= a:
-                        at += 1
-                    clash = any(x[0] < b and a < x[2] for x in base[max(0, at - 4) : at + 4])
-                    if a >= last and not clash:
+                    before = bisect.bisect_left(starts, b)  # base spans that begin before the candidate ends
+                    if a >= last and not (before and far[before - 1] > a):
                         own.append(made(a, k, b, False))
                         last = b
                 spans.append(own)

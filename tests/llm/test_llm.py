@@ -723,6 +723,16 @@ def test_pipeline(spark, edge, nothing):
     assert sorted(kept, key=str) == [1, 10, 4, 5, 8, 9, None]
 
 
+def test_added_spans_never_overlap_base_spans(spark):
+    # a number that many base spans lie in, far from where they begin
+    text = "+" + "1 " * 4 + " ".join(f"{i % 10}.{i % 7}.3.4 a{i}@b.co" for i in range(40)) + " password: hunter2secret card 4111 1111 1111 1111 call +49 30 1234 5678 90"
+    found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"), threshold=1e-9).first()["spans"]
+    base = {(a, k, b) for a, k, b in pii.base_spans(text)}
+    got = [(s["start"], s["kind"], s["end"]) for s in found]
+    assert base <= set(got)
+    assert not [(x, y) for x in got if x not in base for y in base if x[0] < y[2] and y[0] < x[2]]
+
+
 def test_stage_results_stay_readable(spark, edge):
     import corpus_pipeline
 
