@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import os
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablebridge.sources.shared import stored  # noqa: F401
+from tablebridge.sources.shared import importable, stored  # noqa: F401
 
 #: A text row is about 4 KB and may be far longer: small Arrow batches keep a Python worker's memory bounded.
 BATCH_ROWS = 256
@@ -20,9 +17,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def text_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches of few rows, for operators whose rows hold whole texts; Python workers started from another folder find this package too."""
-    home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    if home not in (paths := env.get("PYTHONPATH", "").split(os.pathsep)):
-        env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, paths)])
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
