@@ -201,22 +201,25 @@ class _Scorer:
         return np.array([_features(self.scores[np.fromiter(map(self.ids.__getitem__, w), np.int64, len(w))]) for w in found]).reshape(len(texts), FEATURES)
 
 
-def _tables(classes: dict, shared) -> Model:
-    """The model from class counts by order and shared probabilities, as pandas tables."""
+def _order_tables(own) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The grams and contexts of a Model from the class counts of one order, a pandas table."""
+    key, ctx = own["gram"].to_numpy().view(np.uint64), own["ctx"].to_numpy().view(np.uint64)
+    n = np.stack([own["ordinary"].to_numpy(float), own["toxic"].to_numpy(float)])
+    n = np.vstack([n, n.sum(axis=0)])
+    names, at = np.unique(ctx, return_inverse=True)
+    total = np.stack([np.bincount(at, x, len(names)) for x in n])
+    kinds = np.stack([np.bincount(at, x > 0, len(names)) for x in n])
+    share = np.maximum(n - DISCOUNT, 0) / np.maximum(total[:, at], 1)
+    order = np.argsort(key)
+    back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
+    return (key[order], share[:, order]), (names, np.vstack([back, total[:2].min(axis=0) >= LEAST]))
+
+
+def _tables(classes: dict[int, DataFrame], shared) -> Model:
+    """The model from class counts by order, fetched one order after the other, and shared probabilities, a pandas table."""
     grams, contexts = {}, {}
     for order in ORDERS:
-        own = classes[order]
-        key, ctx = own["gram"].to_numpy().view(np.uint64), own["ctx"].to_numpy().view(np.uint64)
-        n = np.stack([own["ordinary"].to_numpy(float), own["toxic"].to_numpy(float)])
-        n = np.vstack([n, n.sum(axis=0)])
-        names, at = np.unique(ctx, return_inverse=True)
-        total = np.stack([np.bincount(at, x, len(names)) for x in n])
-        kinds = np.stack([np.bincount(at, x > 0, len(names)) for x in n])
-        share = np.maximum(n - DISCOUNT, 0) / np.maximum(total[:, at], 1)
-        order_ = np.argsort(key)
-        grams[order] = key[order_], share[:, order_]
-        back = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        contexts[order] = names, np.vstack([back, total[:2].min(axis=0) >= LEAST])
+        grams[order], contexts[order] = _order_tables(classes[order].drop("low").toPandas())
     key = shared["gram"].to_numpy().view(np.uint64)
     order_ = np.argsort(key)
     return Model(grams, contexts, (key[order_], shared["p"].to_numpy(float)[order_]))
@@ -251,7 +254,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, row
     classes = class_counts(labelled.where(~F.col("tunes")))
     # of the corpus' probabilities only those of bigrams in labelled rows are fetched: what comes here is bounded by the sample
     needed = shared_backoff(docs).join(classes[ORDERS[0]].select(F.col("low").alias("gram")).distinct(), "gram", "left_semi")
-    model = _tables({k: df.toPandas() for k, df in classes.items()}, needed.toPandas())
+    model = _tables(classes, needed.toPandas())
     sent = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -338,7 +338,7 @@ def test_toxicity_is_kneser_ney(spark, monkeypatch):
     word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 6)))
     texts = [(i, " ".join(word() for _ in range(12)), i % 2) for i in range(12)] + [(100 + i, " ".join(word() for _ in range(9)), None) for i in range(6)]
     df = spark.createDataFrame(texts, "doc_id long, text string, toxic int")
-    classes = {k: t.toPandas() for k, t in toxicity.class_counts(df.where("toxic IS NOT NULL")).items()}
+    classes = toxicity.class_counts(df.where("toxic IS NOT NULL"))
     model = toxicity._tables(classes, toxicity.shared_backoff(df).toPandas())
     own = [[w for _, t, y in texts if y == mark for w in t.split()] for mark in (0, 1)]
     some = sorted({w for _, t, _ in texts for w in t.split()})[:40] + ["abcabcabc", "zzz"]
