@@ -88,10 +88,10 @@ def _(spark, d):
 
 
 # Samples are found by walking from event to event; every seventh event resumes the run: it sets the clock and gives no rate.
-THROUGHPUT_SQL = f"""WITH RECURSIVE e AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i, epoch(ts) AS t, sum(batch_rows) OVER (PARTITION BY run_id ORDER BY seq) AS done, seq % 7 = 0 AS resumed FROM ({LOG_SQL})),
+THROUGHPUT_SQL = f"""WITH RECURSIVE e AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS i, epoch_us(ts) AS t, sum(batch_rows) OVER (PARTITION BY run_id ORDER BY seq) AS done, seq % 7 = 0 AS resumed FROM ({LOG_SQL})),
     w AS (SELECT run_id, i, t AS at, CAST(done AS DOUBLE) AS seen, CAST(0 AS DOUBLE) AS rate FROM e WHERE i = 1
-          UNION ALL SELECT e.run_id, e.i, CASE WHEN e.resumed OR e.t - w.at >= 1 THEN e.t ELSE w.at END, CASE WHEN e.resumed OR e.t - w.at >= 1 THEN CAST(e.done AS DOUBLE) ELSE w.seen END,
-              CASE WHEN e.resumed OR e.t - w.at < 1 OR e.done <= w.seen THEN w.rate WHEN w.rate = 0 THEN (e.done - w.seen) / (e.t - w.at) ELSE 0.3 * (e.done - w.seen) / (e.t - w.at) + 0.7 * w.rate END
+          UNION ALL SELECT e.run_id, e.i, CASE WHEN e.resumed OR e.t - w.at >= 1000000 THEN e.t ELSE w.at END, CASE WHEN e.resumed OR e.t - w.at >= 1000000 THEN CAST(e.done AS DOUBLE) ELSE w.seen END,
+              CASE WHEN e.resumed OR e.t - w.at < 1000000 OR e.done <= w.seen THEN w.rate WHEN w.rate = 0 THEN (e.done - w.seen) * 1e6 / (e.t - w.at) ELSE 0.3 * (e.done - w.seen) * 1e6 / (e.t - w.at) + 0.7 * w.rate END
           FROM w JOIN e ON e.run_id = w.run_id AND e.i = w.i + 1)
     SELECT run_id, round(rate, 6) AS rate FROM (SELECT run_id, arg_max(rate, i) AS rate FROM w GROUP BY 1)"""
 
