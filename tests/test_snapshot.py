@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablebridge.operators import runs
 from tablebridge.streaming import snapshot
@@ -44,8 +45,9 @@ def test_snapshots_are_those_of_the_whole_log(spark, log, tmp_path):
     tables = runs.fold_tables(log)
     totals = {r["run_id"]: r for r in runs.fold_runs(tables).collect()}
     phases = {r["run_id"]: r for r in runs.run_phase(log).collect()}
-    by = F.sum("d").over(__import__("pyspark").sql.Window.partitionBy("run_id").orderBy("seq"))
-    step = F.coalesce(F.col("rows_transferred") - F.coalesce(F.lag(F.when(F.col("rows_transferred").isNotNull(), F.col("rows_transferred"))).over(__import__("pyspark").sql.Window.partitionBy("run_id", "table_name").orderBy("seq")), F.lit(0)), F.lit(0))
+    before = F.lag("rows_transferred").over(Window.partitionBy("run_id", "table_name").orderBy("seq"))
+    step = F.coalesce(F.col("rows_transferred") - F.coalesce(before, F.lit(0)), F.lit(0))
+    by = F.sum("d").over(Window.partitionBy("run_id").orderBy("seq"))
     rates = {r["run_id"]: r["rate"] for r in runs.throughput(log.withColumn("d", step).withColumn("rows_done", by)).collect()}
     assert got.keys() == {1, 2, 3, 4}
     for run, r in got.items():
