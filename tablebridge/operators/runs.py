@@ -356,40 +356,48 @@ def stats_history(events: DataFrame, totals: DataFrame | None = None, every: str
 
     A run that has ended (its log holds complete, error or cancelled) has one more snapshot, final, at its last event. With
     totals (run_id, rows_total) each snapshot has rows_total and percent, cut to a whole number, 0 where nothing is to be moved.
-    A run's intervals are made and summed up in blocks, so that a long run is no single row or task; only the sums of its blocks are.
+    Only intervals with events are summed up, a run's in blocks, so that a long run is no single task; the sum before a block
+    and the start of the next one stand in front of its rows. Idle intervals are made last, row by row, and held nowhere.
     """
-    window = F.window("ts", every)
-    own = events.where("ts IS NOT NULL").select("run_id", window["end"].alias("snapshot_at"), F.coalesce("batch_rows", F.lit(0)).cast("long").alias("moved"), (F.unix_micros(window["end"].cast("timestamp")) - F.unix_micros(window["start"].cast("timestamp"))).alias("width"))
+    spark, nothing = events.sparkSession, F.lit(None).cast("long")
+    window, micros = F.window("ts", every), lambda c: F.unix_micros(c.cast("timestamp"))
+    own = events.where("ts IS NOT NULL").select("run_id", window["end"].alias("snapshot_at"), (micros(window["end"]) - micros(window["start"])).alias("width"), F.coalesce("batch_rows", F.lit(0)).cast("long").alias("moved"))
     kind = dict(own.dtypes)["snapshot_at"]
-    ends = own.groupBy("run_id").agg(F.min("snapshot_at").alias("low"), F.max("snapshot_at").alias("high"), F.first("width").alias("width"))
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    ends = ends.select("run_id", micros("low").alias("low"), micros("high").alias("high"), "width")
-    starts = ends.select("run_id", "high", "width", F.explode(F.sequence("low", "high", F.col("width") * block)).alias("at")).repartition("run_id", "at")
-    stop = F.least(F.col("high"), F.col("at") + F.col("width") * (block - 1))
-    calendar = starts.select("run_id", "width", F.explode(F.sequence("at", stop, F.col("width"))).alias("at"), F.col("at").alias("block"))
-    # an interval of the calendar and the events that fall into it become one row
-    counted = own.groupBy("run_id", micros("snapshot_at").alias("at")).agg(F.sum("moved").alias("moved"))
-    nothing = F.lit(None).cast("long")
-    both = calendar.select("run_id", "at", "block", "width", F.lit(0).cast("long").alias("moved")).union(counted.select("run_id", "at", nothing, nothing, "moved"))
-    filled = both.groupBy("run_id", "at").agg(F.max("block").alias("block"), F.max("width").alias("width"), F.sum("moved").alias("moved"))
-    before = F.sum("all").over(Window.partitionBy("run_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = filled.groupBy("run_id", "block").agg(F.sum("moved").alias("all")).select(F.col("run_id").alias("_run"), F.col("block").alias("_block"), F.coalesce(before, F.lit(0)).alias("offset"))
-    upto = F.sum("moved").over(Window.partitionBy("run_id", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    summed = filled.withColumn("upto", upto).join(offsets, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("block") == F.col("_block")))
-    regular = summed.select("run_id", F.timestamp_micros("at").cast(kind).alias("snapshot_at"), (F.col("offset") + F.col("upto")).alias("rows_transferred"), (F.col("moved") * 1e6 / F.col("width")).alias("rate"), F.lit(False).alias("final"))
+    counted = own.groupBy("run_id", micros(F.col("snapshot_at")).alias("at")).agg(F.sum("moved").alias("moved"), F.max("width").alias("width"))
+    counted = counted.withColumn("block", F.col("at") - F.pmod("at", F.col("width") * block))
     ended = F.bool_or(F.col("kind").isin("complete", "error", "cancelled"))
     finals = events.groupBy("run_id").agg(F.max("ts").cast(kind).alias("snapshot_at"), F.coalesce(F.sum("batch_rows"), F.lit(0)).cast("long").alias("rows_transferred"), ended.alias("ended"))
-    history = regular.union(finals.where("ended").select("run_id", "snapshot_at", "rows_transferred", F.lit(0.0).alias("rate"), F.lit(True).alias("final")))
+    finals = finals.where("ended").select("run_id", "snapshot_at", "rows_transferred", F.lit(0.0).alias("rate"), F.lit(True).alias("final"))
+    blocks = Window.partitionBy("run_id").orderBy("block")
+    before = F.sum("moved").over(blocks.rowsBetween(Window.unboundedPreceding, -1))
+    carried = counted.groupBy("run_id", "block").agg(F.sum("moved").alias("moved"), F.min("at").alias("first"))
+    carried = carried.select("run_id", "block", F.coalesce(before, F.lit(0)).cast("long").alias("moved"), F.lead("first").over(blocks).alias("next"))
+    if totals is not None:
+        carried, finals = (df.join(totals.select("run_id", "rows_total"), "run_id", "left") for df in (carried, finals))
+    total = F.col("rows_total") if totals is not None else nothing
+    both = counted.select("run_id", "block", "at", "moved", "width", nothing.alias("next"), nothing.alias("total")).union(carried.select("run_id", "block", nothing, "moved", nothing, "next", total))
+    # a number of its own, since the little that is dealt here becomes many rows
+    dealt = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run_id", "block")
+    inside = Window.partitionBy("run_id", "block").orderBy(F.asc_nulls_first("at"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    after = F.coalesce(F.lead("at").over(inside), F.max("next").over(upto), F.col("at") + F.col("width"))
+    summed = dealt.select("run_id", "at", "moved", "width", F.sum("moved").over(upto).alias("rows_transferred"), after.alias("after"), F.max("total").over(upto).alias("rows_total")).where("at IS NOT NULL")
+    summed = summed.withColumn("stop", F.col("after") - F.col("width"))
+    starts = summed.select("*", F.explode(F.sequence("at", "stop", F.col("width") * block)).alias("start"))
+    filled = starts.select("*", F.explode(F.sequence("start", F.least(F.col("stop"), F.col("start") + F.col("width") * (block - 1)), "width")).alias("end"))
+    rate = F.when(F.col("end") == F.col("at"), F.col("moved") * 1e6 / F.col("width")).otherwise(0.0)
+    regular = filled.select("run_id", F.timestamp_micros("end").cast(kind).alias("snapshot_at"), "rows_transferred", rate.alias("rate"), F.lit(False).alias("final"), *(["rows_total"] if totals is not None else []))
+    history = regular.union(finals)
     if totals is None:
         return history
     percent = F.when(F.col("rows_total") > 0, F.floor(F.col("rows_transferred") * 100 / F.col("rows_total"))).otherwise(0).cast("int")
-    return history.join(totals.select("run_id", "rows_total"), "run_id", "left").withColumn("percent", percent)
+    return history.withColumn("percent", percent)
 
 
 def history_summary(history: DataFrame) -> DataFrame:
     """run_id, snapshots, first_at, last_at, seconds, final_rows, peak_rate of stats_history."""
-    at = F.struct("final", "snapshot_at")
-    by = history.groupBy("run_id").agg(F.count("*").alias("snapshots"), F.min("snapshot_at").alias("first_at"), F.max("snapshot_at").alias("last_at"), F.max_by("rows_transferred", at).alias("final_rows"), F.max("rate").alias("peak_rate"))
+    last = F.when(F.bool_or("final"), F.max_by("rows_transferred", F.when(F.col("final"), F.col("snapshot_at")))).otherwise(F.max_by("rows_transferred", "snapshot_at"))
+    by = history.groupBy("run_id").agg(F.count("*").alias("snapshots"), F.min("snapshot_at").alias("first_at"), F.max("snapshot_at").alias("last_at"), last.alias("final_rows"), F.max("rate").alias("peak_rate"))
     return by.withColumn("seconds", F.unix_timestamp("last_at") - F.unix_timestamp("first_at"))
 
 

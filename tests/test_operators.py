@@ -367,6 +367,15 @@ def test_history_has_idle_intervals(spark):
     assert runs.stats_history(df.limit(0)).count() == 0
 
 
+def test_idle_intervals_are_made_last_and_summed_by_hash(spark):
+    df = spark.createDataFrame([(1, 0, 5, "batch"), (1, 900, 6, "complete")], "run_id int, s long, batch_rows int, kind string").withColumn("ts", F.timestamp_seconds("s"))
+    plan = runs.stats_history(df)._jdf.queryExecution().executedPlan().toString()
+    made = plan[: plan.rindex("Generate")]
+    assert not any(held in made.split("Window")[0] for held in ("Exchange", "Aggregate", "Sort"))
+    assert "SortAggregate" not in runs.history_summary(runs.stats_history(df))._jdf.queryExecution().executedPlan().toString()
+    assert runs.history_summary(runs.stats_history(df)).first()["snapshots"] == 182
+
+
 def test_names_of_numbered_keys(spark):
     rows_ = [("t", "0", "u", 2, "b", "y"), ("t", "0", "u", 1, "a", "x"), ("t", "own", "u", 1, "c", "z")]
     df = spark.createDataFrame(rows_, "table_name string, constraint_name string, ref_table string, position int, column_name string, ref_column string")
