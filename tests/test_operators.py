@@ -376,6 +376,29 @@ def test_idle_intervals_are_made_last_and_summed_by_hash(spark):
     assert runs.history_summary(runs.stats_history(df)).first()["snapshots"] == 182
 
 
+def test_history_with_totals_over_many_blocks(spark):
+    rng = random.Random(11)
+    log = [(run, rng.randrange(3000), rng.choice([None, 1, 7])) for run in (1, 2, 3) for _ in range(40)] + [(None, 10, 2), (None, 700, 3)]
+    df = spark.createDataFrame(log, "run_id int, s long, batch_rows int").select("run_id", F.timestamp_seconds("s").alias("ts"), "batch_rows", F.when(F.col("run_id") == 2, "error").otherwise("batch").alias("kind"))
+    totals = spark.createDataFrame([(1, 1000), (2, 0), (4, 5), (None, 9)], "run_id int, rows_total long")
+    want = []
+    for run in (1, 2, 3, None):
+        own, total = [(s, n or 0) for r, s, n in log if r == run], {1: 1000, 2: 0}.get(run)
+        percent = lambda n, total=total: n * 100 // total if total else 0
+        for end in range(min(own)[0] // 10 * 10 + 10, max(own)[0] // 10 * 10 + 11, 10):
+            done = sum(n for s, n in own if s < end)
+            want.append((run, end, done, sum(n for s, n in own if end - 10 <= s < end) / 10, False, total, percent(done)))
+        if run == 2:
+            done = sum(n for _, n in own)
+            want.append((run, max(own)[0], done, 0.0, True, total, percent(done)))
+    for block in (1, 3, 32, 4096):
+        got = runs.stats_history(df, totals, "10 seconds", block).withColumn("snapshot_at", F.unix_timestamp("snapshot_at"))
+        assert got.columns == ["run_id", "snapshot_at", "rows_transferred", "rate", "final", "rows_total", "percent"]
+        assert rows(got) == sorted(want, key=repr)
+    plan = runs.stats_history(df, totals)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
 def test_names_of_numbered_keys(spark):
     rows_ = [("t", "0", "u", 2, "b", "y"), ("t", "0", "u", 1, "a", "x"), ("t", "own", "u", 1, "c", "z")]
     df = spark.createDataFrame(rows_, "table_name string, constraint_name string, ref_table string, position int, column_name string, ref_column string")
