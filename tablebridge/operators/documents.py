@@ -36,6 +36,8 @@ TAGS = {
 }
 #: Digits after the point of a decimal column.
 SCALE = 18
+#: The column of apply_plan's check.
+_CHECKED = "_checked"
 #: Different fields that a task counts before it passes them on.
 HELD_FIELDS = 100_000
 
@@ -325,18 +327,20 @@ def _conversion(docs: DataFrame, plan: list[dict]) -> tuple[DataFrame, list[tupl
         return F.try_variant_get("doc", "$", _shape(shape)) if shape else F.lit(None)
 
     docs = docs.withColumns({"_plain": opened([(parts, "variant" if kind == "jsonb" else "string") for parts, kind in wanted]), "_inside": opened(scalars)})
-    values, bad = [], ~is_document(F.col("doc"))
-    for r, parts, kind in live:
+    # the struct of what is wanted is there for every object, and for nothing else
+    values, bad, texts = [], F.col("_plain").isNull() if wanted else ~is_document(F.col("doc")), {}
+    for i, (r, parts, kind) in enumerate(live):
         at = lambda name: reduce(lambda c, part: c.getField(part), parts, F.col(name))  # noqa: B023, E731
         if not filled(parts):
             value = F.lit(None).cast("string")  # only a flattened parent fills its children, one level deep
         elif kind == "jsonb":
-            value = F.when(~F.is_variant_null(at("_plain")), canonical_json(at("_plain")))
+            texts[f"_json_{i}"] = F.when(~F.is_variant_null(at("_plain")), F.to_json(at("_plain")))
+            value = _resolved(F.col(f"_json_{i}"))
         else:
             value = _converted(at("_plain"), at("_inside"), kind)
             bad = bad | (at("_plain").isNotNull() & value.isNull())
         values.append((r, value))
-    return docs, values, F.coalesce(bad, F.lit(False))
+    return docs.withColumns(texts) if texts else docs, values, F.coalesce(bad, F.lit(False))
 
 
 def apply_plan(docs: DataFrame, plan: list[dict], on_error: str = "abort", extra: str = "_extra") -> DataFrame:
@@ -351,18 +355,25 @@ def apply_plan(docs: DataFrame, plan: list[dict], on_error: str = "abort", extra
     flat = {r["field_name"] for r in plan if r["strategy"] == "flatten"}
     docs, values, bad = _conversion(docs, plan)
     doc = F.col("doc")
-    fields = F.coalesce(F.try_variant_get(doc, "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    # what is used more than once is a column of its own, so that it is made once
+    docs = docs.withColumn("_fields", F.coalesce(F.try_variant_get(doc, "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")))
+    fields = F.col("_fields")
     rest = F.map_filter(fields, lambda k, v: ~F.array_contains(F.array(*map(F.lit, sorted(top))) if top else F.array().cast("array<string>"), k))
     for name in sorted(flat):
         rest = F.map_concat(rest, _unplanned_children(doc, fields, name, [r["field_name"].split(".", 1)[1] for r in plan if r["field_name"].startswith(name + ".")]))
-    text = F.when(F.size(rest) > 0, canonical_json(F.to_variant_object(rest)))
-    columns = [*(value.alias(r["pg_column"]) for r, value in values), text.alias(catch_all({r["pg_column"] for r, _ in values}, extra))]
+    docs = docs.withColumn("_rest", rest).withColumn("_rest_json", F.when(F.size("_rest") > 0, F.to_json(F.to_variant_object("_rest"))))
+    columns = [*(value.alias(r["pg_column"]) for r, value in values), _resolved(F.col("_rest_json")).alias(catch_all({r["pg_column"] for r, _ in values}, extra))]
     if on_error == "null":
         return docs.select(*columns)
     good = ~bad if on_error == "skip" else F.assert_true(~bad, F.lit("a value does not convert to its planned type")).isNull()
-    # row and check are made together and meet in the explode: neither can be pushed down or pruned away alone
-    checked = docs.select(F.struct(*columns).alias("row"), good.alias("good"))
-    return checked.select(F.explode(F.when(F.col("good"), F.array("row"))).alias("r")).select("r.*")
+    return _passed(docs.select(*columns, good.alias(_CHECKED)))
+
+
+def _passed(checked: DataFrame) -> DataFrame:
+    """The rows whose check is true, without it. They pass by an explode, not a filter: the check is made once, where the row is, and columns that nobody asks for are pruned, but not the check."""
+    kept = [F.col("`" + c.replace("`", "``") + "`") for c in checked.columns if c != _CHECKED]
+    # an expression, not a column, so that no filter is inferred and pushed down to be made anew there
+    return checked.select(*kept, F.explode(F.when(F.col(_CHECKED), F.array(F.lit(True)))).alias("_passed")).select(*kept)
 
 
 def _unplanned_children(doc: Column, fields: Column, name: str, known: list[str]) -> Column:
@@ -378,4 +389,4 @@ def _unplanned_children(doc: Column, fields: Column, name: str, known: list[str]
 def rejected_documents(docs: DataFrame, plan: list[dict]) -> DataFrame:
     """The documents that apply_plan drops under skip."""
     checked, _, bad = _conversion(docs, plan)
-    return checked.where(bad).drop("_plain", "_inside")
+    return _passed(checked.select(*docs.columns, bad.alias(_CHECKED)))

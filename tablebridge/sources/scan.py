@@ -13,6 +13,8 @@ from tablebridge.sources.shared import stored
 
 #: Rows of a batch where none or a non-positive size is given.
 BATCH_SIZE = 1000
+#: Rows of a task where work on a row is heavy.
+TASK_ROWS = 50_000
 # Key types that can be split by range.
 INTEGER_TYPES = "int int2 int4 int8 integer bigint smallint tinyint mediumint serial bigserial smallserial".split()
 
@@ -21,10 +23,9 @@ def scan_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan over at least as many partitions as there are cores: a table of few files would otherwise give heavy row work few tasks. A larger one is left as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+def spread(df: DataFrame, key: str, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """df (of about `rows` rows) dealt by a key into tasks of about `each` rows, for heavy work on rows: as many as there are cores at least, however few bytes there are."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / each)), key)
 
 
 def scan_pk_range(df: DataFrame, pk: str, low, high, inclusive: bool = True, limit: int | None = None) -> DataFrame:

@@ -69,6 +69,27 @@ def test_what_is_no_document_is_bad(spark):
         documents.apply_plan(df.where("doc IS NOT NULL"), plan).collect()
 
 
+def test_what_nobody_asks_for_is_not_made_but_the_check_is(spark):
+    df = documents.parse_documents(spark.createDataFrame([(t,) for t in ['{"k":"x","more":1}', '{"k":2,"j":{"$oid":"0a"}}', "[1]"]], "t string"), "t", "k")
+    plan = [{"field_name": f, "pg_column": f, "pg_type": t, "strategy": s} for f, t, s in (("k", "bigint", "direct"), ("j", "jsonb", "as_jsonb"))]
+    out = documents.apply_plan(df, plan, on_error="skip")
+    assert rows(out) == [(2, '"0a"', None)] and rows(out.select("j")) == [('"0a"',)] and out.count() == 1
+    text = out.select("k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructsToJson" not in text and "map<string,variant>" not in text and text.count("parseJson") == 1
+    whole = out._jdf.queryExecution().optimizedPlan().toString()
+    assert whole.count("StructsToJson") == 2 and whole.count("parseJson") == 1
+    with pytest.raises(Exception, match="does not convert"):
+        documents.apply_plan(df, plan).select("j").collect()
+    refused = documents.rejected_documents(df, plan)
+    assert rows(refused.select("doc_id")) == [("x",), (None,)] and refused.columns == df.columns
+
+
+def test_small_rows_of_heavy_work_are_dealt_by_their_number(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert scan.spread(spark.range(100), "id", 100).rdd.getNumPartitions() == cores
+    assert scan.spread(spark.range(100), "id", 100, each=4).rdd.getNumPartitions() == 25
+
+
 def test_the_catch_all_keeps_clear_of_fields_of_its_name(spark, tmp_path):
     df = documents.parse_documents(spark.createDataFrame([('{"_extra":1,"_extra_2":2,"k":3,"more":true}',)], "t string"), "t", "k")
     names = [r["pg_column"] for r in infer.column_names(spark.createDataFrame([("_extra",), ("_extra_2",), ("k",)], "field_name string")).orderBy("field_name").collect()]
