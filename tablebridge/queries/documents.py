@@ -227,7 +227,8 @@ def _(spark, d):
 
 @query("stream_apply_plan", "SELECT o_custkey AS customer_id, o_orderkey % 50 AS qty FROM orders")
 def _(spark, d):
-    schema = table(spark, d, "orders").schema
-    stream = streaming.read_stream(spark, d, "orders.parquet", schema).withColumn("n_name", F.lit("any"))
+    orders = table(spark, d, "orders")
+    # a file of few row groups would give few tasks
+    stream = spread(streaming.read_stream(spark, d, "orders.parquet", orders.schema), "o_orderkey", orders.count()).withColumn("n_name", F.lit("any"))
     parsed = docs.parse_documents(order_json(stream), "json")
     return streaming.stream_append(docs.apply_plan(parsed, _rows("customer_id", "qty")).select("customer_id", "qty"), shared_path(spark, "docs"), shared_path(spark, "checkpoint"))

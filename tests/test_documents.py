@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tablebridge.operators import documents
 from tablebridge.plans import infer
+from tablebridge.queries import QUERIES
 from tablebridge.sources import scan
 
 
@@ -132,3 +133,8 @@ def test_counts_come_from_footers(spark, tmp_path):
     assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
     total = scan.database_inventory(scan.table_inventory(spark, paths), "db").first()
     assert total["database"] == "db" and total["tables"] == 2 and total["size_bytes"] > 0 and total["size_human"].endswith("B")
+
+
+def test_a_stream_of_one_file_is_parsed_by_all_cores(spark):
+    out = QUERIES["stream_apply_plan"](spark, "/root/testdata/sf0.001")
+    assert len(out.inputFiles()) == spark.sparkContext.defaultParallelism and out.count() == 1500
