@@ -40,7 +40,8 @@ def full_log(spark: SparkSession, d: str) -> DataFrame:
 
 def log(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("run_id", "table_name").orderBy("seq")
-    last = F.row_number().over(Window.partitionBy("run_id", "table_name").orderBy(F.desc("seq"))) == 1
+    # by the order that the sums take, so that a task sorts its rows once
+    last = F.lead(F.lit(True)).over(by).isNull()
     kind = F.when(~last, "batch").when(F.col("run_id") % 13 == 0, "table_failed").when(F.col("run_id") % 5 == 0, "batch").otherwise("table_done")
     rows = _plain(table(spark, d, "events")).withColumn("rows_transferred", F.sum("batch_rows").over(by)).withColumn("rows_total", F.lit(200).cast("long"))
     return rows.withColumn("kind", kind).withColumn("error", F.when(F.col("kind") == "table_failed", "boom"))

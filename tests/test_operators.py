@@ -376,6 +376,16 @@ def test_idle_intervals_are_made_last_and_summed_by_hash(spark):
     assert runs.history_summary(runs.stats_history(df)).first()["snapshots"] == 182
 
 
+def test_the_log_sorts_its_events_once(spark):
+    from tablebridge.queries.runs import log
+
+    got = log(spark, "/root/testdata/sf0.001")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    last = got.groupBy("run_id", "table_name").agg(F.max("seq").alias("seq")).withColumn("last", F.lit(True))
+    ends = got.join(last, ["run_id", "table_name", "seq"], "left").select(F.col("last").isNotNull(), (F.col("kind") == "batch") & (F.col("run_id") % 5 != 0) | (F.col("run_id") % 5 == 0) & F.col("last").isNull()).distinct().collect()
+    assert sorted(map(tuple, ends)) == [(False, True), (True, False)]
+
+
 def test_history_with_totals_over_many_blocks(spark):
     rng = random.Random(11)
     log = [(run, rng.randrange(3000), rng.choice([None, 1, 7])) for run in (1, 2, 3) for _ in range(40)] + [(None, 10, 2), (None, 700, 3)]
