@@ -36,6 +36,8 @@ TAGS = {
 }
 #: Digits after the point of a decimal column.
 SCALE = 18
+# The types whose values are converted; all others are text.
+CONVERTED = ("integer", "bigint", "double precision", "numeric", "boolean", "timestamptz", "bytea")
 #: The column of apply_plan's check.
 _CHECKED = "_checked"
 #: Different fields that a task counts before it passes them on.
@@ -269,7 +271,7 @@ def _resolved(text: Column) -> Column:
 def _decimal(text: Column) -> Column:
     """The exact decimal; null where it needs more than SCALE digits after the point or does not fit."""
     shape = r"^[-+]?[0-9]*(?:\.([0-9]*?)0*)?(?:[eE]([-+]?[0-9]+))?$"
-    digits = F.length(F.regexp_extract(text, shape, 1)) - F.coalesce(F.regexp_extract(text, shape, 2).try_cast("int"), F.lit(0))
+    digits = F.length(F.regexp_extract(text, shape, 1)) - F.coalesce(F.nullif(F.regexp_extract(text, shape, 2), F.lit("")).try_cast("int"), F.lit(0))  # a cast that fails is slow
     return F.when(text.rlike(shape) & (digits <= SCALE), text.try_cast(f"decimal(38,{SCALE})"))
 
 
@@ -294,8 +296,14 @@ def _converted(plain: Column, inside: Column, pg_type: str) -> Column:
     if pg_type == "bytea":
         return F.when(tag == "$binary", F.unbase64(F.get_json_object(value, "$.base64")))
     # text: documents, arrays and the rare types stay JSON text
+    return _text(inside).when(inside.isNotNull() | plain.startswith("["), _resolved(plain)).otherwise(plain)
+
+
+def _text(inside: Column) -> Column:
+    """The text that a tagged object stands for, where it is one that stands for text; to be continued."""
+    tag, value = F.get(F.map_keys(inside), F.lit(0)), F.get(F.map_values(inside), F.lit(0))
     text = F.when(tag.isin("$oid", "$numberInt", "$numberLong", "$numberDouble", "$numberDecimal", "$symbol"), value)
-    return text.when(tag == "$regularExpression", F.get_json_object(value, "$.pattern")).when(inside.isNotNull() | plain.startswith("["), _resolved(plain)).otherwise(plain)
+    return text.when(tag == "$regularExpression", F.get_json_object(value, "$.pattern"))
 
 
 def _shape(paths: list[tuple[list[str], str]]) -> str:
@@ -338,7 +346,9 @@ def _conversion(docs: DataFrame, plan: list[dict]) -> tuple[DataFrame, list[tupl
             value = _resolved(F.col(f"_json_{i}"))
         else:
             value = _converted(at("_plain"), at("_inside"), kind)
-            bad = bad | (at("_plain").isNotNull() & value.isNull())
+            # of a text only what a tag stands for may be missing, the rest need not be made to know
+            found = _text(at("_inside")).otherwise(at("_plain")) if kind not in CONVERTED else value
+            bad = bad | (at("_plain").isNotNull() & found.isNull())
         values.append((r, value))
     return docs.withColumns(texts) if texts else docs, values, F.coalesce(bad, F.lit(False))
 
@@ -358,7 +368,8 @@ def apply_plan(docs: DataFrame, plan: list[dict], on_error: str = "abort", extra
     # what is used more than once is a column of its own, so that it is made once
     docs = docs.withColumn("_fields", F.coalesce(F.try_variant_get(doc, "$", "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>")))
     fields = F.col("_fields")
-    rest = F.map_filter(fields, lambda k, v: ~F.array_contains(F.array(*map(F.lit, sorted(top))) if top else F.array().cast("array<string>"), k))
+    docs = docs.withColumn("_left", F.array_except(F.map_keys(fields), F.array(*map(F.lit, sorted(top))).cast("array<string>")))
+    rest = F.map_from_arrays("_left", F.transform("_left", lambda k: fields[k]))
     for name in sorted(flat):
         rest = F.map_concat(rest, _unplanned_children(doc, fields, name, [r["field_name"].split(".", 1)[1] for r in plan if r["field_name"].startswith(name + ".")]))
     docs = docs.withColumn("_rest", rest).withColumn("_rest_json", F.when(F.size("_rest") > 0, F.to_json(F.to_variant_object("_rest"))))

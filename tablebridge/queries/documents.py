@@ -23,7 +23,7 @@ def order_json(orders: DataFrame) -> DataFrame:
     k = F.col("o_orderkey")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     fields = [
-        ("_id", F.lit(True), _text("$oid", F.lower(F.lpad(F.hex(k), 24, "0")))),
+        ("_id", F.lit(True), _text("$oid", F.translate(F.lpad(F.hex(k), 24, "0"), "ABCDEF", "abcdef"))),
         ("customer_id", F.lit(True), _text("$numberLong", F.col("o_custkey"))),
         ("total", F.lit(True), F.when(k % 33 == 0, _text("$numberDecimal", F.lit("12.50"))).otherwise(_text("$numberDouble", k % 1000 + F.lit(0.5)))),
         ("qty", F.lit(True), F.when(k % 4 == 0, _text("$numberLong", k % 50)).otherwise(_text("$numberInt", k % 50))),
